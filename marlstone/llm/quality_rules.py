@@ -91,7 +91,8 @@ def verdict() -> tuple[Column, Column]:
     rules = broken()
     base = rules["short"] | rules["repeats"]
     soft = rules["symbols"] | rules["dup_lines"] | rules["half_repeats"]
-    return base, ~base & ~(F.coalesce("distrusted", F.lit(False)) & soft)
+    # One condition on both sides of the join: pushed below the counts, a part of it would repeat them for each word.
+    return base, F.when(base, False).otherwise(~(F.coalesce("distrusted", F.lit(False)) & soft))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -6,7 +6,10 @@ from . import sql
 from .pii import op1_pii_bilstm_crf
 from .secrets import op2_secrets_randomness
 from .packing import op3_packing_dp
+from .url_filter import op4_url_segmentation_bayes
+from .avi import op5_avi_mjpeg
 from .bpe import op6_bpe_backtracking
+from .byte_cnn import op7_quality_byte_cnn
 from .quality_rules import op8_quality_rules_hosts
 from .simhash import op9_simhash_pigeonhole
 from .substrings import op10_sentence_spans
@@ -17,7 +20,10 @@ QUERIES = {
         op1_pii_bilstm_crf,
         op2_secrets_randomness,
         op3_packing_dp,
+        op4_url_segmentation_bayes,
+        op5_avi_mjpeg,
         op6_bpe_backtracking,
+        op7_quality_byte_cnn,
         op8_quality_rules_hosts,
         op9_simhash_pigeonhole,
         op10_sentence_spans,

@@ -1,8 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences after . ! ? before white space and at line
-ends; a sentence of more than LONG words is cut after every LONG words, so that
-prose without stops has pieces too. From each piece starts one span: the
+ends; a sentence of more than LONG words is cut after every LONG words. Prose
+without stops (more than ENDLESS words) is cut after those words whose hash is
+divisible by EVERY, so that a passage has the same pieces wherever it is put. From each piece starts one span: the
 shortest run of at least SENTENCES pieces with at least WORDS words (none, if
 the text ends before). Spans are compared by a 64-bit hash of their words; the
 span that comes first by (id, text's hash, place) stays, and the pieces covered
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table
 
-SENTENCES, WORDS, LONG = 2, 25, 16
+SENTENCES, WORDS, LONG, ENDLESS, EVERY = 2, 16, 12, 40, 4
 BREAK = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
 WORD = re.compile(r"\S+")
 
@@ -46,9 +48,12 @@ def pieces(text: str) -> list[Piece]:
                 out.append((at, stop, len(words), " ".join(words)))
             else:
                 marks = [m.span() for m in WORD.finditer(text, at, stop)]
-                for k in range(0, len(marks), LONG):
-                    part = marks[k : k + LONG]
-                    out.append((part[0][0], part[-1][1], len(part), " ".join(text[a:b] for a, b in part)))
+                if len(words) <= ENDLESS:
+                    cuts = list(range(LONG, len(words), LONG))
+                else:
+                    cuts = [k for k, w in enumerate(words[:-1], 1) if crc32(w.encode("utf-8", "surrogatepass")) % EVERY == 0]
+                for lo, hi in zip([0, *cuts], [*cuts, len(words)]):
+                    out.append((marks[lo][0], marks[hi - 1][1], hi - lo, " ".join(words[lo:hi])))
         at = after
     return out
 
@@ -102,14 +107,15 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, places: where non-first repeated spans start, for each document that has any.
 
     Hashes alone are counted first, combined before the shuffle; only spans of
-    repeated hashes go further. Joins on a hot hash are split by adaptive
-    execution, and no group of equal spans is gathered.
+    repeated hashes go further. The first spans are a table of their own, as
+    adaptive execution splits a hot hash only where both sides of a join are
+    shuffled for it; no group of equal spans is gathered.
     """
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = _span_rows(source)
     twice = materialize(rows.groupBy("hash").count().filter("count > 1").select("hash"))
     shared = materialize(rows.join(twice, "hash", "left_semi"))
-    first = shared.groupBy("hash").agg(F.min(F.struct("id", "key", "place")).alias("first"))
+    first = materialize(shared.groupBy("hash").agg(F.min(F.struct("id", "key", "place")).alias("first")))
     later = shared.join(first, "hash").filter(~F.struct("id", "key", "place").eqNullSafe(F.col("first")))
     return later.groupBy("key").agg(F.collect_set("place").alias("places"))
 

@@ -33,6 +33,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +44,21 @@ from ..runtime import read_table
 
 SIZE, END_ID = 4096, 2
 SENTENCE, FORCED, WINDOW_COST, STEP, BLOCK, LEAST_POWER = 16, 512, 1, 512, 1 << 19, 256
-REMEMBER = 500_000  # chunks whose ids a worker keeps
+REMEMBER = 1_000_000  # pre-tokens whose ids a worker keeps
 
 # Texts of these characters only are split here; the tokenizer's own splitting takes all others.
 PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xa1-\xa7\xb0\xb1\xb6\xb7\xbb\xbf-įı-ňŊ-ž]*")
-WORD = re.compile(r"[a-z\xc0-\xd6\xd8-\xf6\xf8-ž]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-ž]+")
+# A pre-token with the line end after it; punctuation also with the white space after it.
+LETTERS = r"a-z\xc0-\xd6\xd8-\xf6\xf8-ž"
+WORD = re.compile(rf"(?:[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9])(?:[ \t\r]*+\n)?|[^\s0-9{LETTERS}]+(?:[ \t\r]*+\n|[ \t\r])?")
 INSIDE, AT_SENTENCE, AT_DOCUMENT = 0, 1, 2
 
 
 class Tokens:
     """Ids of whole texts with the places where sentences end.
 
-    White space always parts tokens, so the ids of a text are those of its
-    chunks between white space. Chunks repeat, and their ids are remembered
-    (at most REMEMBER of them); what is new in a batch is encoded at once.
+    The ids of a text are those of its pre-tokens. These repeat, and their ids
+    are remembered (of at most REMEMBER); what is new in a batch is encoded at once.
     """
 
     def __init__(self, path: str):
@@ -64,6 +66,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -79,9 +82,18 @@ class Tokens:
         self.length[0], self.ends[0] = 1, AT_DOCUMENT
 
     def _word_ids(self, words: list[str]) -> None:
-        """Learn the ids of new words: each, alone, is one pre-token of the tokenizer."""
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        """Learn the ids of new words: each, alone, is one pre-token of the tokenizer.
+
+        Its byte alphabet writes ASCII as it is, so such words go to the merges at once.
+        """
+        others = []
+        for word in words:
+            if word.isascii():
+                self.words[word] = tuple([t.id for t in self.merges(word)])
+            else:
+                others.append(word)
+        for a in range(0, len(others), 20_000):
+            part = others[a : a + 20_000]
             ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
             cuts = np.flatnonzero(self.closes[ids]) + 1
             if len(cuts) == len(part):
@@ -93,21 +105,20 @@ class Tokens:
                 for word in part:
                     self.words[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def _learn(self, chunks: list[str]) -> None:
-        split = [WORD.findall(c.lower()) for c in chunks]
+    def _learn(self, marked: list[str]) -> None:
+        bare = [w.rstrip(" \t\r\n") for w in marked]
         known = self.words
-        self._word_ids(list({w: None for ws in split for w in ws if w not in known}))
+        self._word_ids([w for w in dict.fromkeys(bare) if w not in known])
         ids: list[int] = []
         n = len(self.number)
-        while n + len(chunks) > len(self.start):
+        while n + len(marked) > len(self.start):
             self.start, self.length, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.ends))
-        for chunk, ws in zip(chunks, split):
-            self.number[chunk] = n
+        for key, w in zip(marked, bare):
+            self.number[key] = n
             self.start[n] = self.filled + len(ids)
-            for w in ws:
-                ids += known[w]
-            self.length[n] = self.filled + len(ids) - self.start[n]
-            self.ends[n] = AT_SENTENCE if chunk[-1] in ".!?" else INSIDE
+            ids += known[w]
+            self.length[n] = len(known[w])
+            self.ends[n] = AT_SENTENCE if key[-1] == "\n" or key != w and w[-1] in ".!?" else INSIDE
             n += 1
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -121,36 +132,33 @@ class Tokens:
             self._forget()
         ids_parts, at_parts, kind_parts, base = [], [], [], 0
         run: list[str] = []
-        line_ends: list[int] = []
 
         def flush() -> None:
-            nonlocal base, run, line_ends
+            nonlocal base, run
             if not run:
                 return
             number = self.number
-            new = [c for c in dict.fromkeys(run) if c not in number]
-            if new:
-                self._learn(new)
-            k = np.fromiter(map(number.__getitem__, run), np.int64, len(run))
+            k = np.fromiter(map(number.get, run, repeat(-1)), np.int64, len(run))
+            new = np.flatnonzero(k < 0)
+            if len(new):
+                words = [run[i] for i in new.tolist()]
+                self._learn(list(dict.fromkeys(words)))
+                k[new] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             n = self.length[k]
             hi = np.cumsum(n)
             ids_parts.append(self.pool[np.repeat(self.start[k] - (hi - n), n) + np.arange(hi[-1])])
             kinds = self.ends[k].copy()
-            kinds[line_ends] = np.maximum(kinds[line_ends], AT_SENTENCE)
             before_end = np.flatnonzero(k == 0) - 1
             kinds[before_end[before_end >= 0]] = np.where(k[before_end[before_end >= 0]] == 0, AT_DOCUMENT, INSIDE)
             keep = np.flatnonzero((kinds > 0) & (n > 0))
             at_parts.append(hi[keep] + base)
             kind_parts.append(kinds[keep])
             base += int(hi[-1])
-            run, line_ends = [], []
+            run = []
 
         for text in texts:
             if PLAIN.fullmatch(text) and "<|" not in text:
-                for line in text.split("\n"):
-                    run += line.split()
-                    if run:
-                        line_ends.append(len(run) - 1)
+                run += WORD.findall(text.lower())
                 run.append("\n")
             else:
                 flush()

@@ -44,7 +44,7 @@ from ..runtime import read_table
 
 SIZE, END_ID = 4096, 2
 SENTENCE, FORCED, WINDOW_COST, STEP, BLOCK, LEAST_POWER = 16, 512, 1, 512, 1 << 19, 256
-REMEMBER = 1_000_000  # pre-tokens whose ids a worker keeps
+REMEMBER = 700_000  # pre-tokens whose ids a worker keeps
 
 # Texts of these characters only are split here; the tokenizer's own splitting takes all others.
 PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xa1-\xa7\xb0\xb1\xb6\xb7\xbb\xbf-įı-ňŊ-ž]*")

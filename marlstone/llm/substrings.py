@@ -1,9 +1,10 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences after . ! ? before white space and at line
-ends; a sentence of more than LONG words is cut after every LONG words. Prose
-without stops (more than ENDLESS words) is cut after those words whose hash is
-divisible by EVERY, so that a passage has the same pieces wherever it is put. From each piece starts one span: the
+ends; a sentence of more than LONG words is cut after those words whose hash is
+divisible by EVERY, and where LONG words in a row have none, after the last of
+the least hash among them. So a passage has the same pieces wherever it is put,
+and no piece has more than LONG words. From each piece starts one span: the
 shortest run of at least SENTENCES pieces with at least WORDS words (none, if
 the text ends before). Spans are compared by a 64-bit hash of their words; the
 span that comes first by (id, text's hash, place) stays, and the pieces covered
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -29,13 +31,33 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table
 
-SENTENCES, WORDS, LONG, ENDLESS, EVERY = 2, 16, 12, 40, 4
+SENTENCES, WORDS, LONG, EVERY = 2, 16, 12, 4
 BREAK = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
 WORD = re.compile(r"\S+")
 
 Piece = tuple[int, int, int, str]  # start, end, words, words joined by a space
 
 
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def content_cuts(words: list[str]) -> list[int]:
+    """Numbers of words after which a long sentence is cut; each hangs on fewer than LONG words on either side."""
+    hashes = [_hash(w) for w in words[:-1]]
+    marks = [k for k, h in enumerate(hashes, 1) if h % EVERY == 0]
+    if all(b - a <= LONG for a, b in zip([0, *marks], [*marks, len(words)])):
+        return marks
+    out = set(marks)
+    for lo, hi in zip([0, *marks], [*marks, len(words)]):
+        inner = hashes[lo : hi - 1]  # none of these qualifies
+        for a in range(len(inner) - LONG + 1):
+            least = min(range(a, a + LONG), key=lambda k: (inner[k], -k))
+            out.add(lo + least + 1)
+    return sorted(out)
+
+
 def pieces(text: str) -> list[Piece]:
     """Sentences, and parts of long ones, that have words."""
     out: list[Piece] = []
@@ -48,10 +70,7 @@ def pieces(text: str) -> list[Piece]:
                 out.append((at, stop, len(words), " ".join(words)))
             else:
                 marks = [m.span() for m in WORD.finditer(text, at, stop)]
-                if len(words) <= ENDLESS:
-                    cuts = list(range(LONG, len(words), LONG))
-                else:
-                    cuts = [k for k, w in enumerate(words[:-1], 1) if crc32(w.encode("utf-8", "surrogatepass")) % EVERY == 0]
+                cuts = content_cuts(words)
                 for lo, hi in zip([0, *cuts], [*cuts, len(words)]):
                     out.append((marks[lo][0], marks[hi - 1][1], hi - lo, " ".join(words[lo:hi])))
         at = after

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from array import array
 
 import numpy as np
@@ -303,6 +304,26 @@ def test_repeated_passages_go_and_their_surroundings_stay(spark):
     assert got[3] == rows[2][1] and got[4] is None and got[5] == ""
 
 
+def test_passage_has_the_same_pieces_alone_and_mid_sentence(spark):
+    r = random.Random(1)
+    for n in range(20):
+        words = [f"v{r.randrange(10**6)}" for _ in range(102)]
+        say = lambda a, b: " ".join(words[a:b])
+        alone = f"{say(0, 30)}. {say(30, 42)}. {say(42, 72)}"
+        within = f"{say(72, 87)} {alone} {say(87, 102)}"
+        a, b = ([p[3] for p in substrings.pieces(t)] for t in (alone, within))
+        assert set(a[1:-1]) <= set(b) and len(a) > 6, n
+    for n in (*range(13, 60), 500):  # no word qualifies
+        dull = [w for w in (f"u{i}" for i in range(5000)) if zlib.crc32(w.encode()) % substrings.EVERY][:n]
+        for t in (" ".join(dull), "again " * n, "one two " * n):
+            parts = substrings.pieces(t)
+            assert max(p[2] for p in parts) <= substrings.LONG and " ".join(p[3] for p in parts) == t.strip()
+        a, b = ([p[3] for p in substrings.pieces(" ".join(x))] for x in (dull, [*words[:7], *dull]))
+        assert n < 40 or len(set(b) & set(a)) > len(a) - 4
+    got = [x.text for x in substrings.dedup(spark.createDataFrame([(1, alone), (2, within)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == alone and len(set(got[1].split()) & set(words[:72])) < 36 and got[1].startswith(words[72])
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 

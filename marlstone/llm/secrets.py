@@ -17,8 +17,11 @@ So acceptance controls the share of false discoveries apart for each encoding
 and length class: all candidates of the corpus are counted by p-value, random
 strings' p-values being spread evenly while others' gather near zero, and the
 least cut is taken beyond which the estimated share of others stays under
-ALPHA. The counts are a table of at most encodings x length classes x BINS
-rows, whatever the corpus.
+ALPHA. A class of few candidates borrows counts, the more the fewer it has:
+those of the encoding's neighbouring length classes, and from LONG_CLASS up an
+even spread, since long words gather in the lowest bin; a long candidate that
+passes the tests is so accepted on its own. The counts are a table of at most
+encodings x length classes x BINS rows, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH, ALPHA, BINS = 16, 0.05, 20
+LONG_CLASS, NEAR, BORROWED = 10, 2, 40  # 32 characters; length classes to either side; candidates
 
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
@@ -152,20 +156,40 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, types)
 
 
-def cuts(scanned: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """The least accepted p-value bin of each class: cls, cut (no row: none accepted).
+def cut_of(n: list[float], alpha: float = ALPHA) -> int | None:
+    """The least accepted bin of a class with n[b] candidates in bin b of BINS even bins.
 
-    With n(b) candidates in bin b of BINS even bins, the random ones in each bin
-    number about the mean r of the upper half's bins. Accepting bins b.. has an
-    estimated share 1 - r * (BINS - b) / sum n(b..) of others.
+    The random ones in each bin number about the mean r of the upper half's
+    bins. Accepting bins b.. has an estimated share 1 - r * (BINS - b) / sum n(b..)
+    of others.
+    """
+    r = sum(n[BINS // 2 :]) / (BINS // 2)
+    return next((b for b in range(BINS) if r > 0 and (total := sum(n[b:])) and 1 - r * (BINS - b) / total <= alpha), None)
+
+
+def borrowed(counts: dict[tuple[str, int], list[int]], encoding: str, length: int) -> list[float]:
+    """The class's counts and, shrunk by their number, those that it borrows."""
+    own = counts[encoding, length]
+    near = [sum(counts[encoding, length + d][b] for d in range(-NEAR, NEAR + 1) if d and (encoding, length + d) in counts) for b in range(BINS)]
+    scale = min(1.0, BORROWED / max(1, sum(near)))
+    even = BORROWED / BINS if length >= LONG_CLASS else 0.0
+    lent = [x * scale + even + (BORROWED if even and b == 0 else 0) for b, x in enumerate(near)]
+    weight = BORROWED / (BORROWED + sum(own))
+    return [x + weight * y for x, y in zip(own, lent)]
+
+
+def cuts(scanned: DataFrame, alpha: float = ALPHA) -> list[tuple[str, int]]:
+    """Class and least accepted p-value bin of each class that has one.
+
+    The driver reads the counts, at most a few thousand rows (encodings x length classes x BINS).
     """
     c = scanned.select(F.explode("found").alias("f")).select("f.cls", F.least(F.floor(F.col("f.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    counts = c.groupBy("cls", "bin").count()
-    upper = counts.groupBy("cls").agg((F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count")).otherwise(0)) / (BINS // 2)).alias("r"))
-    down = Window.partitionBy("cls").orderBy(F.col("bin").desc())
-    tail = counts.withColumn("accepted", F.sum("count").over(down)).join(upper, "cls")
-    share = 1 - F.col("r") * (BINS - F.col("bin")) / F.col("accepted")
-    return tail.filter((F.col("r") > 0) & (share <= alpha)).groupBy("cls").agg(F.min("bin").alias("cut"))
+    counts: dict[tuple[str, int], list[int]] = {}
+    for cls, b, n in c.groupBy("cls", "bin").count().collect():
+        encoding, length = cls.split(":")
+        counts.setdefault((encoding, int(length)), [0] * BINS)[b] = n
+    found = [(f"{e}:{k}", cut_of(borrowed(counts, e, k), alpha)) for e, k in sorted(counts)]
+    return [(cls, cut) for cls, cut in found if cut is not None]
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -177,7 +201,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
     them into the plan as one literal map.
     """
     scanned = materialize(scan(docs, id_col, text_col))
-    table = F.create_map(*[F.lit(x) for row in [("", BINS + 1), *cuts(scanned, alpha).collect()] for x in row])
+    table = F.create_map(*[F.lit(x) for row in [("", BINS + 1), *cuts(scanned, alpha)] for x in row])
     accepted = F.transform(
         F.filter("found", lambda f: F.floor(f["p"] * BINS) >= F.coalesce(F.try_element_at(table, f["cls"]), F.lit(BINS + 1))),
         lambda f: F.struct(f["start"].alias("start"), F.lit("random").alias("kind"), f["end"].alias("end")),

@@ -119,6 +119,25 @@ def test_randomness_parts_random_from_words(spark):
     assert len(found) > 240 and all(s["end"] - s["start"] == 40 and s["start"] == 11 for s in found)
 
 
+def test_lone_secret_of_a_class_is_found(spark):
+    r = random.Random(8)
+    rows, lone = [], {}
+    for name, alphabet in secrets.ALPHABETS[1:]:  # long runs of hex are a pattern
+        for size in (40, 86, 172):
+            while True:
+                token = "".join(r.choice(alphabet) for _ in range(size))
+                found = secrets.candidates(token, [])
+                if found and found[0][2].startswith(name + ":") and found[0][3] >= (0.1, 0.5, 0.9)[len(rows) % 3]:
+                    break
+            lone[len(rows)] = token
+            rows.append((len(rows), f"the key {token} here"))
+    words = "zzzzzzzzzzzzzzzzzzzzz11111yyyyyyyyyyyyyyyZZZZZZZZZZZZZZZ"
+    for corpus in [rows, *([row] for row in rows[:6])]:
+        docs = spark.createDataFrame([*corpus, (-1, f"the {words} here")], "doc_id long, text string")
+        got = {x.id: x.spans for x in secrets.detect(docs).collect()}
+        assert got[-1] == [] and all([(s.start, s.end, s.kind) for s in got[d]] == [(8, 8 + len(lone[d]), "random")] for d, _ in corpus)
+
+
 # --- 3, 6
 
 

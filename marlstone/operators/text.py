@@ -61,10 +61,10 @@ def text_wordcount(spark, sf_dir):
 
 
 def shingle_jaccard_benchmark(spark, sf_dir):
-    """Document and benchmark pairs that share three-word shingles, with their Jaccard index of 0.02 or more."""
+    """Document and benchmark pairs that share three-word shingles, with their Jaccard index."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), shingle_set(plain_words(F.col("text"))).alias("shingles"))
     b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), shingle_set(plain_words(F.col("text"))).alias("shingles"))
-    return jaccard_pairs(d, b).filter("jaccard >= 0.02")
+    return jaccard_pairs(d, b)
 
 
 def tfidf_terms(spark, sf_dir):

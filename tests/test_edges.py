@@ -31,6 +31,15 @@ def test_shingles_of_short_texts_are_empty(spark):
     assert [len(r[0]) for r in df.select(text.shingle_set(text.plain_words(F.col("t")))).collect()] == [0, 4, 0]
 
 
+def test_item_in_a_long_document_is_paired(spark, tmp_path):
+    item = " ".join(f"i{k}" for k in range(37))
+    long = " ".join(f"d{k}" for k in range(4000))
+    spark.createDataFrame([(1, f"{long} {item}"), (2, long)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in text.shingle_jaccard_benchmark(spark, str(tmp_path)).collect()]
+    assert got == [(1, 7, 0.0087)]
+
+
 def test_asof_takes_the_same_instant_and_nothing_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 5, "x"), (1, 3, "y")], "k int, t int, v string")

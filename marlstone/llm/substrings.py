@@ -4,9 +4,10 @@ A text is cut into sentences after . ! ? before white space and at line
 ends; a sentence of more than LONG words is cut after those words whose hash is
 divisible by EVERY, and where LONG words in a row have none, after the last of
 the least hash among them. So a passage has the same pieces wherever it is put,
-and no piece has more than LONG words. From each piece starts one span: the
-shortest run of at least SENTENCES pieces with at least WORDS words (none, if
-the text ends before). Spans are compared by a 64-bit hash of their words; the
+and no piece has more than LONG words. Spans are the shortest runs of at least
+SENTENCES pieces with at least WORDS words that start at each piece, and those
+that end at each (none, if the text ends or starts before), so that a repeated
+passage is covered to its last piece. Spans are compared by a 64-bit hash of their words; the
 span that comes first by (id, text's hash, place) stays, and the pieces covered
 by any other are removed.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, read_table
 
 SENTENCES, WORDS, LONG, EVERY = 2, 16, 12, 4
+BITS = 40
+START = (1 << BITS) - 1
 BREAK = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
 WORD = re.compile(r"\S+")
 
@@ -87,13 +91,42 @@ def span_end(parts: list[Piece], i: int) -> int:
     return 0
 
 
+def runs(parts: list[Piece]) -> list[tuple[int, int]]:
+    """Start and end (exclusive) of all spans, by start and then end.
+
+    The shortest run that ends at e starts at i where the shortest from i ends
+    at or before e, and the shortest from i + 1 after it.
+    """
+    n = len(parts)
+    sums = [0, *accumulate(p[2] for p in parts)]
+    out, end = [], 0
+    for i in range(n):
+        end = max(end, i + SENTENCES)
+        while end <= n and sums[end] - sums[i] < WORDS:
+            end += 1
+        if out:
+            last, first = out[-1]
+            out += [(last, e) for e in range(first + 1, min(end, n + 1))]
+        if end > n:
+            return out
+        out.append((i, end))
+    return out
+
+
 def spans(parts: list[Piece]) -> list[tuple[int, int]]:
-    """Piece at which each span starts, and its hash."""
-    out = []
-    for i in range(len(parts)):
-        if not (end := span_end(parts, i)):
-            break
-        out.append((i, xxhash.xxh64_intdigest(" ".join([p[3] for p in parts[i:end]]).encode("utf-8", "surrogatepass"))))
+    """Place of each span, and the hash of its words.
+
+    A place is the piece at which the span starts, and above START's bits how
+    many pieces longer it is than the shortest from there.
+    """
+    encoded = [p[3].encode("utf-8", "surrogatepass") for p in parts]
+    words = b" ".join(encoded)
+    starts = [0, *accumulate(len(e) + 1 for e in encoded)]
+    out, at, least = [], -1, 0
+    for i, end in runs(parts):
+        if i != at:
+            at, least = i, end
+        out.append((i | (end - least) << BITS, xxhash.xxh64_intdigest(words[starts[i] : starts[end] - 1])))
     return out
 
 
@@ -106,7 +139,7 @@ def _span_rows(docs: DataFrame) -> DataFrame:
 
             def out() -> pa.RecordBatch:
                 take = pa.array(owner, pa.int64())
-                columns = [pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32())]
+                columns = [pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int64())]
                 return pa.RecordBatch.from_arrays(columns, ["hash", "id", "key", "place"])
 
             for r, text in enumerate(batch.column(2).to_pylist()):
@@ -119,7 +152,7 @@ def _span_rows(docs: DataFrame) -> DataFrame:
                     owner, place, digest = [], [], []
             yield out()
 
-    return docs.mapInArrow(scan, f"hash bigint, id {docs.schema['id'].dataType.simpleString()}, key bigint, place int")
+    return docs.mapInArrow(scan, f"hash bigint, id {docs.schema['id'].dataType.simpleString()}, key bigint, place bigint")
 
 
 def repeated_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,8 +167,9 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = _span_rows(source)
     twice = materialize(rows.groupBy("hash").count().filter("count > 1").select("hash"))
     shared = materialize(rows.join(twice, "hash", "left_semi"))
-    first = materialize(shared.groupBy("hash").agg(F.min(F.struct("id", "key", "place")).alias("first")))
-    later = shared.join(first, "hash").filter(~F.struct("id", "key", "place").eqNullSafe(F.col("first")))
+    order = F.struct("id", "key", F.col("place").bitwiseAND(F.lit(START)).alias("start"))  # equal spans of a document start apart
+    first = materialize(shared.groupBy("hash").agg(F.min(order).alias("first")))
+    later = shared.join(first, "hash").filter(~order.eqNullSafe(F.col("first")))
     return later.groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
@@ -143,9 +177,10 @@ def cut_out(text: str, places: list[int]) -> tuple[str, list[tuple[int, int]], i
     """Text without the pieces of the spans at these places, the removed ranges, and the number of pieces removed."""
     parts = pieces(text)
     gone = np.zeros(len(parts) + 1, np.int64)
-    for i in places:
+    for place in places:
+        i = place & START
         gone[i] += 1
-        gone[span_end(parts, i)] -= 1
+        gone[span_end(parts, i) + (place >> BITS)] -= 1
     covered = np.cumsum(gone[:-1]) > 0
     ranges: list[tuple[int, int]] = []
     for i in np.flatnonzero(covered).tolist():

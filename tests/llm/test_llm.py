@@ -343,6 +343,43 @@ def test_passage_has_the_same_pieces_alone_and_mid_sentence(spark):
     assert got[0] == alone and len(set(got[1].split()) & set(words[:72])) < 36 and got[1].startswith(words[72])
 
 
+def brute_runs(parts):
+    """Shortest qualifying runs from each piece and up to each, found one by one."""
+    fit = lambda i, e: e - i >= substrings.SENTENCES and sum(p[2] for p in parts[i:e]) >= substrings.WORDS
+    n = len(parts)
+    ahead = {(i, min(e for e in range(i, n + 1) if fit(i, e))) for i in range(n) if fit(i, n)}
+    return sorted(ahead | {(max(i for i in range(e) if fit(i, e)), e) for e in range(1, n + 1) if fit(0, e)})
+
+
+def test_spans_run_from_and_up_to_each_piece(spark):
+    r = random.Random(5)
+    for _ in range(300):
+        parts = substrings.pieces(" ".join(" ".join(f"{r.choice('abcé')}{r.randrange(9)}" for _ in range(r.randrange(1, 13))) + "." for _ in range(r.randrange(9))))
+        runs = brute_runs(parts)
+        assert substrings.runs(parts) == runs
+        assert [(p & substrings.START, h) for p, h in substrings.spans(parts)] == [(i, xxhash.xxh64_intdigest(" ".join(p[3] for p in parts[i:e]).encode())) for i, e in runs]
+    say = lambda a, b: " ".join(f"s{k}" for k in range(a, b)) + "."
+    passage = f"{say(0, 12)} {say(12, 24)} {say(24, 27)}"
+    rows = [(1, passage), (2, passage), (3, f"Before it.\n{passage}\nAnother end follows here."), (4, f"{passage}\n{passage}")]
+    got = [x.text for x in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [passage, "", "Before it.\nAnother end follows here.", ""]
+
+
+def test_whole_table_against_both_kinds_of_runs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    seen, want = set(), {}
+    for d, t in sorted(rows):
+        parts = substrings.pieces(t or "")
+        gone = []
+        for i, e in brute_runs(parts) if len(parts) < 400 else substrings.runs(parts):
+            key = " ".join(p[3] for p in parts[i:e])
+            if key in seen:
+                gone.append(i | e - substrings.span_end(parts, i) << substrings.BITS)
+            seen.add(key)
+        want[d] = substrings.cut_out(t, gone)[0] if gone else t
+    assert {r.doc_id: r.text for r in queries.QUERIES["op10_sentence_spans"](spark, SF).collect()} == want
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 

@@ -118,7 +118,7 @@ def url_cap_arrival(spark, sf_dir):
 
 def kw_composite_score(spark, sf_dir):
     best = ranking(spark, sf_dir).groupBy("keyword").agg(F.max("volume").alias("volume"), F.min("position").alias("position"))
-    return composite_score(best, F.when(F.col("position") <= 50, 1.0 / F.col("position"))).orderBy(F.desc("score"), "keyword").limit(100)
+    return composite_score(best, F.when(F.col("position") <= 50, 1.0 / F.col("position"))).orderBy(F.desc("score"), "keyword")
 
 
 def url_frequency(spark, sf_dir):

@@ -60,6 +60,13 @@ def top_and_other(rows: DataFrame, group: str, key: str, value: str, k: int) ->
     return kept.withColumn("share", half_up(F.col(value) / F.sum(value).over(Window.partitionBy(group)), 2))
 
 
+def term_diff(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """Volumes of two terms by region, all regions of either, and their difference where both exist."""
+    side = lambda term, name: rows.filter(F.col("term") == term).select("geo", F.col("volume").alias(name))
+    both = side(left, "left_volume").join(side(right, "right_volume"), "geo", "full")
+    return both.withColumn("delta", F.col("right_volume") - F.col("left_volume")).withColumn("order_key", F.coalesce("right_volume", "left_volume", F.lit(-1).cast("long")))
+
+
 def market_compare(spark, sf_dir):
     return compare(region_terms(spark, sf_dir), regions(spark, sf_dir))
 
@@ -92,11 +99,7 @@ def adjacent_geos(spark, sf_dir):
 
 def scenario_diff(spark, sf_dir):
     """Volumes of urgent against low-priority demand by region, with a difference where both exist."""
-    t = region_terms(spark, sf_dir)
-    left = t.filter("term = '1-URGENT' AND volume % 3 <> 0").select("geo", F.col("volume").alias("left_volume"))
-    right = t.filter("term = '5-LOW' AND volume % 2 = 0").select("geo", F.col("volume").alias("right_volume"))
-    both = left.join(right, "geo", "full")
-    return both.withColumn("delta", F.col("right_volume") - F.col("left_volume")).withColumn("order_key", F.coalesce("right_volume", "left_volume", F.lit(-1).cast("long")))
+    return term_diff(region_terms(spark, sf_dir), "1-URGENT", "5-LOW")
 
 
 def dashboard_left_joins(spark, sf_dir):

@@ -5,7 +5,7 @@ import importlib
 from pyspark.sql import functions as F
 
 from marlstone.functions import numbers, urls
-from marlstone.operators import keywords, store, text
+from marlstone.operators import keywords, market, store, text
 
 
 def test_buckets_put_position_zero_on_page_two(spark):
@@ -40,6 +40,28 @@ def test_item_in_a_long_document_is_paired(spark, tmp_path):
     assert got == [(1, 7, 0.0087)]
 
 
+def test_all_keywords_are_scored(spark):
+    from conftest import SF
+
+    rows = keywords.ranking(spark, SF)
+    got = keywords.kw_composite_score(spark, SF).collect()
+    assert len(got) == rows.select("keyword").distinct().count() > 100
+    assert [(-r.score, r.keyword) for r in got] == sorted((-r.score, r.keyword) for r in got)
+
+
+def test_scenarios_of_all_regions_are_compared(spark):
+    from conftest import SF
+
+    t = market.region_terms(spark, SF).collect()
+    volume = {(r.geo, r.term): r.volume for r in t}
+    got = {r.geo: (r.left_volume, r.right_volume) for r in market.scenario_diff(spark, SF).collect()}
+    want = {g: (volume.get((g, "1-URGENT")), volume.get((g, "5-LOW"))) for g, term in volume if term in ("1-URGENT", "5-LOW")}
+    assert got == want
+    rows = spark.createDataFrame([(1, "a", 6), (1, "b", 5), (2, "a", 3), (3, "b", 1), (4, "c", 9)], "geo int, term string, volume long")
+    got = {tuple(r) for r in market.term_diff(rows, "a", "b").collect()}
+    assert got == {(1, 6, 5, -1, 5), (2, 3, None, None, 3), (3, None, 1, None, 1)}
+
+
 def test_asof_takes_the_same_instant_and_nothing_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 5, "x"), (1, 3, "y")], "k int, t int, v string")

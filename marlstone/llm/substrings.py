@@ -1,15 +1,17 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences after . ! ? before white space and at line
-ends; a sentence of more than LONG words is cut after those words whose hash is
-divisible by EVERY, and where LONG words in a row have none, after the last of
-the least hash among them. So a passage has the same pieces wherever it is put,
-and no piece has more than LONG words. Spans are the shortest runs of at least
-SENTENCES pieces with at least WORDS words that start at each piece, and those
-that end at each (none, if the text ends or starts before), so that a repeated
-passage is covered to its last piece. Spans are compared by a 64-bit hash of their words; the
-span that comes first by (id, text's hash, place) stays, and the pieces covered
-by any other are removed.
+ends. Prose without stops has no sentences to slide over: what runs on for more
+than LONG words is cut after those words whose hash is divisible by EVERY, and
+where LONG words in a row have none, after the last of the least hash among
+them, so that a passage has the same pieces wherever it is put. Spans are the
+shortest runs of at least SENTENCES pieces with at least WORDS words that start
+at each piece, and those that end at each (none, if the text ends or starts
+before), so that a repeated passage is covered to its last piece; any longer
+run is made of these. Spans are equal if the 128-bit hashes of their words are
+(of 10^14 spans, two that differ meet with a chance below 10^-10); the span
+that comes first by (id, text's hash, place) stays, and the pieces covered by
+any other are removed.
 
 Null texts stay null, empty ones empty, and a text whose pieces all go becomes
 empty; every row stays. Rows that repeat both id and text count as one
@@ -31,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, read_table
+from ..runtime import materialize, read_table, release
 
-SENTENCES, WORDS, LONG, EVERY = 2, 16, 12, 4
+SENTENCES, WORDS, LONG, EVERY = 2, 20, 40, 10
 BITS = 40
 START = (1 << BITS) - 1
 BREAK = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
@@ -113,8 +115,8 @@ def runs(parts: list[Piece]) -> list[tuple[int, int]]:
     return out
 
 
-def spans(parts: list[Piece]) -> list[tuple[int, int]]:
-    """Place of each span, and the hash of its words.
+def spans(parts: list[Piece]) -> tuple[list[int], bytes]:
+    """Place of each span, and the 16-byte hashes of their words, one after another.
 
     A place is the piece at which the span starts, and above START's bits how
     many pieces longer it is than the shortest from there.
@@ -122,55 +124,64 @@ def spans(parts: list[Piece]) -> list[tuple[int, int]]:
     encoded = [p[3].encode("utf-8", "surrogatepass") for p in parts]
     words = b" ".join(encoded)
     starts = [0, *accumulate(len(e) + 1 for e in encoded)]
-    out, at, least = [], -1, 0
+    places, digests, at, least = [], bytearray(), -1, 0
     for i, end in runs(parts):
         if i != at:
             at, least = i, end
-        out.append((i | (end - least) << BITS, xxhash.xxh64_intdigest(words[starts[i] : starts[end] - 1])))
-    return out
+        places.append(i | (end - least) << BITS)
+        digests += xxhash.xxh3_128_digest(words[starts[i] : starts[end] - 1])
+    return places, bytes(digests)
 
 
 def _span_rows(docs: DataFrame) -> DataFrame:
-    """hash, id, key, place of every span of (id, key, text)."""
+    """hash, check (the 128 bits), id, key, place of every span of (id, key, text)."""
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            owner, place, digest = [], [], []
+            owner, place, digest = [], [], bytearray()
 
             def out() -> pa.RecordBatch:
                 take = pa.array(owner, pa.int64())
-                columns = [pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int64())]
-                return pa.RecordBatch.from_arrays(columns, ["hash", "id", "key", "place"])
+                halves = np.frombuffer(bytes(digest), np.int64).reshape(-1, 2)
+                columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, ["hash", "check", "id", "key", "place"])
 
             for r, text in enumerate(batch.column(2).to_pylist()):
-                for i, h in spans(pieces(text or "")):
-                    owner.append(r)
-                    place.append(i)
-                    digest.append(h)
+                places, digests = spans(pieces(text or ""))
+                owner += [r] * len(places)
+                place += places
+                digest += digests
                 if len(owner) > 200_000:
                     yield out()
-                    owner, place, digest = [], [], []
+                    owner, place, digest = [], [], bytearray()
             yield out()
 
-    return docs.mapInArrow(scan, f"hash bigint, id {docs.schema['id'].dataType.simpleString()}, key bigint, place bigint")
+    return docs.mapInArrow(scan, f"hash bigint, check bigint, id {docs.schema['id'].dataType.simpleString()}, key bigint, place bigint")
 
 
 def repeated_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, places: where non-first repeated spans start, for each document that has any.
+    """id, key, places: where non-first repeated spans start, for each document that has any.
 
+    Texts are read once; the spans' table has their hashes and places only.
     Hashes alone are counted first, combined before the shuffle; only spans of
     repeated hashes go further. The first spans are a table of their own, as
     adaptive execution splits a hot hash only where both sides of a join are
     shuffled for it; no group of equal spans is gathered.
     """
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = _span_rows(source)
-    twice = materialize(rows.groupBy("hash").count().filter("count > 1").select("hash"))
-    shared = materialize(rows.join(twice, "hash", "left_semi"))
+    rows = materialize(_span_rows(source))
+    same = ["hash", "check"]
+    twice = materialize(rows.groupBy(*same).count().filter("count > 1").select(*same))
+    shared = materialize(rows.join(twice, same, "left_semi"))
+    release(rows)
+    release(twice)
     order = F.struct("id", "key", F.col("place").bitwiseAND(F.lit(START)).alias("start"))  # equal spans of a document start apart
-    first = materialize(shared.groupBy("hash").agg(F.min(order).alias("first")))
-    later = shared.join(first, "hash").filter(~order.eqNullSafe(F.col("first")))
-    return later.groupBy("key").agg(F.collect_set("place").alias("places"))
+    first = materialize(shared.groupBy(*same).agg(F.min(order).alias("first")))
+    later = shared.join(first, same).filter(~order.eqNullSafe(F.col("first")))
+    places = materialize(later.groupBy("id", "key").agg(F.collect_set("place").alias("places")))
+    release(shared)
+    release(first)
+    return places
 
 
 def cut_out(text: str, places: list[int]) -> tuple[str, list[tuple[int, int]], int]:
@@ -202,9 +213,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repor
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     d = docs.toDF(*names)
-    places = repeated_places(docs, id_col, text_col).withColumnRenamed("key", "_key")
-    key = F.xxhash64(F.col(names[docs.columns.index(id_col)]), F.col(names[at]))
-    joined = d.join(places, key == F.col("_key"), "left").select(*names, "places")
+    places = repeated_places(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "places")
+    own = F.col(names[docs.columns.index(id_col)])
+    joined = d.join(places, (F.xxhash64(own, F.col(names[at])) == F.col("_key")) & own.eqNullSafe(F.col("_id")), "left").select(*names, "places")
     extra = ["n_removed", "removed"] if report else []
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,12 @@ from all fingerprints' bit counts and part values. A part's key is
 probed with all keys that differ in at most t(i) bits; of two such keys only
 the smaller probes the larger. Candidates are verified on the whole
 fingerprint. Within a key's group no pairs are listed: a spanning forest of
-its links is enough for components, and is what a group emits.
+its links is enough for components, and is what a group emits. A group of more
+than HOT fingerprints is dealt again by the pigeonhole on the bits that its key
+leaves open (DISTANCE + 1 exact parts, two linked fingerprints agree on one), up
+to ROUNDS times, so that no task compares many that are unlike; what is alike
+is compared in one sweep, and no more than the some 10^6 fingerprints of a ball
+of that distance can be.
 
 Null and empty texts have fingerprint zero, linked like any other. Null ids
 get a component like others (the smallest id that is not null in it). Repeated
@@ -43,6 +48,7 @@ FEW = 8  # up to so many members, a group is compared pair by pair
 PARTS = (2, 3, 4, 5)
 PROBE_COST = 100.0  # of a probe, in verifications: written, shuffled and sorted it takes some 6 us, an XOR with its popcount 0.06
 MOST_PROBES = 200  # of one fingerprint
+HOT, ROUNDS = 4096, 3  # members from which a group is dealt again; how often
 
 
 def hashes(text: str, k: int = SHINGLE) -> list[int]:
@@ -191,7 +197,11 @@ def _key(part: list[int]):
 
 
 def signatures(fps: DataFrame, layout: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """part, key, fp: each fingerprint under its own keys and those larger ones it probes."""
+    """key, used, fp: each fingerprint under its own keys and those larger ones it probes.
+
+    A key is a hash of part and bits (two that collide share a group, and are
+    told apart there); used are the part's bits.
+    """
     shifts = [np.array(part, np.uint64) for part in layout]
     masks = [np.array([sum(1 << b for b in c) for q in range(1, t + 1) for c in combinations(range(len(part)), q)], np.int64) for part, t in zip(layout, thresholds)]
 
@@ -213,9 +223,56 @@ def signatures(fps: DataFrame, layout: list[list[int]], thresholds: list[int]) -
                         keys.append(probe[row, col])
                         owners.append(fp[row])
                     key, fp_out = np.concatenate(keys), np.concatenate(owners)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(fp_out)], ["part", "key", "fp"])
+                    used = np.bitwise_or.reduce(np.left_shift(np.uint64(1), bits)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(key, k)), pa.array(np.full(len(key), used)), pa.array(fp_out)], ["key", "used", "fp"])
+
+    return fps.select("fp").mapInArrow(scan, "key bigint, used bigint, fp bigint")
+
+
+def _mixed(key: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    """A 64-bit mix of keys and salts."""
+    x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(salt, np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def dealt_again(rows: DataFrame, distance: int) -> DataFrame:
+    """key, used, fp of hot groups' rows under distance + 1 exact parts of the bits not used so far."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, used, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for mask in np.unique(used):  # as many as parts, and paths through them
+                here = used == mask
+                bits = [b for b in range(BITS) if not int(mask) >> b & 1]
+                for k in range(distance + 1):
+                    part = np.array(sum(1 << b for b in bits[k :: distance + 1]), np.uint64).view(np.int64)
+                    owners = fp[here]
+                    sub = _mixed(_mixed(key[here], k + 1), owners & part)
+                    yield pa.RecordBatch.from_arrays([pa.array(sub), pa.array(np.full(len(sub), mask | part)), pa.array(owners)], ["key", "used", "fp"])
 
-    return fps.select("fp").mapInArrow(scan, "part int, key bigint, fp bigint")
+    return rows.mapInArrow(scan, "key bigint, used bigint, fp bigint")
+
+
+def cooled(rows: DataFrame, distance: int, hot: int | None = None) -> DataFrame:
+    """The rows, with those of hot groups dealt again."""
+    done = None
+    for _ in range(ROUNDS):
+        rows = materialize(rows)
+        large = materialize(rows.groupBy("key").count().filter(F.col("count") > (hot or HOT)).select("key"))
+        if large.isEmpty():
+            break
+        cold = rows.join(large, "key", "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        rows = dealt_again(rows.join(large, "key", "left_semi"), distance)
+    return rows if done is None else done.unionByName(rows)
+
+
+def links(fps: DataFrame, layout: list[list[int]], thresholds: list[int], distance: int, hot: int | None = None) -> DataFrame:
+    """Links a < b that connect each component of the fingerprints."""
+    ways = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cooled(signatures(fps, layout, thresholds), distance, hot).select("key", "fp")
+    return linked(rows.repartition(ways, "key").sortWithinPartitions("key"), distance)
 
 
 class Forest:
@@ -254,14 +311,14 @@ def forest_of_group(fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
 
 
 def linked(sorted_rows: DataFrame, distance: int) -> DataFrame:
-    """Links a < b among rows sorted by (part, key) within partitions; each task emits a star per component it sees."""
+    """Links a < b among rows sorted by key within partitions; each task emits a star per component it sees."""
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         held: list[np.ndarray] = []  # the group that may go on in the next batch
 
-        def work(part: np.ndarray, key: np.ndarray, fp: np.ndarray) -> None:
-            new = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)) + 1
+        def work(key: np.ndarray, fp: np.ndarray) -> None:
+            new = np.flatnonzero(np.diff(key) != 0) + 1
             group = np.zeros(len(fp), np.int64)
             group[new] = 1
             group = np.cumsum(group)
@@ -279,15 +336,15 @@ def linked(sorted_rows: DataFrame, distance: int) -> DataFrame:
                     forest.join(a, b)
 
         for batch in rows:
-            part, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             if not len(fp):
                 continue
             if held:
-                part, key, fp = (np.concatenate([h, x]) for h, x in zip(held, (part, key, fp)))
-            tail = len(fp) - int(np.argmax((part[::-1] != part[-1]) | (key[::-1] != key[-1]))) if (part[0], key[0]) != (part[-1], key[-1]) else 0
+                key, fp = (np.concatenate([h, x]) for h, x in zip(held, (key, fp)))
+            tail = len(fp) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
             if tail:
-                work(part[:tail], key[:tail], fp[:tail])
-            held = [part[tail:].copy(), key[tail:].copy(), fp[tail:].copy()]
+                work(key[:tail], fp[:tail])
+            held = [key[tail:].copy(), fp[tail:].copy()]
         if held:
             work(*held)
         pairs = [(x, forest.top(x)) for x in forest.up]
@@ -323,35 +380,41 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def grouped(own: DataFrame, distance: int) -> DataFrame:
+    """fp and root of each fingerprint in ``own`` that is linked to another."""
+    fps = materialize(own.select("fp").distinct())
+    layout, thresholds = plan(fps, distance)
+    found = components(links(fps, layout, thresholds, distance))
+    return found.select(F.col("node").alias("fp"), "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """id, fp, component_id of every row."""
-    spark = docs.sparkSession
     own = materialize(fingerprints(docs, id_col, text_col, k))
-    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("first")))
-    layout, thresholds = plan(fps, distance)
-    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = signatures(fps, layout, thresholds).repartition(ways, "part", "key").sortWithinPartitions("part", "key")
-    found = components(linked(rows, distance))
-    member = found.join(fps, found["node"] == fps["fp"]).select("fp", "root", "first")
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    by_fp = fps.join(named, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first").alias("component_id"))
-    by_fp = materialize(by_fp)
+    first = own.groupBy("fp").agg(F.min("id").alias("first"))
+    named = materialize(first.join(grouped(own, distance), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_fp = materialize(named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
     return own.join(by_fp, own["fp"] == by_fp["_fp"]).select("id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component: the one with the smallest id (of repeated ids, one of the rows).
+    """One row of each component: the least by (id, hash of the row), null ids last.
 
-    Rows with a null id are all kept. Texts are shuffled once, as the kept ids
-    are a part of all ids that no broadcast could be promised for.
+    Rows that repeat an id with texts of different components are all kept, one
+    of each; of rows equal in all columns one stays. Texts are shuffled once,
+    as the kept rows are a part of all that no broadcast could be promised for.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    d = docs.toDF(*names)
-    c = names[docs.columns.index(id_col)]
-    kept = near_duplicates(docs, id_col, text_col, k, distance).filter("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    rows = d.filter(F.col(c).isNotNull()).join(kept, F.col(c) == F.col("_kept"), "left_semi").dropDuplicates([c])
-    return rows.unionByName(d.filter(F.col(c).isNull())).toDF(*docs.columns)
+    c, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    plain = [f.name for f in docs.toDF(*names).schema if "map<" not in f.dataType.simpleString()]
+    d = docs.toDF(*names).withColumn("_row", F.xxhash64(*plain))
+    own = materialize(fingerprints(d.withColumn("_own", F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"), F.col("_row").alias("row"))), "_own", t, k))
+    best = own.groupBy("fp").agg(F.min("id").alias("first")).join(grouped(own, distance), "fp", "left")
+    kept = materialize(best.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.row").alias("_kept")))
+    release(own)
+    rows = d.join(kept, (F.col("_row") == F.col("_kept")) & F.col(c).eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["_row", c]).select(*names).toDF(*docs.columns)
 
 
 def op9_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,13 +287,33 @@ def test_links_of_a_dense_group(spark):
     distinct = df.groupBy("fp").agg(F.min("id").alias("first"))
     layout, thresholds = simhash.plan(distinct)
     assert sorted(b for p in layout for b in p) == list(range(64)) and sum(thresholds) == 4 - len(layout) + 1
-    found = simhash.components(simhash.linked(simhash.signatures(distinct, layout, thresholds).repartition(4, "part", "key").sortWithinPartitions("part", "key"), 4))
-    root = {r.node: r.root for r in found.collect()}
     want = brute_components(list(range(len(fps))), fps)
-    mine = {}
-    for i, f in enumerate(signed):
-        mine.setdefault(root.get(f, f), []).append(i)
-    assert sorted(map(sorted, mine.values())) == sorted(sorted(i for i in range(len(fps)) if want[i] == c) for c in set(want))
+    for hot in (None, 40, 2):  # two: every group is dealt again
+        root = {r.node: r.root for r in simhash.components(simhash.links(distinct, layout, thresholds, 4, hot)).collect()}
+        mine = {}
+        for i, f in enumerate(signed):
+            mine.setdefault(root.get(f, f), []).append(i)
+        assert sorted(map(sorted, mine.values())) == sorted(sorted(i for i in range(len(fps)) if want[i] == c) for c in set(want))
+
+
+def test_hot_group_of_unlike_fingerprints_is_dealt_again(spark):
+    r = random.Random(9)
+    fps = list({r.getrandbits(50) << 14 | 5 for _ in range(3000)})  # all share a part's key
+    fps += [f ^ 1 << 20 for f in fps[:50]]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = simhash.signatures(spark.createDataFrame([(f,) for f in signed], "fp long"), [list(range(14))], [0])
+    cool = simhash.cooled(rows, 4, hot=100)
+    assert rows.groupBy("key").count().agg(F.max("count")).first()[0] == len(set(fps)) and cool.groupBy("key").count().agg(F.max("count")).first()[0] <= 100
+    got = {(x.a, x.b) for x in simhash.linked(cool.select("key", "fp").repartition(4, "key").sortWithinPartitions("key"), 4).collect()}
+    assert {(min(p), max(p)) for p in zip(signed[:50], signed[-50:])} <= got
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = lambda p: " ".join(f"{p}{i}" for i in range(40))
+    a, b = words("a"), words("b")
+    rows = [(1, a, 0), (4, a, 1), (4, b, 2), (None, a, 3), (None, words("c"), 4), (7, words("d"), 5), (7, words("d"), 5), (9, b, 6)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((x.doc_id or 0, x.text[0], x.n) for x in got) == [(0, "c", 4), (1, "a", 0), (4, "b", 2), (7, "d", 5)]
 
 
 def plain_pieces(text):

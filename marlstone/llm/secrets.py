@@ -8,28 +8,35 @@ Candidates are the maximal runs of A-Za-z0-9+/_- (with = at the end) of MIN_LENG
 more that no base span touches. For each, the narrowest encoding that holds
 all its characters is inferred (decimal digits are nobody's encoding), and
 three tests ask whether it is a random string of that encoding: chi-squared
-for uniform use of the alphabet, a runs test about the alphabet's middle, and
-the serial correlation of neighbours. The candidate's p-value is three times
-the least of the three, at most 1.
-
-Words fail these tests the surer, the longer they are; short ones often pass.
-So acceptance controls the share of false discoveries apart for each encoding
-and length class: all candidates of the corpus are counted by p-value, random
-strings' p-values being spread evenly while others' gather near zero, and the
-least cut is taken beyond which the estimated share of others stays under
-ALPHA. A class of few candidates borrows counts, the more the fewer it has:
-those of the encoding's neighbouring length classes, and from LONG_CLASS up an
-even spread, since long words gather in the lowest bin; a long candidate that
-passes the tests is so accepted on its own. The counts are a table of at most
-encodings x length classes x BINS rows, whatever the corpus.
+for uniform use of the alphabet, in cells that language uses unevenly; a runs
+test about the alphabet's middle; and the serial correlation of neighbours. The
+greatest of the three scores is held against those of TRIALS seeded random
+strings of the same encoding and length, so p-values of random strings are
+even at every length (from LONGEST on the scores' distribution has settled, and
+that length's is used).
+
+Acceptance controls the share of false discoveries apart for each encoding and
+length class. How often a string that is not random reaches a p-value is known
+from DECOYS seeded names of its encoding and length (invented words in camel,
+snake, kebab and path case, codes and counters), not from the candidates. If
+all candidates of a class were such names, those at or above a cut would number
+about the class's size times the decoys' share; the least cut is taken where
+that is at most ALPHA of the candidates it accepts. Long names hardly ever
+reach a middling p-value, short ones often do, so the cut falls with length; a
+lone random string is accepted where fewer than ALPHA of its class's decoys
+come as far. The candidates' counts are a table of at most encodings x length
+classes x BINS rows, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +44,13 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, read_table
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_LENGTH, ALPHA, BINS = 16, 0.05, 20
-LONG_CLASS, NEAR, BORROWED = 10, 2, 40  # 32 characters; length classes to either side; candidates
+MIN_LENGTH, ALPHA, BINS = 16, 0.05, 50
+TRIALS, DECOYS, LONGEST = 2000, 20_000, 256
 
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")  # whole runs
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}")
 # Alphabets, narrowest first.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -55,8 +62,29 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+# The letters that most of a text is made of, and parts of invented words.
+COMMON = "aeinorst"
+ONSETS, VOWELS, CODAS = "b c d f g h l m n p r s t v w st tr ch pr th".split(), "a e i o u ea io ou".split(), ["", "", "", "n", "r", "s", "t", "l", "nd", "st"]
 INDEX = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in ALPHABETS]
 
+
+def _cell(c: str) -> int:
+    """Digits below and from 5, common and rare letters of either case, signs."""
+    if c.isdigit():
+        return int(c >= "5")
+    return 6 if not c.isalpha() else 2 + 2 * c.isupper() + (c.lower() not in COMMON)
+
+
+def _cells(alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each character, and the share of the alphabet in each cell."""
+    found = sorted({_cell(c) for c in alphabet})
+    cells = np.array([found.index(_cell(c)) for c in alphabet])
+    return cells, np.bincount(cells) / len(alphabet)
+
+
+CELLS = {name: _cells(a) for name, a in ALPHABETS}
+SIZES = {name: len(a) for name, a in ALPHABETS}
+
 Span = tuple[int, int, int]
 
 
@@ -70,56 +98,97 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def _chi2_tail(x: float, k: int) -> float:
-    """Upper tail of chi-squared with k degrees of freedom (Wilson-Hilferty)."""
-    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def encoding_of(token: str) -> tuple[str, list[int], int] | None:
-    """Name, character values and alphabet size of the narrowest encoding; None for
-    tokens of one character class only (digits, or letters of one case)."""
+def encoding_of(token: str) -> tuple[str, list[int]] | None:
+    """Name and character values of the narrowest encoding; None for tokens of one
+    character class only (digits, or letters of one case)."""
     body = token.rstrip("=")
     if body.isdigit() or not any(c.isdigit() for c in body) and (body.islower() or body.isupper() or body.istitle()):
         return None
     chars = set(body)
     for name, index, alphabet in INDEX:
         if chars <= alphabet:
-            return name, [index[c] for c in body], len(index)
+            return name, [index[c] for c in body]
     return None
 
 
-def randomness(values: list[int], size: int) -> float:
-    """P-value of the test battery under "uniform and independent over the alphabet"."""
-    n = len(values)
-    cells = min(size, max(2, n // 5))  # short tokens are counted in fewer, wider cells
-    counts = [0] * cells
-    for v in values:
-        counts[v * cells // size] += 1
-    widths = [(-(-(c + 1) * size // cells)) - (-(-c * size // cells)) for c in range(cells)]
-    p_chi = _chi2_tail(sum((o - n * w / size) ** 2 / (n * w / size) for o, w in zip(counts, widths)), cells - 1)
-    high = [2 * v >= size for v in values]
-    a = sum(high)
-    b = n - a
-    if a and b:
-        mean = 1 + 2 * a * b / n
-        var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        p_runs = _normal_tail((1 + sum(x != y for x, y in zip(high, high[1:])) - mean) / math.sqrt(var))
-    else:
-        p_runs = 2.0 ** (1 - n)
-    m = sum(values) / n
-    var = sum((v - m) ** 2 for v in values)
-    p_serial = _normal_tail((sum((x - m) * (y - m) for x, y in zip(values, values[1:])) / var + 1 / n) * math.sqrt(n)) if var else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+def scores(values: np.ndarray, encoding: str) -> np.ndarray:
+    """The greatest of the three tests' normal scores, for rows of character values."""
+    n, size = values.shape[1], SIZES[encoding]
+    cells, share = CELLS[encoding]
+    seen = cells[values]
+    counts = np.stack([(seen == c).sum(axis=1) for c in range(len(share))], axis=1)
+    chi = ((counts - n * share) ** 2 / (n * share)).sum(axis=1)
+    k = len(share) - 1
+    top = ((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))  # Wilson-Hilferty
+    high = 2 * values >= size
+    a = high.sum(axis=1)
+    mean = 1 + 2 * a * (n - a) / n
+    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-2)
+    runs = np.abs(1 + (high[:, 1:] != high[:, :-1]).sum(axis=1) - mean) / np.sqrt(var)
+    runs = np.where((a == 0) | (a == n), n, runs)
+    x = values - values.mean(axis=1, keepdims=True)
+    var = np.maximum((x * x).sum(axis=1), 1e-9)
+    serial = np.abs((x[:, 1:] * x[:, :-1]).sum(axis=1) / var + 1 / n) * math.sqrt(n)
+    return np.maximum(np.maximum(top, runs), serial)
+
+
+@lru_cache(1 << 12)
+def random_scores(encoding: str, n: int) -> np.ndarray:
+    """Sorted scores of TRIALS random strings."""
+    rng = np.random.default_rng([list(SIZES).index(encoding), n])
+    return np.sort(scores(rng.integers(0, SIZES[encoding], (TRIALS, n)), encoding))
+
+
+def p_values(values: np.ndarray, encoding: str) -> np.ndarray:
+    """Share of random strings of that length whose score is as high or higher."""
+    null = random_scores(encoding, min(values.shape[1], LONGEST))
+    return (1 + TRIALS - np.searchsorted(null, scores(values, encoding))) / (TRIALS + 1)
+
+
+@lru_cache(1)
+def _names() -> dict[str, str]:
+    """Seeded streams of names for each encoding; any stretch of one is a decoy."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(ONSETS) + rng.choice(VOWELS) + rng.choice(CODAS) for _ in range(rng.choice((1, 1, 2, 2, 3))))
+    digits = lambda most: str(rng.randrange(10 ** rng.randrange(1, most + 1)))
+    some = lambda most, share: digits(most) if rng.random() < share else ""
+    counter = lambda letters: f"{rng.randrange(1990, 2040)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}" + rng.choice(letters) * rng.randrange(1, 4) + "0" * rng.randrange(5)
+    camel = lambda: (w := word()) and rng.choice((w, w.capitalize(), w.capitalize(), w.capitalize(), w.upper())) + some(2, 0.1)
+    makers = {
+        "hex": lambda: counter("abcdef"),
+        "HEX": lambda: counter("ABCDEF"),
+        "base32": lambda: word().upper() + "".join(c for c in some(2, 0.3) if c in "234567"),
+        "alnum36": lambda: word() + some(4, 0.3),
+        "ALNUM36": lambda: word().upper() + some(4, 0.3),
+        "alnum62": camel,
+        "base64": lambda: rng.choice((camel(), word())) + rng.choice("///+"),
+        "base64url": lambda: rng.choice((word(), word(), word().upper(), camel(), digits(4))) + rng.choice("-_"),
+    }
+    return {name: "".join(make() for _ in range(30_000)) for name, make in makers.items()}
+
+
+@lru_cache(1 << 12)
+def decoy_shares(encoding: str, n: int) -> np.ndarray:
+    """For each bin of p-values: the share of decoys of length n in it or above (one more is counted for safety)."""
+    alphabet = ALPHABETS[list(SIZES).index(encoding)][1]
+    code = np.zeros(128, np.int64)
+    code[[ord(c) for c in alphabet]] = range(len(alphabet))
+    stream = code[np.frombuffer(_names()[encoding].encode(), np.uint8)]
+    n = min(n, LONGEST)
+    at = np.random.default_rng(n).integers(0, len(stream) - n, DECOYS)
+    p = np.concatenate([p_values(stream[at[a : a + 2000, None] + np.arange(n)], encoding) for a in range(0, DECOYS, 2000)])
+    bins = np.minimum((p * BINS).astype(int), BINS - 1)
+    return (1 + np.cumsum(np.bincount(bins, minlength=BINS)[::-1])[::-1]) / (DECOYS + 1)
 
 
 def length_class(n: int) -> int:
-    """Half octaves of the length."""
-    return int(2 * math.log2(n))
+    """Quarter octaves of the length."""
+    return int(4 * math.log2(n) + 1e-9)
+
+
+def shortest(cls: int) -> int:
+    """The least length of a class."""
+    return math.ceil(2 ** (cls / 4) - 1e-9)
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str, float]]:
@@ -127,7 +196,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str, float]]
     out = []
     for m in CANDIDATE.finditer(text):
         if (enc := encoding_of(m[0])) and not any(m.start() < b and a < m.end() for a, _, b in base):
-            out.append((m.start(), m.end(), f"{enc[0]}:{length_class(len(enc[1]))}", randomness(enc[1], enc[2])))
+            out.append((m.start(), m.end(), f"{enc[0]}:{length_class(len(enc[1]))}", float(p_values(np.array([enc[1]]), enc[0])[0])))
     return out
 
 
@@ -156,26 +225,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, types)
 
 
-def cut_of(n: list[float], alpha: float = ALPHA) -> int | None:
-    """The least accepted bin of a class with n[b] candidates in bin b of BINS even bins.
+def cut_of(counts: list[int], encoding: str, cls: int, alpha: float = ALPHA) -> int | None:
+    """The least accepted bin of a class with counts[b] candidates in bin b; None if there is none.
 
-    The random ones in each bin number about the mean r of the upper half's
-    bins. Accepting bins b.. has an estimated share 1 - r * (BINS - b) / sum n(b..)
-    of others.
+    Decoys have the class's least length, at which names come furthest.
     """
-    r = sum(n[BINS // 2 :]) / (BINS // 2)
-    return next((b for b in range(BINS) if r > 0 and (total := sum(n[b:])) and 1 - r * (BINS - b) / total <= alpha), None)
-
-
-def borrowed(counts: dict[tuple[str, int], list[int]], encoding: str, length: int) -> list[float]:
-    """The class's counts and, shrunk by their number, those that it borrows."""
-    own = counts[encoding, length]
-    near = [sum(counts[encoding, length + d][b] for d in range(-NEAR, NEAR + 1) if d and (encoding, length + d) in counts) for b in range(BINS)]
-    scale = min(1.0, BORROWED / max(1, sum(near)))
-    even = BORROWED / BINS if length >= LONG_CLASS else 0.0
-    lent = [x * scale + even + (BORROWED if even and b == 0 else 0) for b, x in enumerate(near)]
-    weight = BORROWED / (BORROWED + sum(own))
-    return [x + weight * y for x, y in zip(own, lent)]
+    false = sum(counts) * decoy_shares(encoding, shortest(cls))
+    accepted = np.cumsum(counts[::-1])[::-1]
+    good = np.flatnonzero((accepted > 0) & (false <= alpha * accepted))
+    return int(good[0]) if len(good) else None
 
 
 def cuts(scanned: DataFrame, alpha: float = ALPHA) -> list[tuple[str, int]]:
@@ -188,7 +246,7 @@ def cuts(scanned: DataFrame, alpha: float = ALPHA) -> list[tuple[str, int]]:
     for cls, b, n in c.groupBy("cls", "bin").count().collect():
         encoding, length = cls.split(":")
         counts.setdefault((encoding, int(length)), [0] * BINS)[b] = n
-    found = [(f"{e}:{k}", cut_of(borrowed(counts, e, k), alpha)) for e, k in sorted(counts)]
+    found = [(f"{e}:{k}", cut_of(n, e, k, alpha)) for (e, k), n in sorted(counts.items())]
     return [(cls, cut) for cls, cut in found if cut is not None]
 
 
@@ -200,7 +258,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
     hundred rows (encodings x length classes); the driver reads them and puts
     them into the plan as one literal map.
     """
-    scanned = materialize(scan(docs, id_col, text_col))
+    scanned = materialize(scan(docs, id_col, text_col))  # the result reads it, so it isn't released here
     table = F.create_map(*[F.lit(x) for row in [("", BINS + 1), *cuts(scanned, alpha)] for x in row])
     accepted = F.transform(
         F.filter("found", lambda f: F.floor(f["p"] * BINS) >= F.coalesce(F.try_element_at(table, f["cls"]), F.lit(BINS + 1))),

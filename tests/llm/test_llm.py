@@ -111,28 +111,83 @@ def test_windows_are_reconciled_across_edges():
         assert lstm_crf.label_texts(model, [text])[0][a + 2 : a + 20].all(), pad
 
 
-def test_randomness_parts_random_from_words(spark):
-    r = random.Random(3)
-    rows = [(i, " ".join(["the deploy", "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)), "zzzzzzzzzzzzzzzzzzzzz11111yyyyyyyyyyyyyyy"])) for i in range(300)]
-    spans = secrets.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    found = [s for row in spans for s in row.spans]
-    assert len(found) > 240 and all(s["end"] - s["start"] == 40 and s["start"] == 11 for s in found)
+ENGLISH = """account active address amount archive balance batch billing branch buffer build cache channel client cluster column commit config
+connection counter current customer database default delete deploy detail device document domain driver editor element email entry error event export
+factory field filter folder format gateway group handler header history image import index inventory invoice journal language latest layout library limit
+listener local manager market memory message metric module monitor network number object order output owner package page parser partner password payment
+policy printer process product profile project provider public query queue record region remote report request resource response result review route
+sample schedule schema search section server service session setting shipping status storage stream summary system table target template thread timeout
+token total tracking transfer update upload user value vendor version warehouse widget window worker""".split()
+ALNUM = secrets.ALPHABETS[5][1]
+
+
+def names(r, n):
+    """Identifiers as people write them, of MIN_LENGTH characters or more."""
+    out = []
+    while len(out) < n:
+        w = [r.choice(ENGLISH) for _ in range(r.randrange(2, 6))]
+        tail = str(r.randrange(100)) if r.random() < 0.3 else ""
+        style = r.randrange(6)
+        t = [w[0] + "".join(x.capitalize() for x in w[1:]), "".join(x.capitalize() for x in w), "_".join(w), "-".join(w), "/".join(w), "".join(w)][style] + tail
+        if len(t) >= secrets.MIN_LENGTH:
+            out.append(t)
+    return out
+
+
+def test_random_strings_have_even_p_values():
+    rng = np.random.default_rng(3)
+    for name, size in secrets.SIZES.items():
+        for n in (16, 23, 40, 300, 1000):
+            p = secrets.p_values(rng.integers(0, size, (1500, n)), name)
+            assert abs(p.mean() - 0.5) < 0.04 and all(abs((p <= q).mean() - q) < 0.04 for q in (0.05, 0.25, 0.5, 0.75)), (name, n)
+
+
+@pytest.mark.parametrize("planted", [0, 40, 400])
+def test_false_share_of_added_secrets_is_controlled(spark, planted):
+    r = random.Random(planted)
+    rows = [(f"open {x} now", None) for x in names(r, 2000)]
+    for k in range(planted):
+        t = "".join(r.choice(ALNUM) for _ in range(r.choice((20, 24, 32, 40, 64))))
+        rows.append((f"open {t} now", t))
+    found = {x.id: x.spans for x in secrets.detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    false = sum(bool(found[i]) for i in range(2000))
+    true = sum([(s.start, s.end) for s in found[i]] == [(5, 5 + len(t))] for i, (_, t) in enumerate(rows) if t)
+    assert false <= max(3, secrets.ALPHA * (true + false)) and true >= 0.8 * planted, (false, true)
+
+
+def test_cuts_against_brute_force(spark):
+    r = random.Random(12)
+    tokens = names(r, 500) + ["".join(r.choice(ALNUM) for _ in range(r.randrange(16, 60))) for _ in range(100)]
+    scanned = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "doc_id long, text string"))
+    found = [(f.cls, f.p) for x in scanned.collect() for f in x.found]
+    want = {}
+    for cls in {c for c, _ in found}:
+        name, k = cls.split(":")
+        least = next(n for n in range(1, 10_000) if secrets.length_class(n) == int(k))
+        share = secrets.decoy_shares(name, least)
+        ps = [p for c, p in found if c == cls]
+        for b in range(secrets.BINS):
+            at = [p for p in ps if min(int(p * secrets.BINS), secrets.BINS - 1) >= b]
+            if at and len(ps) * share[b] <= secrets.ALPHA * len(at):
+                want[cls] = b
+                break
+    assert dict(secrets.cuts(scanned)) == want and want
 
 
 def test_lone_secret_of_a_class_is_found(spark):
     r = random.Random(8)
-    rows, lone = [], {}
+    lone = {}
     for name, alphabet in secrets.ALPHABETS[1:]:  # long runs of hex are a pattern
         for size in (40, 86, 172):
             while True:
                 token = "".join(r.choice(alphabet) for _ in range(size))
                 found = secrets.candidates(token, [])
-                if found and found[0][2].startswith(name + ":") and found[0][3] >= (0.1, 0.5, 0.9)[len(rows) % 3]:
+                if found and found[0][2].startswith(name + ":") and found[0][3] >= (0.1, 0.5, 0.9)[len(lone) % 3]:
                     break
-            lone[len(rows)] = token
-            rows.append((len(rows), f"the key {token} here"))
+            lone[len(lone)] = token
     words = "zzzzzzzzzzzzzzzzzzzzz11111yyyyyyyyyyyyyyyZZZZZZZZZZZZZZZ"
-    for corpus in [rows, *([row] for row in rows[:6])]:
+    rows = [(d, f"the key {t} here") for d, t in lone.items()]
+    for corpus in [rows, *([row] for row in rows[:4])]:
         docs = spark.createDataFrame([*corpus, (-1, f"the {words} here")], "doc_id long, text string")
         got = {x.id: x.spans for x in secrets.detect(docs).collect()}
         assert got[-1] == [] and all([(s.start, s.end, s.kind) for s in got[d]] == [(8, 8 + len(lone[d]), "random")] for d, _ in corpus)

@@ -6,10 +6,14 @@ Repeated rows are judged, and counted for their host, as often as they come;
 an empty table gives an empty result. A null host is a host of its own.
 
 Beside the base rules, softer rules are counted by host. The failure rate of a
-rule at a host is shrunk towards all hosts by a beta prior, fitted to the hosts'
-rates by moments: (failures + a) / (documents + a + b). A host is distrusted
-where some rule's shrunk rate reaches HOST_LIMIT; of its documents, those that
-break a soft rule go. Documents that break no rule always stay.
+rule at a host is shrunk towards all hosts by a beta prior, (failures + a) /
+(documents + a + b), fitted by moments: its mean is the rate over all rows, its
+variance what the hosts' rates vary by beyond the chance of their numbers of
+documents (if nothing, all hosts have the mean). A host's verdict on a soft
+rule is that it breaks it by habit where the shrunk rate reaches HOST_LIMIT;
+documents that break a soft rule which their host breaks by habit go, while a
+slip at a host that keeps the rule is let pass. Documents that break no rule
+always stay.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from ..runtime import materialize, read_table
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # base rules: words, per cent of repeated ones
 SOFT_SYMBOLS, SOFT_DUP_LINES, SOFT_REPEAT = 10, 30, 30  # per cent of words, of lines, of words
-HOST_LIMIT = 0.6
-RULES = ("short", "repeats", "symbols", "dup_lines", "half_repeats")
+HOST_LIMIT = 0.05
+SOFT = ("symbols", "dup_lines", "half_repeats")
 BLANKS = "\t\n\x0b\x0c\r "
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -31,7 +35,7 @@ def with_counts(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """``keep`` columns with the counts of the text.
 
     Repeated three-word windows are found inside the row: windows sorted by
-    content lie beside their equals.
+    their words' 64-bit hash lie beside their equals.
     """
     t = df.select(*keep, F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
     words = F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -40,8 +44,8 @@ def with_counts(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     size = F.size("_w")
     windows = F.when(
         size >= 3,
-        F.array_sort(F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i")))),
-    ).otherwise(F.array().cast("array<struct<g:string,i:int>>"))
+        F.sort_array(F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i")))),
+    ).otherwise(F.array().cast("array<struct<g:bigint,i:int>>"))
     t = t.select(
         *keep,
         size.cast("long").alias("n_words"),
@@ -52,7 +56,7 @@ def with_counts(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
         windows.alias("_g"),
     )
     beside = lambda x, k, d: F.coalesce(F.get("_g", k + d)["g"] == x["g"], F.lit(False))
-    starts = F.array_sort(F.filter(F.transform("_g", lambda x, k: F.when(beside(x, k, -1) | beside(x, k, 1), x["i"]).otherwise(-1)), lambda i: i >= 0))
+    starts = F.sort_array(F.filter(F.transform("_g", lambda x, k: F.when(beside(x, k, -1) | beside(x, k, 1), x["i"]).otherwise(-1)), lambda i: i >= 0))
     t = t.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", starts.alias("_s"))
     steps = F.transform("_s", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_s", k + 1) - i, F.lit(3))))
     return t.select(*keep, *[c for c in COUNTS if c != "n_repeat_words"], F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
@@ -70,60 +74,65 @@ def broken() -> dict[str, Column]:
     }
 
 
-def host_verdicts(counted: DataFrame, host_col: str) -> DataFrame:
-    """host, host_rate (the highest shrunk failure rate) and distrusted, a row per host.
+def host_verdicts(flags: DataFrame, host_col: str) -> DataFrame:
+    """host, n, and for each soft rule the shrunk failure rate (``rate_...``), a row per host.
 
-    Only two moments of each rule over the hosts, one row, reach the driver.
+    Only sums over the hosts, one row, reach the driver.
     """
-    hosts = materialize(counted.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k.cast("long")).alias(r) for r, k in broken().items()]))
-    m = hosts.agg(*[f(F.col(r) / F.col("n")).alias(f"{r}_{n}") for r in RULES for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    rules = broken()
+    hosts = materialize(flags.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(rules[r].cast("long")).alias(r) for r in SOFT]))
+    total = hosts.agg(F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in SOFT]).first()
+    mean = {r: (total[r] or 0) / (total["n"] or 1) for r in SOFT}
+    p = {r: F.col(r) / F.col("n") for r in SOFT}
+    beyond = hosts.filter("n > 1").agg(*[F.avg((p[r] - mean[r]) * (p[r] - mean[r]) - p[r] * (1 - p[r]) / (F.col("n") - 1)).alias(r) for r in SOFT]).first()
     rates = []
-    for r in RULES:
-        mean, var = m[f"{r}_m"] or 0.0, m[f"{r}_v"] or 0.0
-        weight = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else 1e6
-        rates.append((F.col(r) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
-    rate = F.greatest(*rates)
-    return hosts.select("host", rate.alias("host_rate"), (rate >= HOST_LIMIT).alias("distrusted"))
+    for r in SOFT:
+        weight = max(mean[r] * (1 - mean[r]) / beyond[r] - 1, 1.0) if (beyond[r] or 0) > 0 else 1e6
+        rates.append(((F.col(r) + F.lit(mean[r] * weight)) / (F.col("n") + F.lit(weight))).alias(f"rate_{r}"))
+    return hosts.select("host", "n", *rates)
 
 
 def verdict() -> tuple[Column, Column]:
-    """base_failed and kept, from counts and ``distrusted``."""
+    """base_failed and kept, from counts and the host's rates."""
     rules = broken()
     base = rules["short"] | rules["repeats"]
-    soft = rules["symbols"] | rules["dup_lines"] | rules["half_repeats"]
-    # One condition on both sides of the join: pushed below the counts, a part of it would repeat them for each word.
-    return base, F.when(base, False).otherwise(~(F.coalesce("distrusted", F.lit(False)) & soft))
+    habit = F.lit(False)
+    for r in SOFT:
+        habit = habit | (rules[r] & F.coalesce(F.col(f"rate_{r}") >= HOST_LIMIT, F.lit(False)))
+    return base, ~base & ~habit
+
+
+def _with_hosts(counted: DataFrame, host: str) -> DataFrame:
+    """``counted`` with its hosts' rates; a few hosts are broadcast by their known size, many
+    are shuffled, where adaptive execution splits a hot host."""
+    hosts = host_verdicts(counted, host).select(F.col("host").alias("_host"), *[f"rate_{r}" for r in SOFT])
+    return counted.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, host, counts, base_failed, host_rate and kept of every row.
+    """id, host, counts, base_failed, the host's rates and kept of every row.
 
-    The counts are written once, without texts, and joined with the hosts'
-    verdicts; a few hosts are broadcast by their known size, many are shuffled,
-    where adaptive execution splits a hot host.
+    The counts are written once, without texts.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("_text"))
-    counted = materialize(with_counts(source, F.col("_text"), ["id", "host"]))
-    hosts = host_verdicts(counted, "host").withColumnRenamed("host", "_host")
+    joined = _with_hosts(materialize(with_counts(source, F.col("_text"), ["id", "host"])), "host")
     base, kept = verdict()
-    joined = counted.join(hosts, counted["host"].eqNullSafe(hosts["_host"]), "left")
-    return joined.select("id", "host", *COUNTS, base.alias("base_failed"), "host_rate", kept.alias("kept"))
+    return joined.select("id", "host", *COUNTS, base.alias("base_failed"), *[f"rate_{r}" for r in SOFT], kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    Texts are read twice, and neither shuffled nor written, as long as the
-    hosts' verdicts are small enough to broadcast.
+    Counts are made once; they are written together with the rows, those that
+    fail a base rule without their texts, because the hosts' rates need all counts.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)
     text, host = names[docs.columns.index(text_col)], names[docs.columns.index(host_col)]
-    counted = with_counts(d.select(F.col(host).cast("string").alias("host"), F.col(text).alias("_text")), F.col("_text"), ["host"])
-    hosts = host_verdicts(counted, "host").filter("distrusted").withColumnRenamed("host", "_host")
-    again = with_counts(d, F.col(text), names)
-    joined = again.join(materialize(hosts), again[host].cast("string").eqNullSafe(F.col("_host")), "left")
-    return joined.filter(verdict()[1]).select(*names).toDF(*docs.columns)
+    counted = with_counts(d.withColumn("host", F.col(host).cast("string")), F.col(text), [*names, "host"])
+    rules = broken()
+    written = materialize(counted.withColumn(text, F.when(~(rules["short"] | rules["repeats"]), F.col(text))))
+    return _with_hosts(written, "host").filter(verdict()[1]).select(*names).toDF(*docs.columns)
 
 
 def op8_quality_rules_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,15 @@ r AS (
 ),
 h AS (
   SELECT source, rule, count(*) AS n, sum(CAST(broke AS INT)) AS k
-  FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'dup_lines', 'half_repeats']) AS rule,
-               unnest([short, repeats, symbols, dup_lines, half_repeats]) AS broke FROM r)
+  FROM (SELECT source, unnest(['symbols', 'dup_lines', 'half_repeats']) AS rule, unnest([symbols, dup_lines, half_repeats]) AS broke FROM r)
   GROUP BY source, rule
 ),
-m AS (SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS var FROM h GROUP BY rule),
-p AS (SELECT rule, mean, CASE WHEN var > 0 THEN greatest(mean * (1 - mean) / var - 1, 1.0) ELSE 1e6 END AS weight FROM m),
-v AS (SELECT source, max((k + mean * weight) / (n + weight)) >= 0.6 AS distrusted FROM h JOIN p USING (rule) GROUP BY source)
+m AS (SELECT rule, sum(k) / sum(n) AS mean FROM h GROUP BY rule),
+b AS (SELECT rule, avg((k / n - mean) * (k / n - mean) - k / n * (1 - k / n) / (n - 1)) AS beyond FROM h JOIN m USING (rule) WHERE n > 1 GROUP BY rule),
+p AS (SELECT rule, mean, CASE WHEN beyond > 0 THEN greatest(mean * (1 - mean) / beyond - 1, 1.0) ELSE 1e6 END AS weight FROM m LEFT JOIN b USING (rule)),
+v AS (SELECT source, rule, (k + mean * weight) / (n + weight) >= 0.05::DOUBLE AS habit FROM h JOIN p USING (rule)),
+w3 AS (SELECT source, bool_or(habit AND rule = 'symbols') AS s, bool_or(habit AND rule = 'dup_lines') AS d, bool_or(habit AND rule = 'half_repeats') AS hr FROM v GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
-       NOT (short OR repeats) AND NOT (distrusted AND (symbols OR dup_lines OR half_repeats)) AS kept
-FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
+       NOT (short OR repeats) AND NOT (symbols AND s OR dup_lines AND d OR half_repeats AND hr) AS kept
+FROM r JOIN w3 ON r.source IS NOT DISTINCT FROM w3.source
 """

@@ -296,6 +296,23 @@ def test_query_matches_sql(spark, name):
     same(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name], SF)
 
 
+def test_habits_of_hosts(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    noisy = good + " ###" * 4
+    rows = [(good, "keeps")] * 60 + [(noisy, "keeps")] + [(good, "breaks")] * 30 + [(noisy, "breaks")] * 30 + [(good, None)] * 2 + [("short", "breaks"), (noisy, "alone")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = {x.id: x for x in quality_rules.judge(docs).collect()}
+    want = [not (len(t.split()) < 50 or "#" in t and h != "keeps") for t, h in rows]
+    assert [got[i].kept for i in range(len(rows))] == want
+    # The prior by hand: rate of all rows, variance between the hosts of several rows beyond chance.
+    k, n = {"keeps": 1, "breaks": 30, None: 0}, {"keeps": 61, "breaks": 61, None: 2}
+    mean = 32 / 125
+    beyond = np.mean([(k[h] / n[h] - mean) ** 2 - k[h] / n[h] * (1 - k[h] / n[h]) / (n[h] - 1) for h in k])
+    weight = max(mean * (1 - mean) / beyond - 1, 1.0)
+    assert all(abs(got[i].rate_symbols - (k[h] + mean * weight) / (n[h] + weight)) < 1e-12 for i, (_, h) in enumerate(rows) if h in k)
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == [i for i, w in enumerate(want) if w]
+
+
 # --- 9, 10, pipeline
 
 

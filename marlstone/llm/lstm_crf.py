@@ -8,6 +8,11 @@ back through time in both directions.
 
 Label 0 is "outside"; label k > 0 is the k-th kind. A path may not step from
 one kind straight to another.
+
+Texts are scored in overlapping windows. The windows' scores are reconciled
+globally: each position takes its scores from the window in which it lies
+deepest, and the labels are the best path over the whole document's scores, not
+over each window's.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN = 8
+SLACK = 0.05  # beyond its range, a gate still learns
 FLOOR = np.float32(1e-3)  # of the gates; keeps the cells out of denormal numbers, which are slow
 BARRED = np.float32(-1e4)
 # The characters the tagger tells apart; all others share classes by kind.
@@ -123,23 +129,6 @@ def emissions(model: Model, x: np.ndarray, keep: list | None = None) -> np.ndarr
     return scores
 
 
-def undecided(model: Model, scores: np.ndarray) -> np.ndarray:
-    """Windows in which some path may beat "outside everywhere"; an exact bound."""
-    trans = _legal(model.trans)
-    into, out, inside, idle = trans[0, 1:], trans[1:, 0], np.diag(trans)[1:], trans[0, 0]
-    # The best excursion into each kind gains its summed scores plus at most `toll`.
-    toll = np.max([into + out - idle - inside, out - inside, into - inside, idle - inside], axis=0)
-    step_gain = (inside - idle)[:, None]
-    run = scores[0] + step_gain
-    top = run.copy()
-    for t in range(1, len(scores)):
-        np.maximum(run, 0, out=run)
-        run += scores[t]
-        run += step_gain
-        np.maximum(top, run, out=top)
-    return np.flatnonzero((top + toll[:, None] > 0).any(axis=0))
-
-
 def decode(model: Model, scores: np.ndarray) -> np.ndarray:
     """Viterbi labels (T, B) of the scores (T, K-1, B)."""
     trans = _legal(model.trans)
@@ -224,7 +213,7 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray):
         do = dh * flat
         dc = dc + dh * o * (np.abs(c) < 1)
         da = np.stack([dc * g, dc * c0, do, 2 * dc * i])
-        da *= (raw > -0.05) & (raw < 1.05)  # a little slack keeps gates from dying
+        da *= (raw > -SLACK) & (raw < 1 + SLACK)  # a little slack keeps gates from dying
         dc = dc * f
         dh = np.matmul(da, model.rec[d].transpose(0, 2, 1)).sum(0)
         d_rec[d] += np.matmul(h0.T, da)
@@ -232,7 +221,7 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray):
     return loss, out
 
 
-def train(x: np.ndarray, y: np.ndarray, labels: int, *, seed: int = 7, epochs: int = 12, batch: int = 64, rate: float = 0.02) -> Model:
+def train(x: np.ndarray, y: np.ndarray, labels: int, *, seed: int = 7, epochs: int = 8, batch: int = 128, rate: float = 0.02) -> Model:
     """Adam over windows x, y (N, T); deterministic for given data and seed."""
     model = initial(labels, seed)
     rng = np.random.default_rng(seed)
@@ -256,38 +245,84 @@ def train(x: np.ndarray, y: np.ndarray, labels: int, *, seed: int = 7, epochs: i
     return model
 
 
-def label_texts(model: Model, texts: list[str], *, window: int = 512, halo: int = 32, lanes: int = 2048) -> list[np.ndarray]:
-    """Labels of every code point of every text.
+def islands(model: Model, scores: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of a document's scores (K-1, L) outside of which some best path is "outside".
+
+    A run of a kind gains its summed scores plus at most a toll. No run through
+    a position gains if the best sum through it, from running sums and their
+    extremes, plus the toll is not positive.
+    """
+    trans = _legal(model.trans).astype(np.float64)
+    into, out, inside, idle = trans[0, 1:], trans[1:, 0], np.diag(trans)[1:], trans[0, 0]
+    toll = np.max([into + out - idle - inside, out - inside, into - inside, idle - inside], axis=0)
+    step = scores + (inside - idle)[:, None]
+    total = np.cumsum(step, axis=1)
+    before = total - step
+    reach = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1] - np.minimum.accumulate(before, axis=1)
+    open_ = np.concatenate([[False], (reach + toll[:, None] > 0).any(axis=0), [False]])
+    edges = np.flatnonzero(open_[1:] != open_[:-1]).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def best_paths(model: Model, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Viterbi labels of whole documents, each given by its scores (K-1, L).
 
-    Texts are cut into windows that overlap by twice the halo. Each window is
-    decoded alone; a position takes its label from the window in which it lies
-    deepest, so the document's label string is whole and free of window edges.
+    Islands are decoded in batches; around each the path is "outside", so their
+    paths together are the document's best path.
     """
-    result = [np.zeros(len(t), np.uint8) for t in texts]
+    result = [np.zeros(x.shape[1], np.uint8) for x in texts]
+    groups: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
+    for n, x in enumerate(texts):
+        for a, b in islands(model, x):
+            ends = b == x.shape[1]
+            lead = int(a > 0)
+            groups.setdefault((lead + b - a if ends else -(-(lead + b - a + 1) // 16) * 16, ends), []).append((n, a, b))
+    for (length, _), jobs in groups.items():
+        for c in range(0, len(jobs), 4096):
+            part = jobs[c : c + 4096]
+            s = np.full((length, len(model.bias), len(part)), BARRED, np.float32)  # barred where the path is outside for certain
+            for r, (n, a, b) in enumerate(part):
+                s[int(a > 0) : int(a > 0) + b - a, :, r] = texts[n][:, a:b].T
+            y = decode(model, s)
+            for r, (n, a, b) in enumerate(part):
+                result[n][a:b] = y[int(a > 0) : int(a > 0) + b - a, r]
+    return result
+
+
+def text_scores(model: Model, texts: list[str], *, window: int = 512, halo: int = 32, lanes: int = 2048) -> list[np.ndarray]:
+    """Scores (K-1, length) of every code point of every text, from windows that overlap by twice the halo."""
+    coded = [classes(t) for t in texts]
+    result = [np.empty((len(model.bias), len(x)), np.float32) for x in coded]
     stride = window - 2 * halo
     groups: dict[int, list[tuple[int, int, int]]] = {}
-    coded = [classes(t) for t in texts]
     for n, x in enumerate(coded):
         for start in range(0, max(len(x) - 2 * halo, 1), stride):
             size = min(window, len(x) - start)
             if size:
                 groups.setdefault(-(-size // 64) * 64, []).append((n, start, size))
     for length, jobs in groups.items():
-        kept, held = [], []
         for b in range(0, len(jobs), lanes):
             part = jobs[b : b + lanes]
             x = np.full((len(part), length), PAD, np.uint8)
             for r, (n, start, size) in enumerate(part):
                 x[r, :size] = coded[n][start : start + size]
-            scores = emissions(model, np.ascontiguousarray(x.T))
-            open_ = undecided(model, scores)
-            kept.append(scores[:, :, open_])
-            held += [part[r] for r in open_]
-        if not held:
-            continue
-        y = decode(model, np.concatenate(kept, axis=2))
-        for r, (n, start, size) in enumerate(held):
-            lo = 0 if start == 0 else halo
-            hi = size if start + size == len(coded[n]) else window - halo
-            result[n][start + lo : start + hi] = y[lo:hi, r]
+            scores = np.ascontiguousarray(emissions(model, np.ascontiguousarray(x.T)).transpose(2, 1, 0))
+            for r, (n, start, size) in enumerate(part):
+                lo = 0 if start == 0 else halo
+                hi = size if start + size == len(coded[n]) else window - halo
+                result[n][:, start + lo : start + hi] = scores[r, :, lo:hi]
     return result
+
+
+def label_texts(model: Model, texts: list[str], **how: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Labels and scores of every code point of every text."""
+    scores = text_scores(model, texts, **how)
+    return list(zip(best_paths(model, scores), scores))
+
+
+def gain(model: Model, scores: np.ndarray, kind: int, a: int, b: int) -> float:
+    """By how much the path that is ``kind`` (from 0) from a to b, between outsides, beats "outside" there."""
+    trans = _legal(model.trans)
+    idle = float(trans[0, 0])
+    inside = (b - a - 1) * float(trans[kind + 1, kind + 1])
+    return float(scores[kind, a:b].sum(dtype=np.float64)) + float(trans[0, kind + 1] + trans[kind + 1, 0]) + inside - (b - a + 1) * idle

@@ -72,6 +72,7 @@ def _decoy(r: random.Random) -> str:
             f"Version {r.randrange(9)}.{r.randrange(9)}", f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"', f"{_word(r)}-{_word(r)}", f"({_word(r)})",
             f"20{_digits(r, 2)}-{_digits(r, 2)}-{_digits(r, 2)}", f"{_digits(r, 2)}:{_digits(r, 2)}", f"http://{_word(r)}.example.org/{_digits(r, 3)}", f"{_digits(r, 2)}%", f"{_word(r)} at {_word(r)}",
             _digits(r, r.randrange(20, 30)), f"#{_digits(r, 5)}", f"{_digits(r, 1)},{_digits(r, 3)},{_digits(r, 3)}",
+            " ".join([r.choice((_word(r), "at", "and"))] * r.randrange(2, 9)), f"{_word(r)} at {_word(r)} {_word(r)}.", f"CC BY-NC {r.randrange(5)}.0.",
         )
     )
 
@@ -85,7 +86,7 @@ def labelled_windows(count: int, length: int, seed: int) -> tuple[np.ndarray, np
     xs, ys = [], []
     for _ in range(count):
         text, spans = "", []
-        rate = r.choice((0.0, 0.05, 0.12, 0.25))
+        rate = r.choice((0.0, 0.0, 0.05, 0.12, 0.25))
         while len(text) < length:
             p = r.random()
             if p < rate:

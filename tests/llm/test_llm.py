@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -104,11 +105,98 @@ def test_tagger_learns_and_adds():
 
 def test_windows_are_reconciled_across_edges():
     model = pii.trained_model()
-    for pad in range(430, 520, 7):
+    mail = " nd.24@mail4.example.com "
+    for pad in range(400, 560, 3):
         text = "the and of " * 60
-        text = text[:pad] + " nd.24@mail4.example.com " + text
-        a = text.index("nd.24")
-        assert lstm_crf.label_texts(model, [text])[0][a + 2 : a + 20].all(), pad
+        text = text[:pad] + mail + text
+        small, whole = (lstm_crf.label_texts(model, [text], window=w)[0][0] for w in (512, 2048))
+        assert small[pad + 3 : pad + 20].all() and (small == whole).mean() > 0.99, pad
+
+
+def all_paths_best(model, scores):
+    """The best of all label paths, tried one by one."""
+    trans, (k, n) = lstm_crf._legal(model.trans), scores.shape
+    full = np.concatenate([np.zeros((1, n)), scores])
+    best = max(itertools.product(range(k + 1), repeat=n), key=lambda p: sum(full[x, t] for t, x in enumerate(p)) + sum(trans[x, y] for x, y in zip(p, p[1:])))
+    return list(best)
+
+
+def test_document_paths_against_all_paths():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        model = lstm_crf.initial(3, 1)
+        model.trans[:] = rng.standard_normal((3, 3))
+        texts = [rng.standard_normal((2, n)).astype(np.float32) * 2 - 1 for n in (1, 2, 5, 8)]
+        assert [y.tolist() for y in lstm_crf.best_paths(model, texts)] == [all_paths_best(model, x) for x in texts]
+    model.trans[:] = [[0.5, -3, -3], [-3, 0.2, 0], [-3, 0, 0.2]]
+    long = rng.standard_normal((2, 3000)).astype(np.float32) * 2 - 1
+    want = lstm_crf.decode(model, long.T[:, :, None])[:, 0]
+    got = lstm_crf.best_paths(model, [long])[0]
+    assert (got == want).all() and got.any() and len(lstm_crf.islands(model, long)) > 1
+
+
+def test_crf_gradient_against_all_paths():
+    rng = np.random.default_rng(5)
+    model = lstm_crf.initial(3, 2)
+    model.trans[:] = rng.standard_normal((3, 3))
+    s, y = rng.standard_normal((4, 1, 3)).astype(np.float32), np.array([[0], [1], [1], [0]])
+    trans = lstm_crf._legal(model.trans).astype(float)
+    paths = list(itertools.product(range(3), repeat=4))
+    weight = np.array([np.exp(sum(s[t, 0, x] for t, x in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+    weight /= weight.sum()
+    loss, marginal, grad = lstm_crf._crf_gradient(model, s, y)
+    assert abs(loss + np.log(weight[paths.index((0, 1, 1, 0))])) < 1e-3
+    for t, x in itertools.product(range(4), range(3)):
+        assert abs(marginal[t, 0, x] - (sum(w for w, p in zip(weight, paths) if p[t] == x) - (y[t, 0] == x))) < 1e-3
+    for a, b in ((0, 0), (0, 1), (1, 1), (2, 0)):
+        seen = sum(w * sum((x, z) == (a, b) for x, z in zip(p, p[1:])) for w, p in zip(weight, paths))
+        assert abs(grad[a, b] - seen + [(0, 1), (1, 1), (1, 0)].count((a, b))) < 1e-3
+
+
+def test_network_gradient_by_differences(monkeypatch):
+    monkeypatch.setattr(lstm_crf, "SLACK", 0.0)
+    rng = np.random.default_rng(6)
+    model = lstm_crf.initial(3, 3)
+    x, y = rng.integers(0, lstm_crf.CLASSES, (12, 5)), rng.integers(0, 2, (12, 5))
+    _, grads = lstm_crf.gradients(model, x, y)
+    checked = 0
+    for array, g in zip(model.arrays(), grads):
+        for at in np.argsort(np.abs(g).ravel())[-6:]:
+            at, eps = np.unravel_index(at, g.shape), 4e-3
+            if array is model.trans and lstm_crf._legal(model.trans)[at] == lstm_crf.BARRED:
+                continue
+            was = array[at]
+            array[at] = was + eps
+            high = lstm_crf.gradients(model, x, y)[0]
+            array[at] = was - eps
+            low = lstm_crf.gradients(model, x, y)[0]
+            array[at] = was
+            assert abs((high - low) / (2 * eps) - g[at]) < 0.05 * abs(g[at]) + 5e-3
+            checked += 1
+    assert checked > 20
+
+
+def test_added_spans_are_right_and_found():
+    model, r = pii.trained_model(), random.Random(21)
+    true = found = added = 0
+    for _ in range(300):
+        prose = [r.choice(ENGLISH) for _ in range(40)]
+        mail = f"{r.choice(ENGLISH)}{r.choice('._')}{r.choice(ENGLISH)} [at] {r.choice(ENGLISH)} [dot] {r.choice(('com', 'org', 'net'))}"
+        phone = f"({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(10**4):04d}"
+        text, want = "", []
+        for k, w in enumerate(prose):
+            if k in (13, 29):
+                s, kind = ((mail, 0), (phone, 3))[k == 29]
+                want.append((len(text), kind, len(text) + len(s)))
+                text += s + " "
+            text += w + " "
+        base, spans = pii.find([text], model)[0]
+        more = set(spans) - set(base)
+        touch = lambda x, y: x[1] == y[1] and x[0] < y[2] and y[0] < x[2] and min(x[2], y[2]) - max(x[0], y[0]) >= 0.6 * (y[2] - y[0])
+        true, added = true + len(want), added + len(more)
+        found += sum(any(touch(m, w) for m in more) for w in want)
+    assert found > 0.8 * true and added < 1.1 * true, (true, found, added)
+    assert all(x == y for x, y in pii.find([" ".join(r.choice(ENGLISH) for _ in range(300)) for _ in range(40)], model))
 
 
 ENGLISH = """account active address amount archive balance batch billing branch buffer build cache channel client cluster column commit config

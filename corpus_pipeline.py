@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept. All but the last return the columns of documents.
+
+Null and empty texts, and short ones, break a base rule and go in the first
+stage. Rows that repeat an id with other texts are rows of their own up to
+packing, where pieces carry the id of each; rows that repeat id and text are
+near-duplicates, of which one stays. A null id, language or source changes
+nothing but the order: null ids come last among near-duplicates. Further columns
+pass through all stages but the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,32 +18,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import packing, pii, quality_rules, simhash, substrings
-from marlstone.runtime import read_table, shared_dir
+from marlstone.runtime import mark, read_table, shared_dir, sweep
+
+
+def _staged(work, docs: DataFrame) -> DataFrame:
+    """``work(docs)``, after deleting the tables that earlier stages wrote for themselves.
+
+    Their rows are written and read again as ``docs`` by now; a table that ``docs`` still reads stays.
+    """
+    sc = docs.sparkSession.sparkContext
+    sweep(docs, getattr(sc, "_marlstone_stage", mark(docs.sparkSession)))
+    sc._marlstone_stage = mark(docs.sparkSession)
+    return work(docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a base rule, or a soft one at a distrusted host, go."""
-    return quality_rules.keep_good(docs)
+    return _staged(quality_rules.keep_good, docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    return _staged(simhash.keep_first, docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences covered by a repeated span that isn't its first go from the texts."""
-    return substrings.dedup(docs)
+    return _staged(substrings.dedup, docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
-    return pii.redact(docs)
+    return _staged(pii.redact, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are tokenized and packed; a row for each piece."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    return _staged(packing.pack, docs).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -55,6 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
     docs = read_table(spark, sf_dir, "documents")
+    spark.sparkContext._marlstone_stage = mark(spark)
     folder = f"{shared_dir(spark)}/marlstone-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"

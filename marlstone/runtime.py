@@ -11,18 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a temporary folder takes its place.
+    Where it is unset, a temporary folder takes its place, but only on a local master.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     known = getattr(sc, "_marlstone_shared", None)
     if known is None:
         known = sc._marlstone_shared = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     return known
 
 
+def _written(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_marlstone_written"):
+        sc._marlstone_written = []
+    return sc._marlstone_written
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
@@ -32,18 +41,37 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    """Delete the tables that ``materialize`` wrote for ``df``, which nothing reads any more."""
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if "marlstone-" in parent:
-            fs.delete(path, True)
+            _delete(df.sparkSession, parent)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables ``materialize`` has written."""
+    return len(_written(spark))
+
+
+def sweep(result: DataFrame, since: int) -> DataFrame:
+    """Delete the tables written since a mark that ``result`` doesn't read; returns ``result``."""
+    spark = result.sparkSession
+    read = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
+    tables = _written(spark)
+    for path in tables[since:]:
+        if path.rsplit("/", 1)[1] not in read:
+            _delete(spark, path)
+            tables.remove(path)
+    return result
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, read_table, release
+from ..runtime import mark, materialize, read_table, release, sweep
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 FEW = 8  # up to so many members, a group is compared pair by pair
@@ -382,10 +382,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(own: DataFrame, distance: int) -> DataFrame:
     """fp and root of each fingerprint in ``own`` that is linked to another."""
+    since = mark(own.sparkSession)
     fps = materialize(own.select("fp").distinct())
     layout, thresholds = plan(fps, distance)
     found = components(links(fps, layout, thresholds, distance))
-    return found.select(F.col("node").alias("fp"), "root")
+    return sweep(found.select(F.col("node").alias("fp"), "root"), since)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -408,13 +409,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [f"c{i}" for i in range(len(docs.columns))]
     c, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     plain = [f.name for f in docs.toDF(*names).schema if "map<" not in f.dataType.simpleString()]
-    d = docs.toDF(*names).withColumn("_row", F.xxhash64(*plain))
-    own = materialize(fingerprints(d.withColumn("_own", F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"), F.col("_row").alias("row"))), "_own", t, k))
+    d = docs.toDF(*names).withColumn("_row", F.xxhash64(*plain)).withColumn("_again", F.xxhash64(F.lit(1), *plain))
+    own = materialize(fingerprints(d.withColumn("_own", F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"), F.col("_row").alias("row"), F.col("_again").alias("again"))), "_own", t, k))
     best = own.groupBy("fp").agg(F.min("id").alias("first")).join(grouped(own, distance), "fp", "left")
-    kept = materialize(best.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.row").alias("_kept")))
+    kept = materialize(best.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"), F.col("first.again").alias("_again")))
     release(own)
-    rows = d.join(kept, (F.col("_row") == F.col("_kept")) & F.col(c).eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_row", c]).select(*names).toDF(*docs.columns)
+    rows = d.join(kept, ["_row", "_again"], "left_semi")  # 128 bits of the whole row, its id included
+    return rows.dropDuplicates(["_row", "_again"]).select(*names).toDF(*docs.columns)
 
 
 def op9_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ out from those before it (mean plus SPREAD deviations of up to MEMORY of them).
 
 Null and empty texts are payloads of 64 zero bytes. Equal texts give equal
 values. An empty table gives an empty result; other columns are not read.
-Bytes that are not an AVI, and frames that are not baseline JPEG, raise ValueError.
+Bytes that are not an AVI, cut files, and frames that are not baseline JPEG raise
+ValueError; in ``clips`` such a file has one row, with the error and no times.
 """
 
 from __future__ import annotations
@@ -389,8 +390,11 @@ def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def read_avi(videos: list[bytes]) -> list[tuple[list[np.ndarray], float]]:
     """Decoded luma frames and seconds per frame of each video."""
-    parsed = [frame_bytes(v) for v in videos]
-    decoded = decode_frames([f for frames, _ in parsed for f in frames])
+    try:
+        parsed = [frame_bytes(v) for v in videos]
+        decoded = decode_frames([f for frames, _ in parsed for f in frames])
+    except (struct.error, LookupError, TypeError, ZeroDivisionError) as e:  # what a cut or damaged file leads to
+        raise ValueError(f"damaged video: {e}") from e
     out, at = [], 0
     for frames, seconds in parsed:
         out.append((decoded[at : at + len(frames)], seconds))
@@ -399,23 +403,29 @@ def read_avi(videos: list[bytes]) -> list[tuple[list[np.ndarray], float]]:
 
 
 def clips(videos: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
-    """Timed clip rows of AVI files: id, clip, start_s, end_s, frames. Null bytes give none."""
+    """Timed clip rows of AVI files: id, clip, start_s, end_s, frames, error.
+
+    Null bytes give no row; a file that can't be read gives one with its error alone.
+    """
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r, data in enumerate(batch.column(1).to_pylist()):
                 if data is None:
                     continue
-                frames, seconds = read_avi([data])[0]
-                found = shots(frames)
-                columns = [[k for k in range(len(found))], [a * seconds for a, _ in found], [(b + 1) * seconds for _, b in found], [b - a + 1 for a, b in found]]
+                try:
+                    frames, seconds = read_avi([data])[0]
+                    found = [(k, a * seconds, (b + 1) * seconds, b - a + 1, None) for k, (a, b) in enumerate(shots(frames))]
+                except ValueError as e:
+                    found = [(None, None, None, None, str(e))]
+                columns = [list(c) for c in zip(*found)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([r] * len(found), pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.int64())))],
-                    ["id", "clip", "start_s", "end_s", "frames"],
+                    [batch.column(0).take(pa.array([r] * len(found), pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string())))],
+                    ["id", "clip", "start_s", "end_s", "frames", "error"],
                 )
 
     kind = videos.schema[id_col].dataType.simpleString()
-    return videos.select(videos[id_col].alias("id"), videos[bytes_col].alias("data")).mapInArrow(scan, f"id {kind}, clip bigint, start_s double, end_s double, frames bigint")
+    return videos.select(videos[id_col].alias("id"), videos[bytes_col].alias("data")).mapInArrow(scan, f"id {kind}, clip bigint, start_s double, end_s double, frames bigint, error string")
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:

@@ -34,7 +34,7 @@ from ..runtime import read_table
 
 # White space as the pattern's \s means it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-REMEMBER = 400_000  # entries of each generation of a memo
+REMEMBER, LONG_PIECE = 400_000, 200  # entries of each generation of a memo; characters beyond which a piece is not kept
 
 
 class Memo:
@@ -175,7 +175,8 @@ class Codec:
                 if known is None:
                     ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass")))
                     known = ids.tobytes(), self.decode(ids)
-                    memo.put(piece, known)
+                    if len(piece) <= LONG_PIECE:
+                        memo.put(piece, known)
                 young = memo.young
             out.append(known)
         return b"".join([x[0] for x in out]), b"".join([x[1] for x in out])

@@ -118,12 +118,12 @@ def held_out(id_col):
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Network | None:
-    """Network fitted on at most ``sample`` documents; None without any."""
+    """Network fitted on at most ``sample`` documents of at most SAMPLE_BYTES each; None without any."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     chosen = {r["doc_id"]: r["y"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     if not chosen:
         return None
-    rows = docs.filter(F.col("doc_id").isin(list(chosen))).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    rows = docs.filter(F.col("doc_id").isin(list(chosen)) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     texts = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows]
     return Network().fit(texts, np.array([float(chosen[r["doc_id"]]) for r in rows], np.float32)) if rows else None

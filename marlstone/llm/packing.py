@@ -44,7 +44,7 @@ from ..runtime import read_table
 
 SIZE, END_ID = 4096, 2
 SENTENCE, FORCED, WINDOW_COST, STEP, BLOCK, LEAST_POWER = 16, 512, 1, 512, 1 << 19, 256
-REMEMBER = 700_000  # pre-tokens whose ids a worker keeps
+REMEMBER, POOL = 700_000, 6_000_000  # pre-tokens whose ids a worker keeps; ids in all
 
 # Texts of these characters only are split here; the tokenizer's own splitting takes all others.
 PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xa1-\xa7\xb0\xb1\xb6\xb7\xbb\xbf-įı-ňŊ-ž]*")
@@ -128,7 +128,7 @@ class Tokens:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end token; boundary positions
         (in this row of ids) and their kinds."""
-        if len(self.number) > REMEMBER:
+        if len(self.number) > REMEMBER or self.filled > POOL:
             self._forget()
         ids_parts, at_parts, kind_parts, base = [], [], [], 0
         run: list[str] = []

@@ -26,7 +26,7 @@ from ..runtime import materialize, read_table
 
 # Host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-LONGEST_WORD, SMOOTHING = 20, 1.0
+LABEL, SMOOTHING = 63, 1.0  # a label of a host name has at most 63 characters, so no longer word can be in one
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,14 +49,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """word, n over all pages."""
     words = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(html_col), F.lit(""))), F.lit("([a-z0-9]+)"), 1)).alias("word")
-    return pages.select(words).filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select(words).filter(F.length("word") <= LABEL).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(label: str, cost: dict[str, float], unknown: float) -> list[str]:
     """Least-cost split; unknown words cost more for every letter."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     for j in range(1, len(label) + 1):
-        best.append(min((best[i][0] + cost.get(label[i:j], unknown + 3.0 * (j - i)), i) for i in range(max(0, j - LONGEST_WORD), j)))
+        best.append(min((best[i][0] + cost.get(label[i:j], unknown + 3.0 * (j - i)), i) for i in range(max(0, j - LABEL), j)))
     out, j = [], len(label)
     while j:
         i = best[j][1]
@@ -69,7 +69,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """label, words for each distinct label."""
     total = counts.agg(F.sum("n")).first()[0] or 1
     place = F.explode(F.sequence(F.lit(1), F.length("label"))).alias("i")
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - F.col("i") + 1))).alias("k")
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(LABEL), F.length("label") - F.col("i") + 1))).alias("k")
     subs = labels.filter(F.length("label") > 0).select("label", place).select("label", "i", size).select("label", F.expr("substring(label, i, k)").alias("word")).distinct()
     known = subs.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unknown = math.log(total) + 1
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("by_rule"))
     urls = materialize(parsed.groupBy("host", "path", "by_rule").agg(F.count(F.lit(1)).alias("n")))
     parts = urls.select("*", F.explode(F.split("host", "[.]")).alias("label"))
-    words = materialize(segment(parts.select("label").distinct(), word_counts(pages, html_col)))
+    words = materialize(segment(parts.select("label").distinct(), materialize(word_counts(pages, html_col))))
     of_host = parts.join(words, "label").select("host", "path", "by_rule", "n", F.explode("words").alias("w")).withColumn("token", F.concat(F.lit("h:"), "w")).drop("w")
     of_path = urls.select("*", F.explode(F.filter(F.split("path", "[^A-Za-z0-9]+"), lambda t: t != "")).alias("w")).withColumn("token", F.concat(F.lit("p:"), "w")).select("host", "path", "by_rule", "n", "token")
     tokens = materialize(of_host.unionByName(of_path))

@@ -370,6 +370,134 @@ def test_video_round_trip_and_shots():
         avi.read_avi([b"not a video"])
 
 
+def plain_jpeg(r, width, height, colour):
+    """A baseline frame with AC terms and, in colour, halved chroma; and its luma by the plain inverse transform."""
+    import math
+    import struct
+
+    ac_symbols = [0x00, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 9)]
+    bits = []
+
+    def put(value, n):
+        bits.extend(value >> k & 1 for k in range(n - 1, -1, -1))
+
+    def amount(v):
+        size = abs(v).bit_length()
+        return size, v if v >= 0 else v + (1 << size) - 1
+
+    quant = [r.randrange(1, 12) for _ in range(64)]
+    last = [0, 0, 0]
+
+    def block(comp):
+        coef = [0] * 64
+        coef[0] = r.randrange(-40, 40)
+        for _ in range(r.choice((0, 1, 5))):
+            coef[r.randrange(1, 64)] = r.choice((-9, -2, -1, 1, 3, 30))
+        size, extra = amount(coef[0] - last[comp])
+        last[comp] = coef[0]
+        put(size, 4)
+        put(extra, size)
+        run = 0
+        for k in range(1, 64):
+            if coef[k] == 0:
+                run += 1
+                continue
+            while run > 15:
+                put(1, 8)
+                run -= 16
+            size, extra = amount(coef[k])
+            put(ac_symbols.index(run << 4 | size), 8)
+            put(extra, size)
+            run = 0
+        if run:
+            put(0, 8)
+        out = np.zeros((8, 8))
+        cu = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+        for k, c in enumerate(coef):
+            if c:
+                v, u = divmod(int(avi.ZIGZAG[k]), 8)
+                wave = lambda q, x: math.cos((2 * x + 1) * q * math.pi / 16)
+                out += c * quant[k] * cu(u) * cu(v) / 4 * np.array([[wave(u, x) * wave(v, y) for x in range(8)] for y in range(8)])
+        return np.clip(np.rint(out + 128), 0, 255)
+
+    step = 16 if colour else 8
+    luma = np.zeros((-(-height // step) * step, -(-width // step) * step))
+    for y in range(0, height, step):
+        for x in range(0, width, step):
+            for dy in range(0, step, 8):
+                for dx in range(0, step, 8):
+                    luma[y + dy : y + dy + 8, x + dx : x + dx + 8] = block(0)
+            if colour:
+                block(1), block(2)
+    bits += [1] * (-len(bits) % 8)
+    scan = bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    seg = lambda m, body: struct.pack(">BBH", 255, m, len(body) + 2) + body
+    parts = [(1, 0x22), (2, 0x11), (3, 0x11)] if colour else [(1, 0x11)]
+    head = seg(0xDB, bytes([0, *quant])) + seg(0xC0, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([c, f, 0]) for c, f in parts))
+    head += seg(0xC4, bytes([0] + [0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + seg(0xC4, bytes([0x10] + [0] * 7 + [len(ac_symbols)] + [0] * 8) + bytes(ac_symbols))
+    head += seg(0xDA, bytes([len(parts)]) + b"".join(bytes([c, 0]) for c, _ in parts) + bytes([0, 63, 0]))
+    return b"\xff\xd8" + head + scan + b"\xff\xd9", luma[:height, :width]
+
+
+def test_frames_against_a_plain_decoder(spark):
+    r = random.Random(7)
+    frames = [plain_jpeg(r, w, h, colour) for w, h, colour in ((8, 8, False), (40, 24, False), (33, 19, False), (16, 16, True), (50, 35, True))]
+    for data, want in frames:
+        got = avi.decode_frames([data])[0]
+        assert got.shape == want.shape and np.abs(got.astype(int) - want).max() <= 1
+    video = avi._avi([data for data, _ in frames[:2]], 8)
+    bare = video[: video.rindex(b"idx1")]  # no index
+    for v in (video, bare):
+        assert [x.shape for x in avi.read_avi([v])[0][0]] == [(8, 8), (24, 40)]
+    broken = [video[:n] for n in (3, 20, 100, 311, 400)] + [b"RIFF", b""]
+    rows = [(1, video), (2, None)] + [(10 + k, b) for k, b in enumerate(broken)]
+    got = avi.clips(spark.createDataFrame(rows, "id long, data binary"), "id", "data").collect()
+    assert {x.id for x in got if x.error is None and x.frames} == {1} and {x.id for x in got if x.error} >= {10, 11, 15, 16} and not any(x.id == 2 for x in got)
+
+
+def test_url_verdicts_against_brute_force(spark):
+    import math
+
+    r = random.Random(13)
+    words = ["red", "green", "shop", "news", "farm", "spam", "a", "verylongwordthatishardlyeverseen"]
+    url = lambda: f"http://{''.join(r.choice(words) for _ in range(r.randrange(1, 4)))}.{r.choice(('example.org', 'com', 'net', 'x.net'))}/{r.choice(('es', 'fr', 'de', 'en'))}/{r.choice(words)}-{r.randrange(3)}?q"
+    rows = [(i, url(), f"<p>{' '.join(r.choice(words) for _ in range(9))}</p>") for i in range(120)]
+    rows += [(200, rows[0][1], None), (200, rows[0][1], ""), (201, "http://" + "long" * 60 + ".net/" + "p/" * 500, "x"), (None, None, None)]
+    got = [(x.id, x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(spark.createDataFrame([(a, b, c, "clash") for a, b, c in rows], "page_id long, url string, html string, word string")).collect()]
+    count = {}
+    for _, _, html in rows:
+        for w in re.findall("[a-z0-9]+", (html or "").lower()):
+            count[w] = count.get(w, 0) + 1
+    total = sum(count.values())
+    cost = lambda w: math.log(total / count[w]) if w in count else math.log(total) + 1 + 3.0 * len(w)
+
+    def split(label):
+        best = {0: (0.0, [])}
+        for j in range(1, len(label) + 1):
+            best[j] = min((best[i][0] + cost(label[i:j]), i) for i in range(max(0, j - 63), j))
+            i = best[j][1]
+            best[j] = (best[j][0], best[i][1] + [label[i:j]])
+        return best[len(label)][1]
+
+    def tokens(host, path):
+        out = [f"h:{w}" for label in host.split(".") if label for w in split(label)]
+        return out + [f"p:{w}" for w in re.split("[^A-Za-z0-9]+", path) if w]
+
+    seen, docs = {"allow": {}, "block": {}}, {"allow": 0, "block": 0}
+    for _, host, path, rule, v in got:
+        if rule:
+            docs[v] += 1
+            for t in tokens(host, path):
+                seen[v][t] = seen[v].get(t, 0) + 1
+    vocabulary = len({t for _, host, path, _, _ in got for t in tokens(host, path)})
+    score = lambda t, v: math.log((seen[v].get(t, 0) + 1) / (sum(seen[v].values()) + vocabulary))
+    assert len(got) == len(rows) and sum(g[3] is None for g in got) > 20
+    for i, host, path, rule, v in got:
+        if rule is None:
+            s = math.log((docs["allow"] + 1) / (docs["block"] + 1)) + sum(score(t, "allow") - score(t, "block") for t in tokens(host, path))
+            assert abs(s) < 1e-6 or v == ("allow" if s > 0 else "block"), (host, path, s, v)
+
+
 def test_quality_scores_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

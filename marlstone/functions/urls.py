@@ -45,7 +45,7 @@ def template(url: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(path_segments(url), seg), "/"))
 
 
-# Page types with the path patterns that tell them, first match wins.
+# Page types with the path patterns that tell them, first match wins; a default, to be replaced by a user's own.
 PAGE_TYPES = (
     ("home", r"^/?$"),
     ("blog", r"/(blog|news|articles?|posts?)(/|$)"),

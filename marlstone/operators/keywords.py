@@ -54,7 +54,8 @@ def client_of(rows: DataFrame) -> int:
 
 def detail_pivot(rows: DataFrame, limit: int = PIVOT_ROWS) -> DataFrame:
     """keyword x domain positions as sorted "domain:position" text; the first domain's volume; top by volume."""
-    wide = rows.groupBy("keyword").agg(
+    top = rows.groupBy("keyword").agg(F.min_by("volume", "domain").alias("volume")).orderBy(F.desc("volume"), "keyword").limit(limit)
+    wide = rows.join(top.select("keyword"), "keyword", "left_semi").groupBy("keyword").agg(
         F.min_by("volume", "domain").alias("volume"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("domain", "position"))), lambda x: F.concat_ws(":", x["domain"].cast("string"), x["position"].cast("string"))), ",").alias("positions"),
     )
@@ -77,9 +78,9 @@ def cap_per_key(rows: DataFrame, key: str, order: list[Column], most: int = 2) -
 
 
 def composite_score(rows: DataFrame, alignment: Column) -> DataFrame:
-    """0.8 alignment (missing: 0) + 0.2 volume over the greatest volume."""
-    top = F.max("volume").over(Window.partitionBy())
-    return rows.withColumn("score", F.floor((0.8 * F.coalesce(alignment, F.lit(0.0)) + 0.2 * F.col("volume") / top) * 10000 + 0.5) / 10000)
+    """0.8 alignment (missing: 0) + 0.2 volume over the greatest volume (1 at least), found beforehand as one row."""
+    top = rows.agg(F.greatest(F.max("volume"), F.lit(1))).first()[0] or 1
+    return rows.withColumn("score", F.floor((0.8 * F.coalesce(alignment, F.lit(0.0)) + 0.2 * F.coalesce("volume", F.lit(0)) / F.lit(top)) * 10000 + 0.5) / 10000)
 
 
 RANKING_SQL = """ranking AS (
@@ -157,8 +158,8 @@ ORACLE_SQL = {
     "url_cap_score": f"""WITH {RANKING_SQL} SELECT domain, keyword, volume FROM ranking QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY volume DESC, domain) <= 2""",
     "url_cap_arrival": f"""WITH {RANKING_SQL} SELECT domain, keyword, volume FROM ranking QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY domain) <= 2""",
     "kw_composite_score": f"""WITH {RANKING_SQL}, b AS (SELECT keyword, max(volume) AS volume, min(position) AS position FROM ranking GROUP BY keyword)
-      SELECT *, floor((0.8::DOUBLE * coalesce(CASE WHEN position <= 50 THEN 1.0::DOUBLE / position END, 0) + 0.2::DOUBLE * volume / max(volume) OVER ()) * 10000 + 0.5) / 10000 AS score
-      FROM b ORDER BY score DESC, keyword LIMIT 100""",
+      SELECT *, floor((0.8::DOUBLE * coalesce(CASE WHEN position <= 50 THEN 1.0::DOUBLE / position END, 0) + 0.2::DOUBLE * volume / greatest(max(volume) OVER (), 1)) * 10000 + 0.5) / 10000 AS score
+      FROM b""",
     "url_frequency": f"""WITH {RANKING_SQL} SELECT keyword, min(position) AS best_position, count(*) AS frequency,
       CASE WHEN count(*) >= 3 THEN 'core' WHEN count(*) = 2 THEN 'relevant' ELSE 'discovery' END AS tier FROM ranking GROUP BY keyword""",
     "anti_join_tracked": f"""WITH {RANKING_SQL}, c AS (SELECT min(l_suppkey) AS client FROM lineitem), t AS (SELECT * FROM ranking WHERE position <= 10)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_up, median0, min_max, slope_pct
 from ..runtime import read_table
 
-EARTH_MILES = 3958.8
+EARTH_MILES, MOST_HOMES = 3958.8, 10_000
 
 
 def region_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def region_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
     joined = o.join(c, o["o_custkey"] == c["c_custkey"])
     return joined.groupBy(F.col("c_nationkey").alias("geo"), F.col("o_orderpriority").alias("term")).agg(
-        F.count(F.lit(1)).alias("volume"), half_up(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("cpc"), half_up(F.avg((F.col("o_orderstatus") == "F").cast("double")), 4).alias("competition")
+        F.count(F.lit(1)).alias("volume"), half_up(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("cpc"), half_up(F.avg((F.col("o_orderstatus") == "F").cast("double")), 4).cast("decimal(12,4)").alias("competition")
     )
 
 
@@ -30,7 +30,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare(terms: DataFrame, geos: DataFrame) -> DataFrame:
     """Per region: volume, median cost, mean competition, coverage, per-capita volume and index against home."""
     total = terms.agg(F.countDistinct("term")).first()[0] or 1
-    agg = terms.groupBy("geo").agg(F.sum("volume").alias("volume"), half_up(median0(F.col("cpc")), 2).alias("cpc"), half_up(F.avg("competition"), 2).alias("competition"), (F.count_if(F.col("volume") > 0) / total).alias("coverage"))
+    agg = terms.groupBy("geo").agg(F.sum("volume").alias("volume"), half_up(median0(F.col("cpc")), 2).alias("cpc"), (F.floor(F.avg(F.col("competition").cast("decimal(12,4)")) * 100 + F.lit(0.5).cast("decimal(3,1)")) / 100).cast("double").alias("competition"), (F.count_if(F.col("volume") > 0) / total).alias("coverage"))
     rows = geos.join(agg, "geo")
     per_capita = F.when(F.col("population") > 0, F.col("volume") * 100000 / F.col("population"))
     home = F.sum(F.when(F.col("is_home"), F.col("volume"))).over(Window.partitionBy())
@@ -93,7 +93,8 @@ def adjacent_geos(spark, sf_dir):
     rad = F.radians
     h = F.pow(F.sin((rad("lat") - rad("a")) / 2), 2) + F.cos(rad("a")) * F.cos(rad("lat")) * F.pow(F.sin((rad("lon") - rad("o")) / 2), 2)
     miles = half_up(2 * EARTH_MILES * F.asin(F.least(F.lit(1.0), F.sqrt(h))), 0).cast("long")
-    near = n.filter("region <> 0").join(F.broadcast(homes), miles <= 3500)
+    few = homes.count() <= MOST_HOMES  # else a nested loop over partitions of both sides
+    near = n.filter("region <> 0").join(F.broadcast(homes) if few else homes, miles <= 3500)
     return near.groupBy("geo").agg(F.min(miles).alias("miles"))
 
 
@@ -112,9 +113,9 @@ def dashboard_left_joins(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (market_compare, market_components, term_breakdown_other, market_trend, adjacent_geos, scenario_diff, dashboard_left_joins)}
 
 TERMS_SQL = """terms AS (SELECT c_nationkey AS geo, o_orderpriority AS term, count(*) AS volume, floor(CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * 100 + 0.5) / 100 AS cpc,
-      floor(avg(CAST(o_orderstatus = 'F' AS DOUBLE)) * 10000 + 0.5) / 10000 AS competition FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+      CAST(floor(avg(CAST(o_orderstatus = 'F' AS DOUBLE)) * 10000 + 0.5) / 10000 AS DECIMAL(12,4)) AS competition FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 COMPARE_SQL = f"""{TERMS_SQL}, geos AS (SELECT n_nationkey AS geo, n_regionkey = 0 AS is_home, population FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS population FROM customer GROUP BY 1) ON n_nationkey = c_nationkey),
-      agg AS (SELECT geo, CAST(sum(volume) AS BIGINT) AS volume, floor(median(cpc) * 100 + 0.5) / 100 AS cpc, floor(avg(competition) * 100 + 0.5) / 100 AS competition, count(CASE WHEN volume > 0 THEN 1 END) / (SELECT count(DISTINCT term) FROM terms) AS coverage FROM terms GROUP BY geo),
+      agg AS (SELECT geo, CAST(sum(volume) AS BIGINT) AS volume, floor(median(cpc) * 100 + 0.5) / 100 AS cpc, floor(CAST(round(sum(competition) / count(competition), 8) AS DECIMAL(18,8)) * 100 + 0.5) / 100 AS competition, count(CASE WHEN volume > 0 THEN 1 END) / (SELECT count(DISTINCT term) FROM terms) AS coverage FROM terms GROUP BY geo),
       cmp AS (SELECT geo, is_home, volume, cpc, competition, coverage, floor(volume * 100000 / population * 10 + 0.5) / 10 AS per_capita,
         CAST(floor(100 * volume / sum(CASE WHEN is_home THEN volume END) OVER () + 0.5) AS BIGINT) AS home_index,
         CASE WHEN volume >= 500 AND coverage >= 0.5 THEN 'high' WHEN volume >= 100 AND coverage >= 0.3 THEN 'medium' WHEN volume > 0 THEN 'low' ELSE 'insufficient' END AS confidence FROM geos JOIN agg USING (geo))"""
@@ -137,7 +138,7 @@ ORACLE_SQL = {
       d AS (SELECT x.geo, CAST(floor(2 * 3958.8::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin((radians(x.lat) - radians(h.lat)) / 2), 2) + cos(radians(h.lat)) * cos(radians(x.lat)) * pow(sin((radians(x.lon) - radians(h.lon)) / 2), 2)))) + 0.5) AS BIGINT) AS miles
         FROM n x, n h WHERE x.region <> 0 AND h.region = 0)
       SELECT geo, min(miles) AS miles FROM d WHERE miles <= 3500 GROUP BY geo""",
-    "scenario_diff": f"""WITH {TERMS_SQL}, l AS (SELECT geo, volume AS left_volume FROM terms WHERE term = '1-URGENT' AND volume % 3 <> 0), r AS (SELECT geo, volume AS right_volume FROM terms WHERE term = '5-LOW' AND volume % 2 = 0)
+    "scenario_diff": f"""WITH {TERMS_SQL}, l AS (SELECT geo, volume AS left_volume FROM terms WHERE term = '1-URGENT'), r AS (SELECT geo, volume AS right_volume FROM terms WHERE term = '5-LOW')
       SELECT geo, left_volume, right_volume, right_volume - left_volume AS delta, coalesce(right_volume, left_volume, -1) AS order_key FROM l FULL JOIN r USING (geo)""",
     "dashboard_left_joins": """SELECT coalesce(n_name, '') AS nation, coalesce(r_name, '') AS region, c_mktsegment AS segment, count(*) AS customers
       FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",

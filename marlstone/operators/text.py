@@ -11,21 +11,32 @@ from ..runtime import materialize, read_table
 
 
 def plain_words(text: Column) -> Column:
-    """Words of a-z and 0-9; all else parts them."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", ""), r"[ \t\n\r]+"), lambda w: w != "")
+    """Words of a-z and 0-9; all else parts them ("foo-bar" is two words, "é" none)."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def shingle_set(words: Column, k: int = 3) -> Column:
-    """Distinct runs of k words; empty where there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def shingle_set(words: str, k: int = 3) -> Column:
+    """Distinct 64-bit hashes of the runs of k words in the column ``words``; empty where there are fewer.
 
+    The words must be a column of their own, not an expression, which the
+    optimizer would evaluate again for every run.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(k)]))
+    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, most_df: int | None = None) -> DataFrame:
-    """left_id, right_id, jaccard of (id, shingles) sets that share any, by an equi-join on
-    hashed shingles; sizes travel with the rows, so nothing is joined twice."""
+
+def shingle_rows(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """id, n, s: a row for each distinct shingle of a text, and how many it has; written once."""
+    words = materialize(df.select(F.col(id_col).alias("id"), plain_words(text).alias("words")))
+    sets = words.select("id", shingle_set("words").alias("shingles"))
+    return materialize(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+
+
+def jaccard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id, jaccard of all pairs that share a shingle, by an equi-join on (id, n, s)
+    rows; sizes travel with the rows, so nothing is joined twice. The right side is the smaller."""
     def rows(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"{name}_id"), F.size("shingles").alias(f"{name}_n"), F.explode("shingles").alias("s")).withColumn("s", F.xxhash64("s"))
+        return df.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "s")
 
     shared = rows(left, "left").join(rows(right, "right"), "s").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count(F.lit(1)).alias("both"))
     return shared.select("left_id", "right_id", half_up(F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both")), 4).alias("jaccard"))
@@ -62,9 +73,8 @@ def text_wordcount(spark, sf_dir):
 
 def shingle_jaccard_benchmark(spark, sf_dir):
     """Document and benchmark pairs that share three-word shingles, with their Jaccard index."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), shingle_set(plain_words(F.col("text"))).alias("shingles"))
-    b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), shingle_set(plain_words(F.col("text"))).alias("shingles"))
-    return jaccard_pairs(d, b)
+    d = shingle_rows(read_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return jaccard_pairs(d, shingle_rows(read_table(spark, sf_dir, "benchmark"), "item_id", F.col("text")))
 
 
 def tfidf_terms(spark, sf_dir):
@@ -113,7 +123,7 @@ def benchmark_title_sets(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (text_wordcount, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
 
-W = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\s]', '', 'g'), '[ \t\n\r]+'), lambda w: w <> '')"
+W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 TF_SQL = f"""tf AS (SELECT page_id AS id, term, count(*) AS tf FROM (SELECT page_id, unnest({W.format(TITLE)}) AS term FROM pages) WHERE length(term) > 1 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY ALL),
       n AS (SELECT count(*) AS n FROM pages), df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY term HAVING count(*) / (SELECT n FROM n) <= 0.6)"""
@@ -128,7 +138,7 @@ ORACLE_SQL = {
     "text_wordcount": f"SELECT doc_id, CAST(len({W.format('text')}) AS BIGINT) AS words FROM documents",
     "shingle_jaccard_benchmark": f"""WITH d AS (SELECT id, {SHINGLES} AS s FROM (SELECT doc_id AS id, {W.format('text')} AS w FROM documents)), b AS (SELECT id, {SHINGLES} AS s FROM (SELECT item_id AS id, {W.format('text')} AS w FROM benchmark)),
       x AS (SELECT id, len(s) AS n, unnest(s) AS g FROM d), y AS (SELECT id, len(s) AS n, unnest(s) AS g FROM b)
-      SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, floor(count(*) / (x.n + y.n - count(*)) * 10000 + 0.5) / 10000 AS jaccard FROM x JOIN y USING (g) GROUP BY x.id, y.id, x.n, y.n) WHERE jaccard >= 0.02""",
+      SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, floor(count(*) / (x.n + y.n - count(*)) * 10000 + 0.5) / 10000 AS jaccard FROM x JOIN y USING (g) GROUP BY x.id, y.id, x.n, y.n)""",
     "tfidf_terms": f"WITH {TF_SQL} SELECT term, df, tf, floor(ln((SELECT n FROM n) / df) * 1000000 + 0.5) / 1000000 AS idf FROM df",
     "title_cosine_pairs": f"""WITH {TF_SQL}, w AS (SELECT id, term, tf.tf * ln((SELECT n FROM n) / df.df) AS w FROM tf JOIN df USING (term)), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
       SELECT i, j, floor(c * 10000 + 0.5) / 10000 AS cosine FROM (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS c FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY ALL) WHERE c >= 0.5""",

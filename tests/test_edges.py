@@ -28,7 +28,10 @@ def test_urls(spark):
 
 def test_shingles_of_short_texts_are_empty(spark):
     df = spark.createDataFrame([("a b",), ("a b c d a b c",), (None,)], "t string")
-    assert [len(r[0]) for r in df.select(text.shingle_set(text.plain_words(F.col("t")))).collect()] == [0, 4, 0]
+    rows = df.select(text.plain_words(F.col("t")).alias("w"))
+    assert [len(r[0]) for r in rows.select(text.shingle_set("w")).collect()] == [0, 4, 0]
+    dashed = spark.createDataFrame([("Foo-bar, it's 3.5%",)], "t string").select(text.plain_words(F.col("t"))).first()[0]
+    assert dashed == ["foo", "bar", "it", "s", "3", "5"]
 
 
 def test_item_in_a_long_document_is_paired(spark, tmp_path):

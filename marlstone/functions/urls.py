@@ -56,8 +56,9 @@ PAGE_TYPES = (
 )
 
 
-def page_type(path: Column) -> Column:
+def page_type(path: Column, rules=PAGE_TYPES) -> Column:
+    """The first rule's type that fits the path, or "other"."""
     out = F.lit("other")
-    for name, pattern in reversed(PAGE_TYPES):
+    for name, pattern in reversed(rules):
         out = F.when(path.rlike(pattern), name).otherwise(out)
     return out

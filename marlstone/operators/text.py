@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -55,17 +55,35 @@ def tf_idf(tf: DataFrame, n: int, most_share: float = 0.6) -> DataFrame:
 
 
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """i < j, cosine >= least, from a self-join on terms; pairs without a shared term are absent."""
+    """i < j, cosine >= least > 0 of all pairs, without pairing all that share a frequent term.
+
+    Terms are ordered by their number of documents. What a document's last
+    terms add to any cosine is at most their norm; where that is below
+    ``least`` they can't make a pair, so a pair's rarest shared term is among
+    the first terms of both. Only those are joined; each candidate is then
+    summed over all its terms.
+    """
     norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    unit = materialize(weights.join(norm, "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("w")))
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    unit = weights.filter("weight <> 0").join(norm, "id").join(df, "term").select("id", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
+    rest = F.sum(F.col("w") ** 2).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    unit = materialize(unit.withColumn("first", F.sqrt(rest) >= least - 1e-9))
     a, b = unit.select(F.col("id").alias("i"), "term", F.col("w").alias("wi")), unit.select(F.col("id").alias("j"), "term", F.col("w").alias("wj"))
-    return a.join(b, "term").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("cosine")).filter(F.col("cosine") >= least)
+    first = unit.filter("first").select("id", "term")
+    maybe = first.withColumnRenamed("id", "i").join(first.withColumnRenamed("id", "j"), "term").filter("i < j").select("i", "j").distinct()
+    return maybe.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def _title(html: Column) -> Column:
     return F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
 
 
+def title_weights(pages: DataFrame) -> DataFrame:
+    """id, term, weight: TF-IDF of titles' words, dropping terms in over 60 per cent of the pages."""
+    tf = term_counts(pages.select(F.col("page_id").alias("id"), plain_words(_title(F.col("html"))).alias("words")))
+    return tf_idf(tf, pages.count())
+
+
 def text_wordcount(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(plain_words(F.col("text"))).cast("long").alias("words"))
@@ -86,10 +104,19 @@ def tfidf_terms(spark, sf_dir):
 
 
 def title_cosine_pairs(spark, sf_dir):
-    """Page pairs whose titles have a TF-IDF cosine of 0.5 or more."""
+    """Pairs of distinct titles, each by its first page, with a TF-IDF cosine of 0.08 or more;
+    ``title_classes`` has the pages of each."""
     p = read_table(spark, sf_dir, "pages")
-    tf = term_counts(p.select(F.col("page_id").alias("id"), plain_words(_title(F.col("html"))).alias("words")))
-    return cosine_pairs(tf_idf(tf, p.count()), 0.5).select("i", "j", half_up(F.col("cosine"), 4).alias("cosine"))
+    first = p.groupBy(_title(F.col("html"))).agg(F.min("page_id").alias("id"))
+    weights = title_weights(p).join(first.select("id"), "id", "left_semi")
+    return cosine_pairs(weights, 0.08).select("i", "j", half_up(F.col("cosine"), 4).alias("cosine"))
+
+
+def title_classes(spark, sf_dir):
+    """Each page with the first page of the same title."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", _title(F.col("html")).alias("title"))
+    first = p.groupBy("title").agg(F.min("page_id").alias("class_id"))
+    return p.join(first, "title").select("page_id", "class_id")
 
 
 def url_parts(spark, sf_dir):
@@ -121,7 +148,7 @@ def benchmark_title_sets(spark, sf_dir):
     return tagged.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("only_benchmark"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("either"))
 
 
-QUERIES = {f.__name__: f for f in (text_wordcount, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
+QUERIES = {f.__name__: f for f in (text_wordcount, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, title_classes, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
 
 W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -140,8 +167,10 @@ ORACLE_SQL = {
       x AS (SELECT id, len(s) AS n, unnest(s) AS g FROM d), y AS (SELECT id, len(s) AS n, unnest(s) AS g FROM b)
       SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, floor(count(*) / (x.n + y.n - count(*)) * 10000 + 0.5) / 10000 AS jaccard FROM x JOIN y USING (g) GROUP BY x.id, y.id, x.n, y.n)""",
     "tfidf_terms": f"WITH {TF_SQL} SELECT term, df, tf, floor(ln((SELECT n FROM n) / df) * 1000000 + 0.5) / 1000000 AS idf FROM df",
-    "title_cosine_pairs": f"""WITH {TF_SQL}, w AS (SELECT id, term, tf.tf * ln((SELECT n FROM n) / df.df) AS w FROM tf JOIN df USING (term)), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
-      SELECT i, j, floor(c * 10000 + 0.5) / 10000 AS cosine FROM (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS c FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY ALL) WHERE c >= 0.5""",
+    "title_cosine_pairs": f"""WITH {TF_SQL}, w AS (SELECT id, term, tf.tf * ln((SELECT n FROM n) / df.df) AS w FROM tf JOIN df USING (term)), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+      v AS (SELECT * FROM u WHERE id IN (SELECT min(page_id) FROM pages GROUP BY {TITLE}))
+      SELECT i, j, floor(c * 10000 + 0.5) / 10000 AS cosine FROM (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS c FROM v a JOIN v b ON a.term = b.term AND a.id < b.id GROUP BY ALL) WHERE c >= 0.08""",
+    "title_classes": f"SELECT page_id, min(page_id) OVER (PARTITION BY {TITLE}) AS class_id FROM pages",
     "url_parts": f"""SELECT page_id, CASE WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]+') THEN lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || {HOST} || CASE WHEN regexp_replace({PATH}, '/+$', '') = '' THEN '/' ELSE regexp_replace({PATH}, '/+$', '') END END AS normal,
       regexp_extract(regexp_replace({HOST}, '^www\\.', ''), '([^.]*\\.)?[^.]*$') AS root, array_to_string({SEGMENTS}, '|') AS segments, {TEMPLATE} AS template,
       regexp_replace(regexp_replace(lower({TITLE}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages""",

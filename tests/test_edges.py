@@ -5,7 +5,7 @@ import importlib
 from pyspark.sql import functions as F
 
 from marlstone.functions import numbers, urls
-from marlstone.operators import keywords, market, store, text
+from marlstone.operators import keywords, market, sites, store, text
 
 
 def test_buckets_put_position_zero_on_page_two(spark):
@@ -80,3 +80,81 @@ def test_empty_tables(spark):
 def test_library_without_llm_imports():
     entry = importlib.import_module("__spark_entry__")
     assert "kw_gap_bands" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_links_of_pages(spark):
+    rows = [
+        (1, "https://a.co/", '<a href="/x/">x</a> <a class=b href="https://a.co/y?q#z">y</a> <a href="#top">t</a> <a href="https://b.co/">b</a>'),
+        (2, "https://a.co/x", '<a href="/">home</a><a href="/">again</a><a href="/x">self</a>'),
+        (3, "https://a.co/y", None), (4, "https://a.co/y", "<a href='/gone'>"), (5, None, "<a href='/'>"),
+    ]
+    got = {tuple(r) for r in sites.page_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(1, 2), (1, 4), (2, 1)}
+
+
+def test_click_depth_stops_at_cycles_and_leaves_islands(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(1, 8)], "node long")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (6, 7), (4, 99)], "src long, dst long")
+    got = {r.node: r.depth for r in sites.click_depth(nodes, edges, spark.createDataFrame([(2,), (2,), (50,)], "node long")).collect()}
+    assert got == {2: 1, 3: 2, 1: 3, 4: 3, 5: None, 6: None, 7: None}
+
+
+def test_boost_counts_both_ways(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 3, 0.9)], "i long, j long, similarity double")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (2, 3), (3, 2), (4, 5)], "src long, dst long")
+    got = {(r.i, r.j): round(r.similarity, 6) for r in sites.boosted(pairs, edges).collect()}
+    assert got == {(1, 2): 0.86, (1, 3): 0.6, (2, 3): 1.0, (4, 5): 0.1}
+
+
+def test_average_linkage_against_one_merge_at_a_time(spark):
+    import random
+
+    r = random.Random(4)
+    n, least = 26, 0.3
+    near = {(i, j): round(r.random() ** 2, 9) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5}
+    near |= {(i, j): 0.6 + r.random() / 3 for i in range(5) for j in range(i + 1, 5)}
+    groups = [[i] for i in range(n)]
+    while True:
+        mean = lambda a, b: sum(near.get((min(x, y), max(x, y)), 0.0) for x in a for y in b) / (len(a) * len(b))
+        best = max(((mean(a, b), -a[0], -b[0], a, b) for k, a in enumerate(groups) for b in groups[k + 1 :]), key=lambda x: x[:3])
+        if best[0] <= least:
+            break
+        groups = [g for g in groups if g not in best[3:]] + [sorted(best[3] + best[4])]
+        groups.sort()
+    pairs = spark.createDataFrame([(i, j, s) for (i, j), s in near.items()], "i long, j long, similarity double")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
+    got = {}
+    members = sites.average_linkage(nodes, pairs, least)
+    for x in members.collect():
+        got.setdefault(x.cluster, []).append(x.node)
+    assert sorted(map(sorted, got.values())) == sorted(groups) and any(len(g) >= 3 for g in groups)
+    small = {x.node for x in sites.sized_clusters(members).collect() if x.cluster is None}
+    assert small == {x for g in groups if len(g) < 3 for x in g}
+
+
+def test_cosine_pairs_against_all_pairs(spark):
+    import math
+    import random
+
+    r = random.Random(2)
+    docs = {i: {f"t{int(r.random() ** 2 * 30)}": r.random() for _ in range(r.randrange(1, 8))} for i in range(60)}
+    norm = {i: math.sqrt(sum(w * w for w in d.values())) for i, d in docs.items()}
+    rows = spark.createDataFrame([(i, t, w) for i, d in docs.items() for t, w in d.items()], "id long, term string, weight double")
+    for least in (0.08, 0.5, 0.9):
+        want = {(i, j): c for i in docs for j in docs if i < j and (c := sum(w * docs[j].get(t, 0) for t, w in docs[i].items()) / (norm[i] * norm[j])) >= least}
+        got = {(x.i, x.j): x.cosine for x in text.cosine_pairs(rows, least).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_even_sample_of_few_and_many(spark):
+    rows = spark.range(7)
+    assert sites.even_sample(rows, [F.col("id")], 10).count() == 7
+    assert sorted(r.id for r in sites.even_sample(rows, [F.col("id")], 3).collect()) == [0, 2, 4]
+    assert sites.even_sample(rows.limit(0), [F.col("id")], 3).count() == 0
+
+
+def test_overrides_of_types_win(spark):
+    pages = spark.createDataFrame([("/a", "/blog/x"), ("/b", "/blog/y"), ("/c", "/zz")], "template string, path string")
+    own = spark.createDataFrame([("/b", "landing")], "template string, page_type string")
+    got = {r.template: (r.page_type, r.type_source) for r in sites.typed(pages, F.col("path"), own).collect()}
+    assert got == {"/a": ("blog", "rule"), "/b": ("landing", "override"), "/c": ("other", "default")}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, median0, min_max, slope_pct
 from ..runtime import read_table
 
 EARTH_MILES, MOST_HOMES = 3958.8, 10_000
+WEIGHTS = {"demand": 0.5, "cost": 0.2, "ease": 0.3}  # a default, to be replaced by a user's own
 
 
 def region_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,18 +40,43 @@ def compare(terms: DataFrame, geos: DataFrame) -> DataFrame:
     return rows.select("geo", "is_home", "volume", "cpc", "competition", "coverage", half_up(per_capita, 1).alias("per_capita"), half_up(100 * v / home, 0).cast("long").alias("home_index"), confidence.alias("confidence"))
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """Normalized demand, cost and competition (the latter two inverted), percent rank and tier.
+def percentile(x: Column) -> Column:
+    """Rank of a value among those that aren't null, 0..100: shares strictly below; 100 for a single one, null for null."""
+    n, below = F.count(x).over(Window.partitionBy()), F.rank().over(Window.orderBy(x.asc_nulls_last())) - 1
+    return F.when(x.isNull(), None).when(n <= 1, 100).otherwise(half_up(100 * below / (n - 1), 0)).cast("long")
+
+
+def weighted_score(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    """0..100: the parts' mean by weights that are renormalized over those that aren't null; null where all are."""
+    there = {k: F.when(c.isNotNull(), F.lit(weights[k])).otherwise(0.0) for k, c in parts.items()}
+    total = sum(there.values())
+    won = sum(there[k] * F.coalesce(c, F.lit(0.0)) for k, c in parts.items())
+    return F.when(total > 0, F.floor(F.round(won / total * 100, 9) + 0.5).cast("long"))
+
+
+def tier(score: Column, confidence: Column) -> Column:
+    """The tier of a score, which a low confidence holds down; home regions get none elsewhere."""
+    medium, low = confidence.isin("medium", "high"), confidence.isin("low", "medium", "high")
+    return (
+        F.when(score.isNull() | ~low, "insufficient")
+        .when((score >= 70) & medium, "prioritize")
+        .when((score >= 55) & medium, "strong")
+        .when(score < 35, "deprioritize")
+        .otherwise("monitor")
+    )
+
+
+def components(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Normalized demand, cost and competition (the latter two inverted), percent rank, score and tier.
 
     All windows span the regions, a small dimension whatever the size of the facts.
     """
     w = Window.partitionBy()
-    p = Window.orderBy("volume")
-    demand, cost, comp = min_max(F.col("volume"), w), 1 - min_max(F.col("cpc"), w), 1 - min_max(F.col("competition"), w)
-    score = half_up(100 * (0.5 * demand + 0.25 * cost + 0.25 * comp), 1)
-    out = rows.select("geo", "is_home", half_up(demand, 4).alias("demand"), half_up(cost, 4).alias("cost"), half_up(comp, 4).alias("ease"), half_up(100 * F.percent_rank().over(p), 0).cast("long").alias("percentile"), score.alias("score"))
-    s = F.col("score")
-    return out.withColumn("tier", F.when(F.col("is_home"), None).when(s >= 70, "pursue").when(s >= 55, "test").when(s >= 35, "monitor").otherwise("skip"))
+    weights = weights or WEIGHTS
+    parts = {"demand": min_max(F.col("per_capita"), w), "cost": 1 - min_max(F.col("cpc"), w), "ease": 1 - min_max(F.col("competition"), w)}
+    out = rows.select("geo", "is_home", "confidence", *[half_up(c, 4).alias(k) for k, c in parts.items()], percentile(F.col("per_capita")).alias("percentile"))
+    out = out.withColumn("score", weighted_score({k: F.col(k) for k in parts}, weights))
+    return out.withColumn("tier", F.when(~F.col("is_home"), tier(F.col("score"), F.col("confidence")))).drop("confidence")
 
 
 def top_and_other(rows: DataFrame, group: str, key: str, value: str, k: int) -> DataFrame:
@@ -123,12 +149,14 @@ COMPARE_SQL = f"""{TERMS_SQL}, geos AS (SELECT n_nationkey AS geo, n_regionkey =
 ORACLE_SQL = {
     "market_compare": f"WITH {COMPARE_SQL} SELECT * FROM cmp",
     "market_components": f"""WITH {COMPARE_SQL},
-      n AS (SELECT geo, is_home, volume, CASE WHEN max(volume) OVER () = min(volume) OVER () THEN 0.5::DOUBLE ELSE (volume - min(volume) OVER ()) / (max(volume) OVER () - min(volume) OVER ()) END AS d,
+      n AS (SELECT geo, is_home, confidence, per_capita, CASE WHEN per_capita IS NULL THEN NULL WHEN max(per_capita) OVER () = min(per_capita) OVER () THEN 0.5::DOUBLE ELSE (per_capita - min(per_capita) OVER ()) / (max(per_capita) OVER () - min(per_capita) OVER ()) END AS d,
         1 - CASE WHEN max(cpc) OVER () = min(cpc) OVER () THEN 0.5::DOUBLE ELSE (cpc - min(cpc) OVER ()) / (max(cpc) OVER () - min(cpc) OVER ()) END AS c,
         1 - CASE WHEN max(competition) OVER () = min(competition) OVER () THEN 0.5::DOUBLE ELSE (competition - min(competition) OVER ()) / (max(competition) OVER () - min(competition) OVER ()) END AS e FROM cmp),
-      s AS (SELECT geo, is_home, floor(d * 10000 + 0.5) / 10000 AS demand, floor(c * 10000 + 0.5) / 10000 AS cost, floor(e * 10000 + 0.5) / 10000 AS ease,
-        CAST(floor(100 * percent_rank() OVER (ORDER BY volume) + 0.5) AS BIGINT) AS percentile, floor(100 * (0.5::DOUBLE * d + 0.25::DOUBLE * c + 0.25::DOUBLE * e) * 10 + 0.5) / 10 AS score FROM n)
-      SELECT *, CASE WHEN is_home THEN NULL WHEN score >= 70 THEN 'pursue' WHEN score >= 55 THEN 'test' WHEN score >= 35 THEN 'monitor' ELSE 'skip' END AS tier FROM s""",
+      s AS (SELECT geo, is_home, confidence, floor(d * 10000 + 0.5) / 10000 AS demand, floor(c * 10000 + 0.5) / 10000 AS cost, floor(e * 10000 + 0.5) / 10000 AS ease,
+        CASE WHEN per_capita IS NULL THEN NULL WHEN count(per_capita) OVER () <= 1 THEN 100 ELSE CAST(floor(100 * (rank() OVER (ORDER BY per_capita NULLS LAST) - 1) / (count(per_capita) OVER () - 1) + 0.5) AS BIGINT) END AS percentile FROM n),
+      w AS (SELECT *, CAST(floor(round((CASE WHEN demand IS NULL THEN 0 ELSE 0.5::DOUBLE * demand END + 0.2::DOUBLE * cost + 0.3::DOUBLE * ease) / (CASE WHEN demand IS NULL THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) * 100, 9) + 0.5) AS BIGINT) AS score FROM s)
+      SELECT geo, is_home, demand, cost, ease, percentile, score, CASE WHEN is_home THEN NULL WHEN score IS NULL OR confidence = 'insufficient' THEN 'insufficient' WHEN score >= 70 AND confidence IN ('medium', 'high') THEN 'prioritize'
+        WHEN score >= 55 AND confidence IN ('medium', 'high') THEN 'strong' WHEN score < 35 THEN 'deprioritize' ELSE 'monitor' END AS tier FROM w""",
     "term_breakdown_other": f"""WITH {TERMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY geo ORDER BY volume DESC, term) AS n FROM terms),
       k AS (SELECT geo, CASE WHEN n <= 3 THEN term ELSE 'other' END AS term, CAST(sum(volume) AS BIGINT) AS volume FROM r GROUP BY ALL)
       SELECT *, floor(volume / sum(volume) OVER (PARTITION BY geo) * 100 + 0.5) / 100 AS share FROM k""",

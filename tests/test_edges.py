@@ -158,3 +158,38 @@ def test_overrides_of_types_win(spark):
     own = spark.createDataFrame([("/b", "landing")], "template string, page_type string")
     got = {r.template: (r.page_type, r.type_source) for r in sites.typed(pages, F.col("path"), own).collect()}
     assert got == {"/a": ("blog", "rule"), "/b": ("landing", "override"), "/c": ("other", "default")}
+
+
+def test_scores_of_present_parts_and_tiers(spark):
+    rows = [(1, False, 5.0, 1.0, 0.2, "high"), (2, False, None, 2.0, 0.4, "low"), (3, True, 9.0, 3.0, 0.6, "high"), (4, False, 7.0, 3.0, 0.6, "insufficient")]
+    df = spark.createDataFrame(rows, "geo int, is_home boolean, per_capita double, cpc double, competition double, confidence string")
+    got = {r.geo: (r.percentile, r.score, r.tier) for r in market.components(df, {"demand": 0.5, "cost": 0.2, "ease": 0.3}).collect()}
+    assert got == {1: (0, 50, "monitor"), 2: (None, 50, "monitor"), 3: (100, 50, None), 4: (50, 25, "insufficient")}
+    one = market.components(df.filter("geo = 1")).first()
+    assert (one.percentile, one.score) == (100, 50)
+    score = spark.createDataFrame([(s, c) for s in (None, 10, 40, 60, 90) for c in ("insufficient", "low", "high")], "s int, c string")
+    assert [r[0] for r in score.select(market.tier(F.col("s"), F.col("c"))).collect()] == ["insufficient"] * 3 + ["insufficient", "deprioritize", "deprioritize", "insufficient", "monitor", "monitor", "insufficient", "monitor", "strong", "insufficient", "monitor", "prioritize"]
+
+
+def test_collections(spark):
+    from marlstone.operators import collections as c
+
+    rows = spark.createDataFrame([("a", '{"k":"1","n":null}', 2, 2), ("b", '{"k":"1"}', 1, 1), ("c", '{"k":"2"}', 3, 3)], "id string, data string, created_at int, updated_at int")
+    assert [r.id for r in c.scan(rows, {"k": 1, "n": None}).collect()] == ["b", "a"]
+    assert c.first_match(rows, {"k": "1"}).first().id == "b" and c.first_match(rows, {"k": "9"}).count() == 0
+    assert c.exists(rows, {"k": 2}) and not c.exists(rows, {"z": 2})
+    left, removed = c.remove_where(rows, {"k": "1"})
+    assert removed == 2 and [r.id for r in left.collect()] == ["c"]
+    new = spark.createDataFrame([("a", "new", 9, 9), ("d", "d", 8, 8)], rows.schema)
+    assert sorted((r.id, r.data, r.created_at) for r in c.upsert(rows, new, ["id"]).collect())[0] == ("a", "new", 2)
+    s = c.settings_with(spark.createDataFrame([("x", "1"), ("y", "2")], "key string, value string"), spark.createDataFrame([("y", "3")], "key string, value string"))
+    assert {tuple(r) for r in s.collect()} == {("x", "1"), ("y", "3")}
+
+
+def test_blockers_lower_the_cap_together(spark):
+    from marlstone.operators import checks
+
+    rows = spark.createDataFrame([(1, 1, "c1", "fail", "error", 0), (1, 3, "c3", "fail", "x", 0), (1, 4, "c4", "pass", "x", 0), (2, 4, "c4", "na", "x", 0), (3, 9, "none", "fail", "x", 0)], "page int, id int, category string, status string, severity string, place int")
+    got = {r.page: (r.composite, r.cap, r.overall, r.band) for r in checks.page_scores(rows, checks.BUCKETS, checks.WEIGHTS, checks.TIERS, checks.BLOCKERS).collect()}
+    assert got[1] == (32, 35, 32, "critical") and got[2] == (None, None, None, "critical") and got[3][0] is None
+    assert {r.page: r.score for r in checks.category_score(rows, {"c1": 50, "c2": 50}).collect()} == {1: 50, 2: 100, 3: 100}

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..runtime import read_table
 
 SAMPLE, CHUNK, WIDTH, FILTERS = 1500, 512, 5, 12
+SAMPLE_BYTES = 200_000  # of one text of the sample
 
 
 class Network:

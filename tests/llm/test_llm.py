@@ -726,3 +726,29 @@ def test_digest_is_of_base_spans():
     model = pii.trained_model()
     sha, spans = pii.digest("mail a@b.co", model)
     assert sha == hashlib.sha256(b"email:5:11").hexdigest() and "email:5:11" in spans
+
+
+def test_pipeline_of_repeated_ids_and_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    prose = lambda seed: " ".join(f"{random.Random(f'{seed}{k}').choice('bcdf')}{k * 7 % 101}{seed}" + ("." if k % 9 == 8 else "") for k in range(70))
+    a, b, c = prose("x"), prose("y"), prose("z")
+    rows = [(1, a), (4, a), (4, b), (None, a), (5, None), (6, ""), (7, "too short"), (8, f"{c}. Write to me@mail.example.org now."), (9, f"{prose('w')}\n{c}. End of it here.")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], schema)
+    r.shuffle(rows)
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    got = {}
+    for x in corpus_pipeline.run(spark, f"{tmp_path}/full").collect():
+        got[x.doc_id] = got.get(x.doc_id, 0) + x.length
+    size = lambda t: len(packing.tokens(packing.default_tokenizer()).tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    texts = brute_substrings([(8, rows_of(rows, 8)), (9, rows_of(rows, 9))])
+    assert texts[9] == f"{prose('w')}\nEnd of it here."
+    assert got == {1: size(a), 4: size(b), 8: size(texts[8].replace("me@mail.example.org", "[EMAIL]")), 9: size(texts[9])}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def rows_of(rows, i):
+    return next(t for d, t in rows if d == i)

@@ -148,7 +148,41 @@ def benchmark_title_sets(spark, sf_dir):
     return tagged.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("only_benchmark"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("either"))
 
 
-QUERIES = {f.__name__: f for f in (text_wordcount, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, title_classes, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
+# Fields of a page with their weight, and words that no term has.
+FIELDS = (("title", r"<title>([^<]*)</title>", 3.0), ("h1", r"<h1[^>]*>([^<]*)</h1>", 2.5), ("first", r"<p>([^<]+)", 0.5))
+SLUG_WEIGHT = 2.0
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+
+
+def weighted_terms(fields: DataFrame, stop: tuple[str, ...] = STOP_WORDS, longest: int = 3) -> DataFrame:
+    """id, term, tf of (id, field, weight, text): runs of one to ``longest`` words of a field, each
+    occurrence adding the field's weight. Stop words, single letters and numbers go beforehand.
+
+    Words are rows, and a run is a word with those after it, so that no text
+    is parsed again for each of its runs.
+    """
+    words = fields.select("id", "field", "weight", F.posexplode(plain_words(F.col("text"))).alias("k", "word"))
+    kept = words.filter((F.length("word") > 1) & ~F.col("word").rlike("^[0-9]+$") & ~F.col("word").isin(*stop))
+    after = Window.partitionBy("id", "field").orderBy("k")
+    kept = kept.select("id", "weight", F.col("word").alias("w0"), *[F.lead("word", n).over(after).alias(f"w{n}") for n in range(1, longest)])
+    runs = [F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *[f"w{m}" for m in range(n + 1)])) for n in range(longest)]
+    return kept.select("id", "weight", F.explode(F.array_compact(F.array(*runs))).alias("term")).groupBy("id", "term").agg(F.sum("weight").alias("tf"))
+
+
+def page_term_profile(spark, sf_dir):
+    """Weighted runs of words from title, h1, slug and first paragraph of each page, with idf; those in over
+    60 per cent of the pages are left out."""
+    p = read_table(spark, sf_dir, "pages")
+    slug = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    parts = [F.struct(F.lit(n).alias("field"), F.lit(w).alias("weight"), F.regexp_extract("html", x, 1).alias("text")) for n, x, w in FIELDS]
+    parts.append(F.struct(F.lit("slug").alias("field"), F.lit(SLUG_WEIGHT).alias("weight"), slug.alias("text")))
+    tf = weighted_terms(p.select(F.col("page_id").alias("id"), F.explode(F.array(*parts)).alias("f")).select("id", "f.*"))
+    n = p.count()
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") / n <= 0.6)
+    return tf.join(df, "term").select(F.col("id").alias("page_id"), "term", "tf", half_up(F.log(n / F.col("df")), 6).alias("idf"))
+
+
+QUERIES = {f.__name__: f for f in (text_wordcount, page_term_profile, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, title_classes, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
 
 W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -166,6 +200,12 @@ ORACLE_SQL = {
     "shingle_jaccard_benchmark": f"""WITH d AS (SELECT id, {SHINGLES} AS s FROM (SELECT doc_id AS id, {W.format('text')} AS w FROM documents)), b AS (SELECT id, {SHINGLES} AS s FROM (SELECT item_id AS id, {W.format('text')} AS w FROM benchmark)),
       x AS (SELECT id, len(s) AS n, unnest(s) AS g FROM d), y AS (SELECT id, len(s) AS n, unnest(s) AS g FROM b)
       SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, floor(count(*) / (x.n + y.n - count(*)) * 10000 + 0.5) / 10000 AS jaccard FROM x JOIN y USING (g) GROUP BY x.id, y.id, x.n, y.n)""",
+    "page_term_profile": f"""WITH f AS ({' UNION ALL '.join(f"SELECT page_id, '{n}' AS field, {w} AS weight, {W.format(f"regexp_extract(html, '{x}', 1)")} AS ws FROM pages" for n, x, w in FIELDS)} UNION ALL SELECT page_id, 'slug', {SLUG_WEIGHT}, {W.format(PATH)} FROM pages),
+      u AS (SELECT page_id, field, weight, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM f),
+      l AS (SELECT page_id, weight, w, lead(w) OVER o AS x, lead(w, 2) OVER o AS y FROM u WHERE length(w) > 1 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN {STOP_WORDS} WINDOW o AS (PARTITION BY page_id, field ORDER BY k)),
+      g AS (SELECT page_id, weight, w AS term FROM l UNION ALL SELECT page_id, weight, w || ' ' || x FROM l WHERE x IS NOT NULL UNION ALL SELECT page_id, weight, w || ' ' || x || ' ' || y FROM l WHERE y IS NOT NULL),
+      t AS (SELECT page_id, term, CAST(sum(weight) AS DOUBLE) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM pages)
+      SELECT page_id, term, tf, floor(ln((SELECT n FROM n) / df) * 1000000 + 0.5) / 1000000 AS idf FROM t JOIN (SELECT term, count(*) AS df FROM t GROUP BY 1) USING (term) WHERE df / (SELECT n FROM n) <= 0.6""",
     "tfidf_terms": f"WITH {TF_SQL} SELECT term, df, tf, floor(ln((SELECT n FROM n) / df) * 1000000 + 0.5) / 1000000 AS idf FROM df",
     "title_cosine_pairs": f"""WITH {TF_SQL}, w AS (SELECT id, term, tf.tf * ln((SELECT n FROM n) / df.df) AS w FROM tf JOIN df USING (term)), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
       v AS (SELECT * FROM u WHERE id IN (SELECT min(page_id) FROM pages GROUP BY {TITLE}))

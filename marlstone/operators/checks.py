@@ -6,6 +6,8 @@ warning, fail, or one that isn't scored (na, skipped, informational).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,61 @@ def findings(checks: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).select("page", "id", "rank", F.greatest(F.lit(0), F.col("n") - most).cast("long").alias("truncated"))
 
 
+# --- rules that are data
+
+
+def filled(pattern: str) -> Column:
+    """A rule's pattern with each {name} as the escaped text of that column; null where one is missing or empty."""
+    parts = []
+    for k, piece in enumerate(re.split(r"\{([a-z_]+)\}", pattern)):
+        value = F.nullif(F.trim(F.col(piece).cast("string")), F.lit("")) if k % 2 else F.lit(piece)
+        parts.append(F.regexp_replace(value, r"([^\w\s])", r"\\$1") if k % 2 else value)
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def _hits(pattern: str) -> Column:
+    return F.coalesce(F.col("unit_text").rlike(pattern) if "{" not in re.sub(r"\{\d+,?\d*\}", "", pattern) else F.regexp_like(F.col("unit_text"), filled(pattern)), F.lit(False))
+
+
+def apply_rules(pieces: DataFrame, doc: str, rules: list[dict]) -> DataFrame:
+    """doc, rule, status (pass, fail, na) and hits of every document and rule, in one pass over the pieces.
+
+    ``pieces`` has doc, section, text and whatever columns the patterns name. A
+    rule has key, type (forbid or require), pattern, and may have unit (field,
+    the default, or sentence), sections (prefixes) and when (a pattern). A unit
+    that matches breaks a forbid rule; a require rule fails where no unit in its
+    sections matches, and passes where there are no units. With ``when``, units
+    must match that as well to be forbidden, and a require rule is na in
+    documents without such a unit. A pattern with a missing value never matches.
+    """
+    wide = pieces.withColumn("unit_text", F.coalesce("text", F.lit(""))).withColumn("unit", F.lit("field"))
+    if any(r.get("unit") == "sentence" for r in rules):
+        cut = pieces.withColumn("unit_text", F.explode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"))).withColumn("unit", F.lit("sentence"))
+        wide = wide.unionByName(cut)
+    wide = wide.filter(F.trim("unit_text") != "")
+    found = []
+    for k, r in enumerate(rules):
+        inside = F.col("unit") == r.get("unit", "field")
+        if r.get("sections"):
+            here = F.lit(False)
+            for prefix in r["sections"]:
+                here = here | F.col("section").startswith(prefix)
+            inside = inside & F.coalesce(here, F.lit(False))
+        when = _hits(r["when"]) if r.get("when") else F.lit(True)
+        hit = _hits(r["pattern"]) & (when if r["type"] == "forbid" else F.lit(True))
+        found += [F.count_if(inside).alias(f"n{k}"), F.count_if(inside & hit).alias(f"h{k}"), F.count_if(inside & when).alias(f"w{k}")]
+    counts = pieces.select(doc).distinct().join(wide.groupBy(doc).agg(*found), doc, "left").fillna(0)
+    rows = []
+    for k, r in enumerate(rules):
+        h, n, w = F.col(f"h{k}"), F.col(f"n{k}"), F.col(f"w{k}")
+        if r["type"] == "forbid":
+            status = F.when(h > 0, "fail").otherwise("pass")
+        else:
+            status = F.when((w == 0) & F.lit(bool(r.get("when"))), "na").when((n > 0) & (h == 0), "fail").otherwise("pass")
+        rows.append(F.struct(F.lit(r["key"]).alias("rule"), status.alias("status"), h.alias("hits")))
+    return counts.select(doc, F.explode(F.array(*rows)).alias("r")).select(doc, "r.*")
+
+
 # --- queries: orders are pages, their lines checks
 
 BUCKETS = {f"c{k}": b for k, b in zip(range(1, 7), ("title", "title", "content", "schema", "links", "links"))}
@@ -154,7 +211,22 @@ def check_findings(spark, sf_dir):
     return findings(_weighted(spark, sf_dir), 2)
 
 
-QUERIES = {f.__name__: f for f in (check_bucket_scores, check_category_score, check_verdicts, check_section_status, check_worst_of, check_findings)}
+RULES = [
+    {"key": "no_shouting", "type": "forbid", "pattern": "!!"},
+    {"key": "no_lone_at", "type": "forbid", "pattern": r"(^|\s)at(\s|$)", "unit": "sentence", "when": r"(^|\s)the(\s|$)"},
+    {"key": "names_language", "type": "require", "pattern": r"(^|\s){lang}(\s|$)"},
+    {"key": "has_stop", "type": "require", "pattern": "[.]", "sections": ["src1"]},
+    {"key": "license_named", "type": "require", "pattern": "Version", "when": "License|Apache|CC BY"},
+]
+
+
+def document_rules(spark, sf_dir):
+    """A few rules over all documents, with sources as sections: how many documents pass each."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("section"), "text", "lang")
+    return apply_rules(d, "doc_id", RULES).groupBy("rule", "status").agg(F.count(F.lit(1)).alias("documents"), F.sum("hits").alias("hits"))
+
+
+QUERIES = {f.__name__: f for f in (document_rules, check_bucket_scores, check_category_score, check_verdicts, check_section_status, check_worst_of, check_findings)}
 
 
 def _checks_sql(a: str, b: str, c: str) -> str:
@@ -167,6 +239,14 @@ _W = _checks_sql("error", "warning", "notice")
 _S = _checks_sql("critical", "major", "minor")
 
 ORACLE_SQL = {
+    "document_rules": r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, lang FROM documents), s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS u FROM d),
+      h AS (SELECT doc_id, count(CASE WHEN regexp_matches(u, '(^|\s)at(\s|$)') AND regexp_matches(u, '(^|\s)the(\s|$)') THEN 1 END) AS h FROM s GROUP BY 1),
+      r AS (SELECT 'no_shouting' AS rule, CASE WHEN contains(t, '!!') THEN 'fail' ELSE 'pass' END AS status, CAST(contains(t, '!!') AS INT) AS hits FROM d
+        UNION ALL SELECT 'no_lone_at', CASE WHEN h > 0 THEN 'fail' ELSE 'pass' END, h FROM h
+        UNION ALL SELECT 'names_language', CASE WHEN trim(t) <> '' AND NOT regexp_matches(t, '(^|\s)' || lang || '(\s|$)') THEN 'fail' ELSE 'pass' END, CAST(regexp_matches(t, '(^|\s)' || lang || '(\s|$)') AS INT) FROM d
+        UNION ALL SELECT 'has_stop', CASE WHEN source LIKE 'src1%' AND trim(t) <> '' AND NOT contains(t, '.') THEN 'fail' ELSE 'pass' END, CAST(source LIKE 'src1%' AND contains(t, '.') AS INT) FROM d
+        UNION ALL SELECT 'license_named', CASE WHEN NOT regexp_matches(t, 'License|Apache|CC BY') THEN 'na' WHEN contains(t, 'Version') THEN 'pass' ELSE 'fail' END, CAST(contains(t, 'Version') AS INT) FROM d)
+      SELECT rule, status, count(*) AS documents, CAST(sum(hits) AS BIGINT) AS hits FROM r GROUP BY ALL""",
     "check_bucket_scores": f"""WITH {_W}, p AS (SELECT page, CASE WHEN id <= 2 THEN 'title' WHEN id = 3 THEN 'content' WHEN id = 4 THEN 'schema' WHEN id <= 6 THEN 'links' END AS bucket,
         CASE status WHEN 'pass' THEN 100 WHEN 'notice' THEN 85 WHEN 'warning' THEN 50 WHEN 'fail' THEN CASE WHEN severity = 'error' THEN 0 ELSE 25 END END AS points, CASE WHEN id = 1 THEN 3 WHEN id <= 3 THEN 2 ELSE 1 END AS tier FROM ch),
       b AS (SELECT page, bucket, floor(sum(tier * points) / sum(tier) + 0.5) AS score, CASE bucket WHEN 'title' THEN 400 WHEN 'content' THEN 300 WHEN 'schema' THEN 220 ELSE 200 END AS weight FROM p WHERE bucket IS NOT NULL AND points IS NOT NULL GROUP BY page, bucket),

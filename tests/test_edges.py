@@ -193,3 +193,19 @@ def test_blockers_lower_the_cap_together(spark):
     got = {r.page: (r.composite, r.cap, r.overall, r.band) for r in checks.page_scores(rows, checks.BUCKETS, checks.WEIGHTS, checks.TIERS, checks.BLOCKERS).collect()}
     assert got[1] == (32, 35, 32, "critical") and got[2] == (None, None, None, "critical") and got[3][0] is None
     assert {r.page: r.score for r in checks.category_score(rows, {"c1": 50, "c2": 50}).collect()} == {1: 50, 2: 100, 3: 100}
+
+
+def test_rules_of_units_sections_and_missing_values(spark):
+    from marlstone.operators import checks
+
+    rows = [(1, "hero.h1", "Fine (Lynn) care. Call now!", "(Lynn)"), (1, "faq", None, "(Lynn)"), (2, "faq", "Care in Salem.", None), (3, "hero", "", "X")]
+    pieces = spark.createDataFrame(rows, "doc int, section string, text string, city string")
+    rules = [
+        {"key": "city", "type": "require", "pattern": "{city}"}, {"key": "call", "type": "forbid", "pattern": "[Cc]all", "unit": "sentence", "when": "now"},
+        {"key": "hero", "type": "require", "pattern": "zzz", "sections": ["hero"]}, {"key": "if", "type": "require", "pattern": "now", "when": "Call"},
+    ]
+    got = {(r.doc, r.rule): r.status for r in checks.apply_rules(pieces, "doc", rules).collect()}
+    assert got == {
+        (1, "city"): "pass", (2, "city"): "fail", (3, "city"): "pass", (1, "call"): "fail", (2, "call"): "pass", (3, "call"): "pass",
+        (1, "hero"): "fail", (2, "hero"): "pass", (3, "hero"): "pass", (1, "if"): "pass", (2, "if"): "na", (3, "if"): "na",
+    }

@@ -8,7 +8,7 @@ from marlstone.sources import files
 from marlstone.streaming import ledgers
 
 CASES = [
-    ("dentist in arlington", "Arlington Dentist, MA | Gentle Dental of New England", "unordered_proximity"),
+    ("dentist in arlington", "Arlington Dentist, MA | Family Dental of the North", "unordered_proximity"),
     ("dentist in arlington", "Dentist Near You in Arlington, MA", "exact_phrase"),
     ("dentist in arlington", "Meet Our Trusted Dentists in Arlington, MA", "exact_phrase_inflected"),
     ("teeth whitening", "tooth whitening treatment", "exact_phrase_inflected"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import checks, collections, keywords, market, page_checks, phrases, reports, sites, store, text
+from ..operators import checks, classify, collections, keywords, market, page_checks, phrases, reports, sites, store, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (keywords, market, store, text, sites, checks, collections, phrases, reports, page_checks):
+for _module in (keywords, market, store, text, sites, checks, collections, phrases, reports, page_checks, classify):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

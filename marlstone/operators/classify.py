@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.stems import stem, stemmed
 from ..runtime import read_table
 from .text import TITLE, W, _title, plain_words
 
@@ -58,8 +59,15 @@ def relevant(keyword: Column, terms, rival, allowed) -> Column:
     return out & ~without_regions(keyword, allowed).rlike(rf"\b({_words(rival)})\b") if rival else out
 
 
-def navigational(keyword: Column) -> Column:
-    return F.arrays_overlap(plain_words(keyword), F.array(*[F.lit(w) for w in SUPPORT]))
+def keyword_topics(rows: DataFrame, key: str, keyword: str, topics: DataFrame) -> DataFrame:
+    """key, navigational, shares: whether a stem of the keyword's words is a support word, and whether one is among ``topics`` (stem).
+
+    Support words that stemming changes ("customer") are never met. Only the vocabulary is stemmed.
+    """
+    words = stemmed(rows.select(key, F.explode(plain_words(F.col(keyword))).alias("word")), "word")
+    met = words.join(topics.select("stem").distinct().withColumn("topic", F.lit(True)), "stem", "left")
+    per = met.groupBy(key).agg(F.max(F.col("stem").isin(*SUPPORT)).alias("navigational"), F.max(F.coalesce("topic", F.lit(False))).alias("shares"))
+    return rows.select(key).join(per, key, "left").fillna(False, ["navigational", "shares"])
 
 
 def branded(keyword: Column, brand: Column) -> Column:
@@ -69,10 +77,10 @@ def branded(keyword: Column, brand: Column) -> Column:
 
 
 def domain_class(domain: Column, own: str | None, directories) -> Column:
-    """you, directory (listed, or an institution's), else provider, by the last two labels."""
+    """you, directory (listed, or an institution's), else provider, by the last two labels; so gov.uk, two labels itself, is a provider."""
     d = F.regexp_replace(F.regexp_replace(lowered(domain), r"^https?://", ""), r"^www\.|[/?#].*$", "")
     root = F.substring_index(d, ".", -2)
-    out = F.when(root.isin(*directories) | root.rlike(r"(^|\.)(gov|edu|mil)$") | root.rlike(r"\.gov\.[a-z]{2}$"), "directory").otherwise("provider")
+    out = F.when(root.isin(*directories) | root.rlike(r"(^|\.)(gov|edu|mil)$"), "directory").otherwise("provider")
     return F.when(root == own, "you").otherwise(out) if own else out
 
 
@@ -135,7 +143,11 @@ def _keywords(spark, sf_dir):
 def keyword_classes(spark, sf_dir):
     """Intent, near-me, support and brand words, and relevance of each keyword."""
     k = F.col("keyword")
-    return _keywords(spark, sf_dir).select("p_partkey", intent(k).alias("intent"), near_me(k).alias("near_me"), navigational(k).alias("navigational"), branded(k, F.col("brand")).alias("branded"), F.trim(F.regexp_replace(without_regions(k, ALLOWED), " +", " ")).alias("stripped"), relevant(k, ("ring", "bolt", "gear"), rivals("Shelbyville", ALLOWED, PLACES), ALLOWED).alias("relevant"))
+    rows = _keywords(spark, sf_dir)
+    topics = spark.createDataFrame([(stem(w),) for w in ("rings", "bolts", "gears")], "stem string")
+    rows = rows.join(keyword_topics(rows, "p_partkey", "keyword", topics), "p_partkey")
+    on_topic = F.col("shares") & ~F.col("navigational") & ~branded(k, F.col("brand"))
+    return rows.select("p_partkey", on_topic.alias("on_topic"), "navigational", intent(k).alias("intent"), near_me(k).alias("near_me"), branded(k, F.col("brand")).alias("branded"), F.trim(F.regexp_replace(without_regions(k, ALLOWED), " +", " ")).alias("stripped"), relevant(k, ("ring", "bolt", "gear"), rivals("Shelbyville", ALLOWED, PLACES), ALLOWED).alias("relevant"))
 
 
 def domain_classes(spark, sf_dir):
@@ -182,10 +194,11 @@ QUERIES = {f.__name__: f for f in (keyword_classes, domain_classes, content_type
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
 ORACLE_SQL = {
-    "keyword_classes": f"""WITH k AS (SELECT p_partkey, lower(p_name || {list(ENDINGS)}[p_partkey % {len(ENDINGS)} + 1]) AS k, lower(p_type[1:5]) AS b FROM part), s AS (SELECT *, string_split(k, ' ') AS w, trim(regexp_replace(replace(k, 'west springfield', ' '), ' +', ' ', 'g')) AS stripped FROM k)
-      SELECT p_partkey, CASE WHEN k LIKE '% guide' OR k LIKE '% how %' THEN 'informational' ELSE 'commercial' END AS intent, k LIKE '% near me' AS near_me, len(list_intersect(w, {list(SUPPORT)})) > 0 AS navigational,
+    "keyword_classes": f"""WITH r AS (WITH k AS (SELECT p_partkey, lower(p_name || {list(ENDINGS)}[p_partkey % {len(ENDINGS)} + 1]) AS k, lower(p_type[1:5]) AS b FROM part), s AS (SELECT *, string_split(k, ' ') AS w, trim(regexp_replace(replace(k, 'west springfield', ' '), ' +', ' ', 'g')) AS stripped FROM k)
+      SELECT p_partkey, CASE WHEN k LIKE '% guide' OR k LIKE '% how %' THEN 'informational' ELSE 'commercial' END AS intent, k LIKE '% near me' AS near_me, len(list_intersect(w, {[w for w in SUPPORT if stem(w) == w]})) > 0 AS navigational, list_has_any(w, ['ring', 'bolt', 'gear']) AS shares,
         len(list_filter(w, lambda x: x = b OR (length(x) >= 4 AND length(b) >= 4 AND (starts_with(x, b) OR starts_with(b, x))))) > 0 AS branded, stripped,
-        (contains(k, 'ring') OR contains(k, 'bolt') OR contains(k, 'gear')) AND NOT list_has_any(string_split(stripped, ' '), ['springfield', 'hot']) AS relevant FROM s""",
+        (contains(k, 'ring') OR contains(k, 'bolt') OR contains(k, 'gear')) AND NOT list_has_any(string_split(stripped, ' '), ['springfield', 'hot']) AS relevant FROM s)
+      SELECT * EXCLUDE (shares), shares AND NOT navigational AND NOT branded AS on_topic FROM r""",
     "domain_classes": f"SELECT CASE WHEN regexp_matches({_HOST}, '(^|[.])example[.]org$') THEN 'you' WHEN regexp_matches({_HOST}, '(^|[.])example[.]net$|[.](gov|edu|mil)$') THEN 'directory' ELSE 'provider' END AS class, count(*) AS pages FROM pages GROUP BY 1",
     "content_types": f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, len({W.format('text')}) AS w, len(regexp_extract_all(coalesce(text, ''), 'https?://')) AS l FROM documents)
       SELECT doc_id, CASE WHEN w < 300 THEN 'thin-content' WHEN l > 0.05 * w AND w < 800 THEN 'hub' WHEN regexp_matches(t, '{ACTS}') AND w < 600 THEN 'landing-page' ELSE 'article' END AS type, CASE WHEN w < 500 THEN 'thin' WHEN w < 1500 THEN 'moderate' WHEN w < 3000 THEN 'substantial' ELSE 'comprehensive' END AS tier FROM d""",

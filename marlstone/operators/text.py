@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.numbers import half_up
+from ..functions.stems import stemmed
 from ..runtime import materialize, read_table
 
 
@@ -182,7 +183,14 @@ def page_term_profile(spark, sf_dir):
     return tf.join(df, "term").select(F.col("id").alias("page_id"), "term", "tf", half_up(F.log(n / F.col("df")), 6).alias("idf"))
 
 
-QUERIES = {f.__name__: f for f in (text_wordcount, page_term_profile, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, title_classes, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
+def benchmark_stems(spark, sf_dir):
+    """Stems of the benchmark's words, with their forms and occurrences."""
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(plain_words(F.col("text"))).alias("word"))
+    counts = words.filter((F.length("word") > 1) & ~F.col("word").isin(*STOP_WORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return stemmed(counts, "word").groupBy("stem").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (benchmark_stems, text_wordcount, page_term_profile, shingle_jaccard_benchmark, tfidf_terms, title_cosine_pairs, title_classes, url_parts, url_template_counts, page_signals, benchmark_title_sets)}
 
 W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"

@@ -13,6 +13,9 @@ from .byte_cnn import op7_quality_byte_cnn
 from .quality_rules import op8_quality_rules_hosts
 from .simhash import op9_simhash_pigeonhole
 from .substrings import op10_sentence_spans
+from .mtree import op11_mtree_topk
+from .lloyd import op12_filtering_lloyd
+from .infill import op13_infill_rank_select
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +30,9 @@ QUERIES = {
         op8_quality_rules_hosts,
         op9_simhash_pigeonhole,
         op10_sentence_spans,
+        op11_mtree_topk,
+        op12_filtering_lloyd,
+        op13_infill_rank_select,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules_hosts": sql.OP8}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules_hosts": sql.OP8, "op11_mtree_topk": sql.OP11, "op12_filtering_lloyd": sql.OP12, "op13_infill_rank_select": sql.OP13}

@@ -168,7 +168,7 @@ def wide(of: Shape) -> type:
 
 def filled(of: Shape) -> Shape:
     """With a length that PARTS divides."""
-    return replace(of, length=max(PARTS, -(-of.length // PARTS) * PARTS))
+    return replace(of, length=-(-of.length // PARTS) * PARTS)
 
 
 def trees(rows: DataFrame, of: Shape) -> DataFrame:

@@ -166,8 +166,9 @@ def text_keys(text: str, short: bool) -> list[dict]:
             continue
         digits = any(c.isdigit() for c in word)
         own = keys(word) + ([("x:" + word, 2)] if named and not digits and word in NAMES else [])
-        if bound and i + 1 < len(words) and not words[i + 1][3]:
-            own += [(k, 2) for k, v in keys(word + words[i + 1][0]) if v >= 2]
+        for a, b in ((i, i + 1), (i - 1, i)):  # bound words also are one word, at either's place
+            if a >= 0 and b < len(words) and words[a][4] and not (words[a][3] or words[b][3]):
+                own += [(k, 2) for k, v in keys(words[a][0] + words[b][0]) if v >= 2]
         out += [{"key": k, "level": v, "place": place, "stretch": stretch} for k, v in own]
         place += 1
     return out

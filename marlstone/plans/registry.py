@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import checks, classify, collections, joins, keywords, keyword_match, market, page_checks, page_dressed, phrases, reports, sites, store, text, writing
+from ..operators import checks, classify, collections, joins, keywords, keyword_match, market, page_checks, page_dressed, phrases, reports, sites, store, text, topics, writing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (keywords, market, store, text, sites, checks, collections, phrases, reports, keyword_match, page_checks, page_dressed, classify, joins, writing):
+for _module in (keywords, market, store, text, sites, checks, collections, phrases, reports, keyword_match, page_checks, page_dressed, classify, joins, writing, topics):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

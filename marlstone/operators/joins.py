@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..runtime import read_table
-from .text import ORACLE_SQL as TEXT_SQL
-from .text import title_cosine_pairs
+from .text import title_classes, title_cosine_pairs, title_weights
 
 CANNIBAL, DUAL_MARGIN = 0.75, 0.05  # defaults, to be replaced by a user's own
 # Days that a frequency allows, and patterns of claims.
@@ -32,24 +31,40 @@ UNFILLED = r"\[(x|y|n|name|full name|credential(/title)?|title|org(anisation|ani
 # --- clusters and pairs
 
 
+def _kinds(members: DataFrame) -> DataFrame:
+    """node, cluster, kind: nodes that are equal have one kind; where none is given each is its own."""
+    return members if "kind" in members.columns else members.withColumn("kind", F.col("node"))
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("i").alias("node"), F.col("j").alias("peer"), "similarity").unionByName(pairs.select(F.col("j").alias("node"), F.col("i").alias("peer"), "similarity"))
+    """Pairs of kinds from either side; one of a kind with itself once."""
+    back = pairs.filter("i <> j").select(F.col("j").alias("kind"), F.col("i").alias("peer"), "similarity")
+    return pairs.select(F.col("i").alias("kind"), F.col("j").alias("peer"), "similarity").unionByName(back)
 
 
 def cannibals(members: DataFrame, pairs: DataFrame, least: float = CANNIBAL) -> DataFrame:
-    """i, j, cluster, similarity of pairs (i < j) within a cluster that are alike enough to compete."""
-    a, b = members.select(F.col("node").alias("i"), "cluster"), members.select(F.col("node").alias("j"), F.col("cluster").alias("other"))
-    return pairs.filter(F.col("similarity") >= least).join(a, "i").join(b, "j").filter("cluster = other").select("i", "j", "cluster", "similarity")
+    """cluster, i, j, n_i, n_j, similarity of kinds (i <= j) within a cluster that are alike enough to compete, with
+    their nodes there. ``pairs`` (i, j, similarity) may pair a kind with itself, which competes where it has two nodes or more;
+    equal nodes are never listed pair by pair."""
+    count = _kinds(members).groupBy("kind", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (count.select(F.col("kind").alias(k), "cluster", F.col("n").alias(f"n_{k}")) for k in ("i", "j"))
+    found = pairs.filter(F.col("similarity") >= least).join(a, "i").join(b, ["j", "cluster"])
+    return found.filter("i <> j OR n_i > 1").select("cluster", "i", "j", "n_i", "n_j", "similarity")
 
 
 def cluster_means(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, cluster, mean: mean similarity to a cluster's other members, for clusters with any; unlisted pairs are zero."""
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    own = members.select("node", F.col("cluster").alias("own"))
-    sums = _both_ways(pairs).join(members.select(F.col("node").alias("peer"), "cluster"), "peer").groupBy("node", "cluster").agg(F.sum("similarity").alias("s"))
-    of = sums.join(size, "cluster").join(own, "node", "left")
-    others = F.col("n") - F.coalesce((F.col("own") == F.col("cluster")).cast("int"), F.lit(0))
-    return of.select("node", "own", "cluster", F.when(others > 0, F.col("s") / others).otherwise(0.0).alias("mean"))
+    """node, own, cluster, mean: mean similarity to a cluster's other members, for clusters with any like one; unlisted pairs are zero.
+
+    Sums are made for kinds, not nodes; a node's similarity to itself is taken off in its own cluster.
+    """
+    m = _kinds(members)
+    size = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    count = m.groupBy(F.col("kind").alias("peer"), "cluster").agg(F.count(F.lit(1)).alias("nodes"))
+    sums = _both_ways(pairs).join(count, "peer").groupBy("kind", "cluster").agg(F.sum(F.col("similarity") * F.col("nodes")).alias("s"), F.coalesce(F.max(F.when(F.col("kind") == F.col("peer"), F.col("similarity"))), F.lit(0)).alias("itself"))
+    of = m.select("node", F.col("cluster").alias("own"), "kind").join(sums, "kind").join(size, "cluster")
+    at_home = F.coalesce((F.col("own") == F.col("cluster")).cast("int"), F.lit(0))
+    others, s = F.col("n") - at_home, F.col("s") - at_home * F.col("itself")
+    return of.filter(s > 0).select("node", "own", "cluster", F.when(others > 0, s / others).otherwise(0.0).alias("mean"))
 
 
 def nearest_cluster(nodes: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,17 +170,21 @@ def screened(rows: DataFrame, year: int) -> DataFrame:
 
 
 def _title_pairs(spark, sf_dir):
-    """Like titles, with the cosine in whole ten-thousandths, so that sums are exact."""
-    return title_cosine_pairs(spark, sf_dir).select("i", "j", F.round(F.col("cosine") * 10000).cast("long").alias("similarity"))
+    """Like titles by their first pages, each that has terms with itself too; the cosine in whole ten-thousandths, so that sums are exact."""
+    pairs = title_cosine_pairs(spark, sf_dir).select("i", "j", F.round(F.col("cosine") * 10000).cast("long").alias("similarity"))
+    pages = read_table(spark, sf_dir, "pages")
+    said = title_weights(pages).filter("weight <> 0").select(F.col("id").alias("i")).distinct()
+    own = title_classes(spark, sf_dir).select(F.col("class_id").alias("i")).distinct().join(said, "i")
+    return pairs.unionByName(own.select("i", F.col("i").alias("j"), F.lit(10000).cast("long").alias("similarity")))
 
 
 def _fifths(spark, sf_dir):
-    """Pages in five clusters by id."""
-    return read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("node"), (F.col("page_id") % 5).alias("cluster"))
+    """Pages in five clusters by id, with the first page of the same title as their kind."""
+    return title_classes(spark, sf_dir).select(F.col("page_id").alias("node"), (F.col("page_id") % 5).alias("cluster"), F.col("class_id").alias("kind"))
 
 
 def title_cannibals(spark, sf_dir):
-    """Pages of one cluster with like titles."""
+    """Like titles of one cluster, each by its first page, with their pages there; ``title_classes`` has the pages of each."""
     return cannibals(_fifths(spark, sf_dir), _title_pairs(spark, sf_dir), 3000)
 
 
@@ -230,7 +249,12 @@ def claim_screen(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (title_cannibals, title_nearest_cluster, title_dual_members, layers_by_membership, precedence_merge, task_cadence, order_dependencies, turns_first_seen, claim_screen)}
 
-_PAIRS = f"pairs AS (SELECT i, j, CAST(round(cosine * 10000) AS BIGINT) AS cosine FROM ({TEXT_SQL['title_cosine_pairs']})), m AS (SELECT page_id AS node, page_id % 5 AS cluster FROM pages), ways AS (SELECT i AS node, j AS peer, cosine AS s FROM pairs UNION ALL SELECT j, i, cosine FROM pairs)"
+#: Page by page, from the pages' own words; nothing is shared with the Spark form but the definition.
+_PAIRS = r"""words AS (SELECT page_id, unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z0-9]+')) AS t FROM pages),
+  tf AS (SELECT page_id, t, count(*) AS f FROM words WHERE length(t) > 1 AND NOT regexp_full_match(t, '[0-9]+') GROUP BY ALL), total AS (SELECT count(*) AS n FROM pages),
+  wt AS (SELECT page_id, t, f * ln(n / df) AS w FROM tf JOIN (SELECT t, count(*) AS df FROM tf GROUP BY t) USING (t), total WHERE df / n <= 0.6), unit AS (SELECT page_id, t, w / sqrt(sum(w * w) OVER (PARTITION BY page_id)) AS w FROM wt WHERE w <> 0),
+  m AS (SELECT page_id AS node, page_id % 5 AS cluster, min(page_id) OVER (PARTITION BY regexp_extract(html, '<title>([^<]*)</title>', 1)) AS kind FROM pages),
+  ways AS (SELECT a.page_id AS node, b.page_id AS peer, CAST(round(floor(sum(a.w * b.w) * 10000 + 0.5)) AS BIGINT) AS s FROM unit a JOIN unit b ON a.t = b.t AND a.page_id <> b.page_id GROUP BY a.page_id, b.page_id HAVING sum(a.w * b.w) >= 0.08)"""
 _MEANS = f"""{_PAIRS}, size AS (SELECT cluster, count(*) AS n FROM m GROUP BY 1), means AS (SELECT ways.node AS node, p.cluster AS cluster, o.cluster AS own, sum(s) / (n - CAST(p.cluster = o.cluster AS INT)) AS mean FROM ways JOIN m p ON ways.peer = p.node JOIN m o ON ways.node = o.node JOIN size ON size.cluster = p.cluster GROUP BY ways.node, p.cluster, o.cluster, n)"""
 
 
@@ -239,7 +263,9 @@ def _sql_regex(p: str) -> str:
 
 
 ORACLE_SQL = {
-    "title_cannibals": f"WITH {_PAIRS} SELECT i, j, a.cluster AS cluster, cosine AS similarity FROM pairs JOIN m a ON a.node = i JOIN m b ON b.node = j WHERE cosine >= 3000 AND a.cluster = b.cluster",
+    "title_cannibals": f"""WITH {_PAIRS}, own AS (SELECT cluster, kind, count(*) AS n FROM m GROUP BY ALL),
+      like_ AS (SELECT DISTINCT a.cluster AS cluster, a.kind AS i, b.kind AS j, s FROM ways JOIN m a ON a.node = ways.node JOIN m b ON b.node = ways.peer WHERE a.cluster = b.cluster AND a.kind <= b.kind AND s >= 3000)
+      SELECT l.cluster AS cluster, i, j, x.n AS n_i, y.n AS n_j, s AS similarity FROM like_ l JOIN own x ON x.cluster = l.cluster AND x.kind = i JOIN own y ON y.cluster = l.cluster AND y.kind = j""",
     "title_nearest_cluster": f"WITH {_MEANS}, r AS (SELECT node, cluster, mean FROM means QUALIFY row_number() OVER (PARTITION BY node ORDER BY mean DESC, cluster) = 1) SELECT m.node AS node, r.cluster AS cluster, floor(mean * 1000 + 0.5) / 1000 AS mean FROM m LEFT JOIN r USING (node)",
     "title_dual_members": f"WITH {_MEANS} SELECT m.node AS node, coalesce(max(CASE WHEN means.cluster = own THEN mean END), 0) - coalesce(max(CASE WHEN means.cluster <> own THEN mean END), 0) <= 10 AS dual FROM m LEFT JOIN means USING (node) GROUP BY 1",
     "layers_by_membership": """WITH s AS (SELECT s_suppkey, [s_nationkey, (s_nationkey + 7) % 25] AS ns, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'] AS g FROM supplier), c AS (SELECT c_nationkey, c_mktsegment, count(*) AS customers FROM customer GROUP BY ALL)

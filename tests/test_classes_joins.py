@@ -59,12 +59,21 @@ def test_claims(spark):
 def test_clusters(spark):
     members = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)], "node long, cluster long")
     pairs = spark.createDataFrame([(1, 2, 0.8), (1, 3, 0.9), (3, 4, 0.2), (2, 3, 0.1)], "i long, j long, similarity double")
-    assert [tuple(r) for r in joins.cannibals(members, pairs).collect()] == [(1, 2, 1, 0.8)]
+    assert [tuple(r) for r in joins.cannibals(members, pairs).collect()] == [(1, 1, 2, 1, 1, 0.8)]
     near = {r.node: (r.cluster, r.mean) for r in joins.nearest_cluster(members.select("node"), members, pairs).collect()}
     assert near == {1: (1, 0.8), 2: (1, 0.8), 3: (1, 0.5), 4: (2, 0.2), 5: (None, None)}
     dual = {r.node: r.dual for r in joins.dual_members(members, pairs).collect()}
     assert dual == {1: False, 2: False, 3: True, 4: False, 5: True}
     assert not any(r.dual for r in joins.dual_members(members.filter("cluster = 1"), pairs).collect())
+    # 1 and 6 are equal, and so are 3 and 7: all pairs of nodes give what kinds give
+    kinds = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (6, 1, 1), (3, 2, 3), (7, 1, 3), (4, 2, 4), (5, 3, 5)], "node long, cluster long, kind long")
+    alike = pairs.unionByName(spark.createDataFrame([(1, 1, 1.0), (3, 3, 1.0), (4, 4, 1.0)], pairs.schema))
+    listed = spark.createDataFrame([(1, 2, 0.8), (2, 6, 0.8), (1, 3, 0.9), (1, 7, 0.9), (3, 6, 0.9), (6, 7, 0.9), (3, 4, 0.2), (4, 7, 0.2), (2, 3, 0.1), (2, 7, 0.1), (1, 6, 1.0), (3, 7, 1.0)], pairs.schema)
+    assert sorted(tuple(r) for r in joins.cannibals(kinds, alike, 0.5).collect()) == [(1, 1, 1, 2, 2, 1.0), (1, 1, 2, 2, 1, 0.8), (1, 1, 3, 2, 1, 0.9)]
+    plain = kinds.drop("kind")
+    rounded = lambda d: sorted((r.node, r.cluster, round(r.mean, 9)) for r in d.collect())
+    assert rounded(joins.cluster_means(kinds, alike)) == rounded(joins.cluster_means(plain, listed))
+    assert sorted(map(tuple, joins.dual_members(kinds, alike).collect())) == sorted(map(tuple, joins.dual_members(plain, listed).collect()))
 
 
 def test_cadence_and_dependencies(spark):

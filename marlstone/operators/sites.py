@@ -163,26 +163,43 @@ def health(clusters: DataFrame) -> DataFrame:
 # --- URLs
 
 
-def template_levels(pages: DataFrame, url_col: str, most_siblings: int = 8) -> DataFrame:
-    """page row with ``template``: level by level, siblings under one emerging prefix that are more
-    than ``most_siblings``, or look like instances (dates, numbers, long slugs), become one ``*``;
-    the first level's folders stay as they are.
-
-    A level is one aggregation and one join on the prefix so far; the depth of
-    the deepest path, a small number, is the number of rounds.
+def template_levels(pages: DataFrame, url_col: str, most_rare: int = 8) -> DataFrame:
+    """page row with ``template``: level by level, the values under one emerging prefix become {date} where they are
+    several and all years, {n} where several and all numbers; else those that come once become {slug}, if they are
+    more than ``most_rare``. A value that comes twice or more keeps its name.
+
+    Rounds work on distinct paths with their counts, and on those alone that share their
+    prefix with another: what stands under a prefix of its own keeps the rest of its names, so there are as many
+    rounds as levels at which paths part, however deep a path is. Pages are joined once.
     """
-    rows = pages.withColumn("_seg", urls.path_segments(F.col(url_col))).withColumn("template", F.lit(""))
-    deepest = rows.agg(F.max(F.size("_seg"))).first()[0] or 0
     since = mark(pages.sparkSession)
-    for level in range(deepest):
-        here = F.get("_seg", level)
-        many = rows.filter(here.isNotNull()).groupBy("template").agg(F.countDistinct(here).alias("_kinds"))
-        like = here.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$") | here.rlike(r"^[0-9]+(\.html?)?$") | here.rlike(r"^[a-z0-9]+(-[a-z0-9]+){2,}$")
-        leaf_or_deep = F.lit(level > 0)
-        folded = F.when(like | (leaf_or_deep & (F.col("_kinds") > most_siblings)), "*").otherwise(here)
-        rows = rows.join(many, "template", "left").withColumn("template", F.when(here.isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", folded))).drop("_kinds")
-        rows = materialize(rows)
-    return sweep(rows.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template"))).drop("_seg"), since)
+    seg = F.coalesce(urls.path_segments(F.col(url_col)), F.array().cast("array<string>"))
+    open_ = materialize(pages.select(seg.alias("seg")).groupBy("seg").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit("")))
+    done, level = [], 0
+    while True:
+        # what is left of a path, under its template so far
+        here = F.get("seg", F.lit(level))
+        alone = open_.groupBy("t").agg(F.count(F.lit(1)).alias("paths"))
+        told = open_.join(alone, "t")
+        rest = F.array_join(F.slice("seg", level + 1, F.greatest(F.size("seg") - level, F.lit(0))), "/")
+        single = (F.col("paths") == 1) & (F.size("seg") > level)
+        done.append(materialize(told.filter(here.isNull() | (F.col("paths") == 1)).select("seg", F.when(single, F.concat("t", F.lit("/"), rest)).otherwise(F.col("t")).alias("template"))))
+        open_ = materialize(told.filter(here.isNotNull() & (F.col("paths") > 1)).select("seg", "n", "t"))
+        if open_.isEmpty():
+            break
+        values = open_.groupBy("t", here.alias("v")).agg(F.sum("n").alias("c"))
+        kinds = values.groupBy("t").agg(F.count(F.lit(1)).alias("kinds"), F.bool_and(F.col("v").rlike("^(19|20)[0-9]{2}$")).alias("years"), F.bool_and(F.col("v").rlike("^[0-9]+$")).alias("numbers"), F.count_if(F.col("c") < 2).alias("rare"))
+        many = F.col("kinds") > 1
+        name = F.when(many & F.col("years"), "{date}").when(many & F.col("numbers"), "{n}").when((F.col("c") < 2) & (F.col("rare") > most_rare), "{slug}").otherwise(F.col("v"))
+        named = values.join(kinds, "t").select(F.col("t").alias("_t"), F.col("v").alias("_v"), name.alias("name"))
+        open_ = materialize(open_.join(named, (F.col("t") == F.col("_t")) & (here == F.col("_v"))).select("seg", "n", F.concat_ws("/", "t", "name").alias("t")))
+        level += 1
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    rows = pages.withColumn("_seg", seg)
+    joined = rows.join(every.withColumnRenamed("seg", "_seg"), "_seg")
+    return sweep(joined.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template"))).drop("_seg"), since)
 
 
 def typed(pages: DataFrame, path: Column, overrides: DataFrame | None = None, rules=urls.PAGE_TYPES) -> DataFrame:
@@ -330,14 +347,16 @@ CLUSTER_SQL = f"""{DEPTH_SQL}, dens AS (SELECT p_brand AS cluster, n, coalesce(i
       r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, node) AS k, lead(score) OVER (PARTITION BY cluster ORDER BY score DESC, node) AS second FROM s),
       hub AS (SELECT cluster, CASE WHEN score >= 0.5 THEN node END AS hub, floor(score * 10000 + 0.5) / 10000 AS score, score >= 0.5 AND coalesce((score - second) / greatest(abs(score), 1e-6) < 0.15, false) AS ambiguous, breadth FROM r WHERE k = 1)"""
 _SEG = "list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')"
-_FOLD = "CASE WHEN regexp_full_match({s}, '[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?') OR regexp_full_match({s}, '[0-9]+(\\.html?)?') OR regexp_full_match({s}, '[a-z0-9]+(-[a-z0-9]+){{{{2,}}}}') OR {deep} THEN '*' ELSE {s} END"
 
 
 def _levels(n: int) -> str:
+    """Level by level over all pages, with counts by window."""
     out, last = f"l0 AS (SELECT url, {_SEG} AS seg, '' AS t FROM pages)", "l0"
     for k in range(1, n + 1):
-        fold = _FOLD.replace("{{{{", "{{").replace("}}}}", "}}").format(s=f"seg[{k}]", deep="kinds > 8" if k > 1 else "false")
-        out += f", l{k} AS (SELECT url, seg, CASE WHEN len(seg) < {k} THEN t ELSE t || '/' || {fold} END AS t FROM (SELECT *, count(DISTINCT seg[{k}]) OVER (PARTITION BY t) AS kinds FROM {last}))"
+        out += f""", v{k} AS (SELECT t, seg[{k}] AS v, count(*) AS c FROM {last} WHERE len(seg) >= {k} GROUP BY ALL),
+          k{k} AS (SELECT t, count(*) AS kinds, bool_and(regexp_full_match(v, '(19|20)[0-9]{{2}}')) AS years, bool_and(regexp_full_match(v, '[0-9]+')) AS numbers, count(*) FILTER (c < 2) AS rare FROM v{k} GROUP BY t),
+          l{k} AS (SELECT url, seg, CASE WHEN len(seg) < {k} THEN l.t ELSE l.t || '/' || CASE WHEN kinds > 1 AND years THEN '{{date}}' WHEN kinds > 1 AND numbers THEN '{{n}}' WHEN c < 2 AND rare > 8 THEN '{{slug}}' ELSE seg[{k}] END END AS t
+            FROM {last} l LEFT JOIN v{k} v ON v.t = l.t AND v.v = seg[{k}] LEFT JOIN k{k} k ON k.t = l.t)"""
         last = f"l{k}"
     return out
 

@@ -209,3 +209,20 @@ def test_rules_of_units_sections_and_missing_values(spark):
         (1, "city"): "pass", (2, "city"): "fail", (3, "city"): "pass", (1, "call"): "fail", (2, "call"): "pass", (3, "call"): "pass",
         (1, "hero"): "fail", (2, "hero"): "pass", (3, "hero"): "pass", (1, "if"): "pass", (2, "if"): "na", (3, "if"): "na",
     }
+
+
+def test_templates_keep_frequent_names(spark):
+    from marlstone.operators import sites
+
+    def templates(paths):
+        pages = spark.createDataFrame([("https://a.co" + p,) for p in paths], "url string").withColumn("t", sites.F.lit("clash")).withColumn("seg", sites.F.lit(1))
+        return {r.url[12:]: r.template for r in sites.template_levels(pages, "url").collect()}
+
+    rare = [f"/blog/p{i}" for i in range(9)]
+    got = templates([*rare, "/blog/news", "/blog/news", "/blog/p1/x/y", "/2023/a", "/2024/a", "/about"])
+    # at /blog the value p1 comes twice, so eight rare ones are left
+    assert got["/blog/p2"] == "/blog/p2" and got["/blog/news"] == "/blog/news" and got["/2023/a"] == "/2023/a"
+    got = templates([*rare, "/blog/q", "/blog/news", "/blog/news", "/blog/news/1", "/blog/news/22", ""])
+    assert got["/blog/p2"] == got["/blog/q"] == "/blog/{slug}" and got["/blog/news"] == "/blog/news" and got["/blog/news/1"] == got["/blog/news/22"] == "/blog/news/{n}" and got[""] == "/"
+    assert set(templates(["/2023/a", "/1999/a", "/2023/b"]).values()) == {"/{date}/a", "/{date}/b"} and set(templates(["/1", "/22"]).values()) == {"/{n}"} and templates(["/1"]) == {"/1": "/1"}
+    assert templates([]) == {}

@@ -63,8 +63,8 @@ def test_robots_and_sitemaps(spark):
     r = files.robots_rules(spark.createDataFrame([("h", robots), ("n", None)], "host string, txt string"), "host", "txt")
     got = {x.host: x.rules for x in r.collect()}
     assert got == {"h": ["/admin/"], "n": None}
-    paths = spark.createDataFrame([("/Admin/x",), ("/b",)], "p string").join(r.filter("host = 'h'"))
-    assert [x[0] for x in paths.select(files.disallowed(F.col("p"), F.col("rules"))).collect()] == [True, False]
+    paths = spark.createDataFrame([("/Admin/x",), ("/admin/x",), ("/b",)], "p string").join(r.filter("host = 'h'"))
+    assert [x[0] for x in paths.select(files.disallowed(F.col("p"), F.col("rules"))).collect()] == [False, True, False]  # paths have a case
     xml = "<urlset><url><loc> https://a.co/x/ </loc><lastmod>2024-01-02</lastmod></url><url><loc>https://a.co/x</loc></url><url><loc>https://a.co/?a=1&amp;b</loc></url></urlset>"
     index = "<sitemapindex><sitemap><loc>https://a.co/s.xml</loc></sitemap></sitemapindex>"
     e = files.sitemap_urls(spark.createDataFrame([("1", xml), ("2", index)], "f string, xml string"), "f", "xml")
@@ -74,6 +74,23 @@ def test_robots_and_sitemaps(spark):
     assert files.in_sitemap(pages, "url", e, False).filter("in_sitemap IS NULL").count() == 2
 
 
+def test_sitemaps_through_indexes(spark):
+    urlset = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap>\n<loc><![CDATA[{x}]]></loc></sitemap>" for x in u) + "</sitemapindex>"
+    landed = [
+        ("https://a.co/sitemap.xml", index("https://www.a.co/one.xml", "http://a.co/two.xml/", "https://a.co/sitemap.xml", "https://a.co/none.xml")), ("http://a.co/one.xml", index("https://a.co/two.xml", "https://a.co/three.xml", "https://a.co/image-sitemap.xml")),
+        ("https://www.a.co/two.xml", urlset("https://a.co/x", "https://www.a.co/y?a=1&amp;b=2", "https://b.co/z", "https://a.co/p.PDF")), ("https://a.co/three.xml", urlset("https://a.co/x/", "https://a.co/w")), ("https://a.co/image-sitemap.xml", urlset("https://a.co/i")),
+        ("https://b.co/sitemap.xml", None), ("https://c.co/sitemap.xml", urlset("https://c.co/1")), ("https://c.co/sitemap.xml", urlset("https://c.co/1", "https://c.co/2")),
+    ]
+    df = spark.createDataFrame(landed, "name string, text string").withColumn("url", F.lit("clash")).withColumn("file", F.lit(0))
+    roots = spark.createDataFrame([(f"https://{h}.co/sitemap.xml",) for h in "abcd"], "root string")
+    got = lambda depth: sorted((r.root[8], r.url, r.level) for r in files.sitemap_closure(df, roots, "name", "text", depth).collect())
+    assert got(5) == [("a", "https://a.co/w", 2), ("a", "https://a.co/x", 1), ("a", "https://www.a.co/y?a=1&b=2", 1), ("c", "https://c.co/1", 0), ("c", "https://c.co/2", 0)]
+    assert got(1) == [g for g in got(5) if g[2] < 2] and got(0) == [g for g in got(5) if g[2] < 1]
+    chain = spark.createDataFrame([(f"https://a.co/{i}.xml", index(f"https://a.co/{i + 1}.xml")) for i in range(3)] + [("https://a.co/3.xml", urlset("https://a.co/"))], "name string, text string")
+    assert [r.level for r in files.sitemap_closure(chain, spark.createDataFrame([("https://a.co/0.xml",)], "root string"), "name", "text").collect()] == [3]
+
+
 def test_json_front_matter_and_csv(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.json").write_text('{"id": "x",\n "n": 3}')

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..functions.running import running
 from ..runtime import read_table
 
 PURGE_AGE = "INTERVAL 180 DAYS"
@@ -109,15 +110,14 @@ def dedupe_pool(rows: DataFrame, text: str, volume: str) -> DataFrame:
 
 
 def two_band_rank(rows: DataFrame, band: Column, order: list[Column], group: str) -> DataFrame:
-    """``rank`` within the group: rows of the band first, then the others, each in order."""
-    w = Window.partitionBy(group).orderBy(F.when(band, 0).otherwise(1), *order)
-    return rows.withColumn("rank", F.row_number().over(w).cast("long"))
+    """``rank`` within the group: rows of the band first, then the others, each in order; a group may be of any size."""
+    return running(rows, [group], [F.when(band, 0).otherwise(1), *order], {"rank": ("count", None)})
 
 
 def nulls_last_rank(rows: DataFrame, group: str, by: str, ascending: bool, tie: str) -> DataFrame:
-    """``rank`` by a column with nulls last in either direction."""
+    """``rank`` by a column with nulls last in either direction; a group may be of any size."""
     o = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(o, tie)).cast("long"))
+    return running(rows, [group], [o, F.col(tie)], {"rank": ("count", None)})
 
 
 def partial_month_cache(rows: DataFrame, geo: str, time: str, term: str, value: str) -> DataFrame:
@@ -141,13 +141,9 @@ def store_scan(spark, sf_dir):
 
 
 def store_first_match(spark, sf_dir):
-    """The oldest document of each type."""
-    kinds = [r[0] for r in read_table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # the types: a handful
-    out = None
-    for k in kinds:
-        one = first_match(_documents(spark, sf_dir), {"type": k}).select("id", F.lit(k).alias("type"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The oldest document of each type, by one aggregation."""
+    d = _documents(spark, sf_dir).filter(field("type").isNotNull())
+    return d.groupBy(field("type").alias("type")).agg(F.min(F.struct("created_at", "id")).alias("r")).select("r.id", "type")
 
 
 def store_upsert(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..functions.running import running
 from ..runtime import read_table
 
 
@@ -23,19 +24,18 @@ def ring(rows: DataFrame, key: str, order: list[Column], keep: int = 12) -> Data
 
 
 def budget_prefix(rows: DataFrame, cost: str, order: list[Column], cap: int, by: list[str]) -> DataFrame:
-    """Running cost within ``by``; within_budget while it stays at most ``cap``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(cost).over(w)).withColumn("within_budget", F.col("running") <= cap)
+    """Running cost within ``by``, of groups of any size; within_budget while it stays at most ``cap``."""
+    return running(rows, by, order, {"running": ("sum", F.col(cost))}).withColumn("within_budget", F.col("running") <= cap)
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """For each left row the last right value of its key at or before its time: one shuffle by
-    key over the union, and a running last value; no pair of rows is formed."""
+    """For each left row the last right value of its key at or before its time: one shuffle of the union
+    into ranges of key and time, and a running last value; no pair of rows is formed, and no key is one task."""
     both = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType)).unionByName(
         right.select(key, time, F.lit(0).alias("_side"), F.col(value).alias("_value")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("asof_value", F.last("_value", ignorenulls=True).over(w)).filter("_side = 1").drop("_side", "_value")
+    told = running(both, [key], [F.col(time), F.col("_side")], {"asof_value": ("last", F.col("_value"))})
+    return told.filter("_side = 1").drop("_side", "_value")
 
 
 def _events(spark, sf_dir):

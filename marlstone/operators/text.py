@@ -26,20 +26,32 @@ def shingle_set(words: str, k: int = 3) -> Column:
     return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingle_sets(df: DataFrame, id_col: str, text: Column, k: int = 3) -> DataFrame:
+    """id, n, shingles of every text: the distinct 64-bit hashes of its runs of k words, and how many."""
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + d) for d in range(k)]))
+    own = bound(plain_words(text), lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
+    return df.select(F.col(id_col).alias("id"), bound(own, lambda s: F.struct(F.size(s).alias("n"), s.alias("shingles"))).alias("r")).select("id", "r.n", "r.shingles")
+
+
 def shingle_rows(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """id, n, s: a row for each distinct shingle of a text, and how many it has; written once."""
-    words = materialize(df.select(F.col(id_col).alias("id"), plain_words(text).alias("words")))
-    sets = words.select("id", shingle_set("words").alias("shingles"))
-    return materialize(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    """id, n, s: a row for each distinct shingle of a text, and how many it has. Nothing is written: joined with a
+    smaller side, rows are made and met in passing."""
+    return shingle_sets(df, id_col, text).select("id", "n", F.explode("shingles").alias("s"))
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, jaccard of all pairs that share a shingle, by an equi-join on (id, n, s)
-    rows; sizes travel with the rows, so nothing is joined twice. The right side is the smaller."""
+    rows; sizes travel with the rows, so nothing is joined twice. The right side is the smaller: it is written,
+    so that its true size decides whether it is sent to the left one's tasks or both are shuffled."""
     def rows(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "s")
 
-    shared = rows(left, "left").join(rows(right, "right"), "s").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count(F.lit(1)).alias("both"))
+    shared = rows(left, "left").join(rows(materialize(right), "right"), "s").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count(F.lit(1)).alias("both"))
     return shared.select("left_id", "right_id", half_up(F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both")), 4).alias("jaccard"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def _written(spark: SparkSession) -> list[str]:
-    sc = spark.sparkContext
-    if not hasattr(sc, "_marlstone_written"):
-        sc._marlstone_written = []
-    return sc._marlstone_written
+class Tables(list):
+    """Paths of tables that one query has written, within those of the query that it is part of."""
+
+    def __init__(self, outer: Tables | None):
+        super().__init__()
+        self.outer = outer
+
+
+#: Of the query that this thread is building; queries of other threads have their own.
+_tables: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -41,7 +47,9 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written(spark).append(path)
+    own = _tables.get()
+    if own is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,20 +65,25 @@ def release(df: DataFrame) -> None:
             _delete(df.sparkSession, parent)
 
 
-def mark(spark: SparkSession) -> int:
-    """How many tables ``materialize`` has written."""
-    return len(_written(spark))
+def mark(spark: SparkSession) -> Tables:
+    """Begin a list of the tables that ``materialize`` writes from now on in this thread."""
+    own = Tables(_tables.get())
+    _tables.set(own)
+    return own
 
 
-def sweep(result: DataFrame, since: int) -> DataFrame:
-    """Delete the tables written since a mark that ``result`` doesn't read; returns ``result``."""
+def sweep(result: DataFrame, since: Tables) -> DataFrame:
+    """End a list that ``mark`` began: delete its tables that ``result`` doesn't read, and leave the others to
+    the list around it; returns ``result``."""
     spark = result.sparkSession
     read = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
-    tables = _written(spark)
-    for path in tables[since:]:
+    for path in since:
         if path.rsplit("/", 1)[1] not in read:
             _delete(spark, path)
-            tables.remove(path)
+        elif since.outer is not None:
+            since.outer.append(path)
+    since.clear()
+    _tables.set(since.outer)
     return result
 
 

@@ -27,16 +27,24 @@ def deduplicated(events: DataFrame, key: str = "event_id", time: str = "ts", lat
 RESERVED = "day string, run string, asked bigint, granted boolean, left bigint"
 
 
-def reservations(requests: DataFrame, run_cap: int, day_cap: int) -> DataFrame:
+def reservations(requests: DataFrame, run_cap: int, day_cap: int, late: str | None = None) -> DataFrame:
     """day, run, asked, granted, left of requests (day, seq, run, asked, actual).
 
     A request reserves its upper bound if it is within the cap of a run and of
     what the day has left; one with ``actual`` settles the run instead, giving
     back (or taking) the difference, never below zero. The state of a day is its
     sum and the open runs' bounds, which settling removes.
+
+    With ``late`` days are dates (yyyy-MM-dd, UTC), and requests that long behind the newest day are dropped: a
+    day's state ends once the stream has passed it, so only so many days are held as ``late`` spans. Days that are no dates have
+    no end, and are dropped. Without ``late`` every day is kept.
     """
+    forget = late is not None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used, names, bounds = state.get if state.exists else (0, [], [])
         open_ = dict(zip(names, bounds))
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
@@ -53,6 +61,11 @@ def reservations(requests: DataFrame, run_cap: int, day_cap: int) -> DataFrame:
                 open_[run] = open_.get(run, 0) + asked
             out.append((key[0], run, asked, granted, day_cap - used))
         state.update((used, list(open_), list(open_.values())))
+        if forget:  # when no request of the day can come any more
+            state.setTimeoutTimestamp(max(int(rows["_at"].iloc[0].timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["day", "run", "asked", "granted", "left"])
 
-    return requests.groupBy("day").applyInPandasWithState(step, RESERVED, "used bigint, runs array<string>, bounds array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    if forget:
+        requests = requests.withColumn("_at", F.try_to_timestamp("day", F.lit("yyyy-MM-dd"))).filter("_at IS NOT NULL").withWatermark("_at", late)
+    timeout = GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return requests.groupBy("day").applyInPandasWithState(step, RESERVED, "used bigint, runs array<string>, bounds array<bigint>", "append", timeout)

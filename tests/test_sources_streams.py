@@ -126,3 +126,20 @@ def test_reservations_keep_the_caps_across_batches(spark, tmp_path):
         q.awaitTermination(120)
     got = {(r.day, r.run): (r.granted, r.left) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("d", "r1"): (True, 40), ("d", "r2"): (False, 40), ("d", "r3"): (False, 40), ("e", "x"): (True, 0), ("d", "r4"): (True, 10), ("d", "r5"): (False, 10)}
+
+
+def test_reservations_forget_days_that_have_passed(spark, tmp_path):
+    schema = "day string, seq long, run string, asked long, actual long"
+    days = [f"2024-01-{d:02d}" for d in range(1, 13)]
+    batches = [[(d, 2 * i, f"r{i}", 70, None), (d, 2 * i + 1, "again", 70, None)] for i, d in enumerate(days)]
+    batches.append([(days[-1], 90, "r11", None, 20), (days[-1], 91, "more", 80, None), (days[0], 92, "late", 1, None), ("someday", 93, "x", 1, None)])
+    held = []
+    for k, b in enumerate(batches):  # every batch is a restart from the checkpoint
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = ledgers.reservations(stream, 100, 100, "2 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        held.append(sum(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:]))
+    got = {(r.day, r.run): r.granted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(d, f"r{i}"): True for i, d in enumerate(days)} | {(d, "again"): False for d in days} | {(days[-1], "more"): True}
+    assert max(held) <= 4 and held[-1] >= 1

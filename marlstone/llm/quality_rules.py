@@ -10,9 +10,10 @@ rule at a host is shrunk towards all hosts by a beta prior, (failures + a) /
 (documents + a + b), fitted by moments: its mean is the rate over all rows, its
 variance what the hosts' rates vary by beyond the chance of their numbers of
 documents (if nothing, all hosts have the mean). A host's verdict on a soft
-rule is that it breaks it by habit where the shrunk rate reaches HOST_LIMIT;
-documents that break a soft rule which their host breaks by habit go, while a
-slip at a host that keeps the rule is let pass. Documents that break no rule
+rule is that it breaks it by habit where the shrunk rate is above that of all hosts by SURE standard deviations of
+its posterior, and HOST_LIMIT at least: hosts are told from one another, and where they don't differ none has a habit.
+Documents that break a soft rule which their host breaks by habit go, while a
+slip at a host that keeps the rule as others do is let pass. Documents that break no rule
 always stay.
 """
 
@@ -25,7 +26,7 @@ from ..runtime import materialize, read_table
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # base rules: words, per cent of repeated ones
 SOFT_SYMBOLS, SOFT_DUP_LINES, SOFT_REPEAT = 10, 30, 30  # per cent of words, of lines, of words
-HOST_LIMIT = 0.05
+HOST_LIMIT, SURE = 0.05, 2.0
 SOFT = ("symbols", "dup_lines", "half_repeats")
 BLANKS = "\t\n\x0b\x0c\r "
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -59,7 +60,9 @@ def with_counts(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     starts = F.sort_array(F.filter(F.transform("_g", lambda x, k: F.when(beside(x, k, -1) | beside(x, k, 1), x["i"]).otherwise(-1)), lambda i: i >= 0))
     t = t.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", starts.alias("_s"))
     steps = F.transform("_s", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_s", k + 1) - i, F.lit(3))))
-    return t.select(*keep, *[c for c in COUNTS if c != "n_repeat_words"], F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
+    counts = F.struct(*[c for c in COUNTS if c != "n_repeat_words"], F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
+    # a row of its own: conditions on the counts aren't put in place of them below it, where each would count again
+    return t.select(*keep, F.explode(F.array(counts)).alias("_c")).select(*keep, *[F.col(f"_c.{c}").alias(c) for c in COUNTS])
 
 
 def broken() -> dict[str, Column]:
@@ -75,7 +78,7 @@ def broken() -> dict[str, Column]:
 
 
 def host_verdicts(flags: DataFrame, host_col: str) -> DataFrame:
-    """host, n, and for each soft rule the shrunk failure rate (``rate_...``), a row per host.
+    """host, n, and for each soft rule the shrunk failure rate (``rate_...``) and whether the host breaks it by habit (``habit_...``), a row per host.
 
     Only sums over the hosts, one row, reach the driver.
     """
@@ -88,24 +91,26 @@ def host_verdicts(flags: DataFrame, host_col: str) -> DataFrame:
     rates = []
     for r in SOFT:
         weight = max(mean[r] * (1 - mean[r]) / beyond[r] - 1, 1.0) if (beyond[r] or 0) > 0 else 1e6
-        rates.append(((F.col(r) + F.lit(mean[r] * weight)) / (F.col("n") + F.lit(weight))).alias(f"rate_{r}"))
+        rate = (F.col(r) + F.lit(mean[r] * weight)) / (F.col("n") + F.lit(weight))
+        spread = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(weight) + 1))
+        rates += [rate.alias(f"rate_{r}"), ((rate - SURE * spread > mean[r]) & (rate >= HOST_LIMIT)).alias(f"habit_{r}")]
     return hosts.select("host", "n", *rates)
 
 
 def verdict() -> tuple[Column, Column]:
-    """base_failed and kept, from counts and the host's rates."""
+    """base_failed and kept, from counts and the host's habits."""
     rules = broken()
     base = rules["short"] | rules["repeats"]
     habit = F.lit(False)
     for r in SOFT:
-        habit = habit | (rules[r] & F.coalesce(F.col(f"rate_{r}") >= HOST_LIMIT, F.lit(False)))
+        habit = habit | (rules[r] & F.coalesce(F.col(f"habit_{r}"), F.lit(False)))
     return base, ~base & ~habit
 
 
 def _with_hosts(counted: DataFrame, host: str) -> DataFrame:
     """``counted`` with its hosts' rates; a few hosts are broadcast by their known size, many
     are shuffled, where adaptive execution splits a hot host."""
-    hosts = host_verdicts(counted, host).select(F.col("host").alias("_host"), *[f"rate_{r}" for r in SOFT])
+    hosts = host_verdicts(counted, host).select(F.col("host").alias("_host"), *[f"{x}_{r}" for r in SOFT for x in ("rate", "habit")])
     return counted.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
 
 

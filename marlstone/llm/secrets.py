@@ -6,18 +6,19 @@ table gives an empty result; other columns of the input are not read.
 
 Candidates are the maximal runs of A-Za-z0-9+/_- (with = at the end) of MIN_LENGTH characters or
 more that no base span touches. For each, the narrowest encoding that holds
-all its characters is inferred (decimal digits are nobody's encoding), and
+all its characters is inferred (decimal digits are nobody's encoding: numbers are no secrets), and
 three tests ask whether it is a random string of that encoding: chi-squared
 for uniform use of the alphabet, in cells that language uses unevenly; a runs
 test about the alphabet's middle; and the serial correlation of neighbours. The
 greatest of the three scores is held against those of TRIALS seeded random
 strings of the same encoding and length, so p-values of random strings are
-even at every length (from LONGEST on the scores' distribution has settled, and
-that length's is used).
+even at every length (beyond EXACT characters, of the least length of their class, a quarter octave; beyond
+BUDGET characters in all there are fewer such strings, and decoys, FEWEST at least). Letters of one case are an
+encoding of their own, a capital before small ones aside.
 
 Acceptance controls the share of false discoveries apart for each encoding and
 length class. How often a string that is not random reaches a p-value is known
-from DECOYS seeded names of its encoding and length (invented words in camel,
+from DECOYS seeded names of its encoding and length (invented words, run together and in camel,
 snake, kebab and path case, codes and counters), not from the candidates. If
 all candidates of a class were such names, those at or above a cut would number
 about the class's size times the decoys' share; the least cut is taken where
@@ -45,13 +46,14 @@ from ..runtime import materialize, read_table
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH, ALPHA, BINS = 16, 0.05, 50
-TRIALS, DECOYS, LONGEST = 2000, 20_000, 256
+TRIALS, DECOYS, EXACT = 2000, 20_000, 1024
+BUDGET, FEWEST, CHUNK = 50_000_000, 400, 1_000_000
 
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")  # whole runs
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}")
-# Alphabets, narrowest first.
+# Alphabets.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
@@ -61,11 +63,13 @@ ALPHABETS = (
     ("alnum62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
 )
 # The letters that most of a text is made of, and parts of invented words.
 COMMON = "aeinorst"
 ONSETS, VOWELS, CODAS = "b c d f g h l m n p r s t v w st tr ch pr th".split(), "a e i o u ea io ou".split(), ["", "", "", "n", "r", "s", "t", "l", "nd", "st"]
-INDEX = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in ALPHABETS]
+INDEX = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in sorted(ALPHABETS, key=lambda x: len(x[1]))]  # narrowest first
 
 
 def _cell(c: str) -> int:
@@ -99,11 +103,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def encoding_of(token: str) -> tuple[str, list[int]] | None:
-    """Name and character values of the narrowest encoding; None for tokens of one
-    character class only (digits, or letters of one case)."""
+    """Name and character values of the narrowest encoding; None for digits alone. A capital before small letters alone counts as small."""
     body = token.rstrip("=")
-    if body.isdigit() or not any(c.isdigit() for c in body) and (body.islower() or body.isupper() or body.istitle()):
+    if body.isdigit():
         return None
+    if body.isalpha() and body[1:].islower():
+        body = body.lower()
     chars = set(body)
     for name, index, alphabet in INDEX:
         if chars <= alphabet:
@@ -132,17 +137,25 @@ def scores(values: np.ndarray, encoding: str) -> np.ndarray:
     return np.maximum(np.maximum(top, runs), serial)
 
 
+def affordable(most: int, n: int) -> int:
+    """How many strings of length n are made where ``most`` are wanted."""
+    return max(min(most, FEWEST), min(most, BUDGET // max(n, 1)))
+
+
 @lru_cache(1 << 12)
 def random_scores(encoding: str, n: int) -> np.ndarray:
-    """Sorted scores of TRIALS random strings."""
+    """Sorted scores of TRIALS random strings, or as many as are affordable."""
     rng = np.random.default_rng([list(SIZES).index(encoding), n])
-    return np.sort(scores(rng.integers(0, SIZES[encoding], (TRIALS, n)), encoding))
+    trials, step = affordable(TRIALS, n), max(1, CHUNK // n)
+    parts = [scores(rng.integers(0, SIZES[encoding], (min(step, trials - a), n)), encoding) for a in range(0, trials, step)]
+    return np.sort(np.concatenate(parts))
 
 
 def p_values(values: np.ndarray, encoding: str) -> np.ndarray:
-    """Share of random strings of that length whose score is as high or higher."""
-    null = random_scores(encoding, min(values.shape[1], LONGEST))
-    return (1 + TRIALS - np.searchsorted(null, scores(values, encoding))) / (TRIALS + 1)
+    """Share of random strings of that length (or its class) whose score is as high or higher."""
+    n = values.shape[1]
+    null = random_scores(encoding, n if n <= EXACT else shortest(length_class(n)))
+    return (1 + len(null) - np.searchsorted(null, scores(values, encoding))) / (len(null) + 1)
 
 
 @lru_cache(1)
@@ -156,6 +169,8 @@ def _names() -> dict[str, str]:
     camel = lambda: (w := word()) and rng.choice((w, w.capitalize(), w.capitalize(), w.capitalize(), w.upper())) + some(2, 0.1)
     makers = {
         "hex": lambda: counter("abcdef"),
+        "lower": word,
+        "UPPER": lambda: word().upper(),
         "HEX": lambda: counter("ABCDEF"),
         "base32": lambda: word().upper() + "".join(c for c in some(2, 0.3) if c in "234567"),
         "alnum36": lambda: word() + some(4, 0.3),
@@ -174,11 +189,12 @@ def decoy_shares(encoding: str, n: int) -> np.ndarray:
     code = np.zeros(128, np.int64)
     code[[ord(c) for c in alphabet]] = range(len(alphabet))
     stream = code[np.frombuffer(_names()[encoding].encode(), np.uint8)]
-    n = min(n, LONGEST)
-    at = np.random.default_rng(n).integers(0, len(stream) - n, DECOYS)
-    p = np.concatenate([p_values(stream[at[a : a + 2000, None] + np.arange(n)], encoding) for a in range(0, DECOYS, 2000)])
+    decoys, step = affordable(DECOYS, n), max(1, CHUNK // n)
+    at = np.random.default_rng(n).integers(0, len(stream), decoys)
+    part = lambda some: stream[(some[:, None] + np.arange(n)) % len(stream)]
+    p = np.concatenate([p_values(part(at[a : a + step]), encoding) for a in range(0, decoys, step)])
     bins = np.minimum((p * BINS).astype(int), BINS - 1)
-    return (1 + np.cumsum(np.bincount(bins, minlength=BINS)[::-1])[::-1]) / (DECOYS + 1)
+    return (1 + np.cumsum(np.bincount(bins, minlength=BINS)[::-1])[::-1]) / (decoys + 1)
 
 
 def length_class(n: int) -> int:
@@ -239,15 +255,22 @@ def cut_of(counts: list[int], encoding: str, cls: int, alpha: float = ALPHA) ->
 def cuts(scanned: DataFrame, alpha: float = ALPHA) -> list[tuple[str, int]]:
     """Class and least accepted p-value bin of each class that has one.
 
-    The driver reads the counts, at most a few thousand rows (encodings x length classes x BINS).
+    A class's counts, at most BINS, meet its decoys in a task; the driver reads a row for each class.
     """
     c = scanned.select(F.explode("found").alias("f")).select("f.cls", F.least(F.floor(F.col("f.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    counts: dict[tuple[str, int], list[int]] = {}
-    for cls, b, n in c.groupBy("cls", "bin").count().collect():
-        encoding, length = cls.split(":")
-        counts.setdefault((encoding, int(length)), [0] * BINS)[b] = n
-    found = [(f"{e}:{k}", cut_of(n, e, k, alpha)) for (e, k), n in sorted(counts.items())]
-    return [(cls, cut) for cls, cut in found if cut is not None]
+    counts = c.groupBy("cls", "bin").count().groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("n"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for cls, n in zip(*(col.to_pylist() for col in batch.columns)):
+                encoding, length = cls.split(":")
+                n = dict(n)
+                found.append((cls, cut_of([n.get(b, 0) for b in range(BINS)], encoding, int(length), alpha)))
+            found = [(cls, cut) for cls, cut in found if cut is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["cls", "cut"])
+
+    return sorted((r["cls"], r["cut"]) for r in counts.mapInArrow(judge, "cls string, cut int").collect())
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:

@@ -18,10 +18,10 @@ the smaller probes the larger. Candidates are verified on the whole
 fingerprint. Within a key's group no pairs are listed: a spanning forest of
 its links is enough for components, and is what a group emits. A group of more
 than HOT fingerprints is dealt again by the pigeonhole on the bits that its key
-leaves open (DISTANCE + 1 exact parts, two linked fingerprints agree on one), up
-to ROUNDS times, so that no task compares many that are unlike; what is alike
-is compared in one sweep, and no more than the some 10^6 fingerprints of a ball
-of that distance can be.
+leaves open (DISTANCE + 1 exact parts, two linked fingerprints agree on one), up to ROUNDS times, so that what is
+unlike parts. A group that still is larger, as of a dense ball of fingerprints, is cut into blocks of some HOT, and
+every two blocks meet in a group of their own: no group has more than some 2 HOT, whatever its key had, and
+its work, quadratic at worst, is spread over as many tasks as there are pairs of blocks.
 
 Null and empty texts have fingerprint zero, linked like any other. Null ids
 get a component like others (the smallest id that is not null in it). Repeated
@@ -48,7 +48,7 @@ FEW = 8  # up to so many members, a group is compared pair by pair
 PARTS = (2, 3, 4, 5)
 PROBE_COST = 100.0  # of a probe, in verifications: written, shuffled and sorted it takes some 6 us, an XOR with its popcount 0.06
 MOST_PROBES = 200  # of one fingerprint
-HOT, ROUNDS = 4096, 3  # members from which a group is dealt again; how often
+HOT, ROUNDS = 4096, 3  # members from which a group is dealt again; how often, before it is cut into blocks
 
 
 def hashes(text: str, k: int = SHINGLE) -> list[int]:
@@ -254,17 +254,24 @@ def dealt_again(rows: DataFrame, distance: int) -> DataFrame:
     return rows.mapInArrow(scan, "key bigint, used bigint, fp bigint")
 
 
+def in_blocks(rows: DataFrame, large: DataFrame, hot: int) -> DataFrame:
+    """The rows of large groups (key, n), each under every pair of its block with another."""
+    d = rows.join(large, "key").withColumn("ways", F.ceil(F.col("n") / hot).cast("int"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).filter("own <> other")
+    return d.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "used", "fp")
+
+
 def cooled(rows: DataFrame, distance: int, hot: int | None = None) -> DataFrame:
-    """The rows, with those of hot groups dealt again."""
-    done = None
-    for _ in range(ROUNDS):
+    """The rows, with those of hot groups dealt again, and in blocks at last."""
+    done, hot = None, hot or HOT
+    for k in range(ROUNDS + 1):
         rows = materialize(rows)
-        large = materialize(rows.groupBy("key").count().filter(F.col("count") > (hot or HOT)).select("key"))
+        large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
         if large.isEmpty():
             break
         cold = rows.join(large, "key", "left_anti")
         done = cold if done is None else done.unionByName(cold)
-        rows = dealt_again(rows.join(large, "key", "left_semi"), distance)
+        rows = dealt_again(rows.join(large, "key", "left_semi"), distance) if k < ROUNDS else in_blocks(rows, large, hot)
     return rows if done is None else done.unionByName(rows)
 
 

@@ -34,7 +34,8 @@ h AS (
 m AS (SELECT rule, sum(k) / sum(n) AS mean FROM h GROUP BY rule),
 b AS (SELECT rule, avg((k / n - mean) * (k / n - mean) - k / n * (1 - k / n) / (n - 1)) AS beyond FROM h JOIN m USING (rule) WHERE n > 1 GROUP BY rule),
 p AS (SELECT rule, mean, CASE WHEN beyond > 0 THEN greatest(mean * (1 - mean) / beyond - 1, 1.0) ELSE 1e6 END AS weight FROM m LEFT JOIN b USING (rule)),
-v AS (SELECT source, rule, (k + mean * weight) / (n + weight) >= 0.05::DOUBLE AS habit FROM h JOIN p USING (rule)),
+q AS (SELECT source, rule, n, mean, weight, (k + mean * weight) / (n + weight) AS rate FROM h JOIN p USING (rule)),
+v AS (SELECT source, rule, rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) > mean AND rate >= 0.05::DOUBLE AS habit FROM q),
 w3 AS (SELECT source, bool_or(habit AND rule = 'symbols') AS s, bool_or(habit AND rule = 'dup_lines') AS d, bool_or(habit AND rule = 'half_repeats') AS hr FROM v GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
        NOT (short OR repeats) AND NOT (symbols AND s OR dup_lines AND d OR half_repeats AND hr) AS kept
@@ -100,7 +101,10 @@ FROM kept JOIN codes USING (rid), digest
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (
-  SELECT doc_id, t, regexp_extract_all(t, '[ 	-]*[^ 	-]+|[ 	-]+') AS k,
+  SELECT doc_id, t, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS k,
          list_transform(range(4), lambda i: CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT)) AS r
   FROM d
 ),

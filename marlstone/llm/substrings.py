@@ -5,10 +5,10 @@ ends. Prose without stops has no sentences to slide over: what runs on for more
 than LONG words is cut after those words whose hash is divisible by EVERY, and
 where LONG words in a row have none, after the last of the least hash among
 them, so that a passage has the same pieces wherever it is put. Spans are the
-shortest runs of at least SENTENCES pieces with at least WORDS words that start
+shortest runs of SEVERAL pieces, or of SENTENCES with at least WORDS words, that start
 at each piece, and those that end at each (none, if the text ends or starts
 before), so that a repeated passage is covered to its last piece; any longer
-run is made of these. Spans are equal if the 128-bit hashes of their words are
+run is made of these, so every run of SEVERAL sentences counts, however short they are. Spans are equal if the 128-bit hashes of their words are
 (of 10^14 spans, two that differ meet with a chance below 10^-10); the span
 that comes first by (id, text's hash, place) stays, and the pieces covered by
 any other are removed.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table, release
 
-SENTENCES, WORDS, LONG, EVERY = 2, 20, 40, 10
+SEVERAL, SENTENCES, WORDS, LONG, EVERY = 4, 2, 20, 40, 10
 BITS = 40
 START = (1 << BITS) - 1
 BREAK = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
@@ -83,12 +83,17 @@ def pieces(text: str) -> list[Piece]:
     return out
 
 
+def enough(pieces_: int, words: int) -> bool:
+    """Do so many pieces and words make a span? What holds one that does, does too."""
+    return pieces_ >= SEVERAL or (pieces_ >= SENTENCES and words >= WORDS)
+
+
 def span_end(parts: list[Piece], i: int) -> int:
     """End (exclusive) of the span from piece i; 0 if there is none."""
     words = 0
     for j in range(i, len(parts)):
         words += parts[j][2]
-        if words >= WORDS and j - i + 1 >= SENTENCES:
+        if enough(j - i + 1, words):
             return j + 1
     return 0
 
@@ -104,7 +109,7 @@ def runs(parts: list[Piece]) -> list[tuple[int, int]]:
     out, end = [], 0
     for i in range(n):
         end = max(end, i + SENTENCES)
-        while end <= n and sums[end] - sums[i] < WORDS:
+        while end <= n and not enough(end - i, sums[end] - sums[i]):
             end += 1
         if out:
             last, first = out[-1]

@@ -5,7 +5,8 @@ fits wins. All other URLs are judged by multinomial naive Bayes over tokens of
 host and path, learned from the URLs that rules decide. Host labels are often
 words run together, so each distinct label is split by a unigram Viterbi over
 words counted in all pages' HTML; only substrings that labels really have
-are joined with the counts, so no lexicon is sent around.
+are joined with the counts, so no lexicon is sent around. Words and labels may be of any length: words of over KEY
+letters are met by their first KEY, and compared.
 
 Null URLs and those without :// have empty host and path and are judged like
 others (by the prior alone). Repeated rows count, and are returned, as often
@@ -26,7 +27,7 @@ from ..runtime import materialize, read_table
 
 # Host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-LABEL, SMOOTHING = 63, 1.0  # a label of a host name has at most 63 characters, so no longer word can be in one
+KEY, SMOOTHING = 63, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,14 +50,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """word, n over all pages."""
     words = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(html_col), F.lit(""))), F.lit("([a-z0-9]+)"), 1)).alias("word")
-    return pages.select(words).filter(F.length("word") <= LABEL).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(label: str, cost: dict[str, float], unknown: float) -> list[str]:
-    """Least-cost split; unknown words cost more for every letter."""
+    """Least-cost split; unknown words cost more for every letter, and always more than known ones. At a tie the
+    last word is the longest."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    sizes = sorted({len(w) for w in cost}, reverse=True)
+    cheap = 0  # the start from which an unknown word costs least, wherever it ends
     for j in range(1, len(label) + 1):
-        best.append(min((best[i][0] + cost.get(label[i:j], unknown + 3.0 * (j - i)), i) for i in range(max(0, j - LABEL), j)))
+        if best[j - 1][0] - 3.0 * (j - 1) < best[cheap][0] - 3.0 * cheap:
+            cheap = j - 1
+        ways = [(best[cheap][0] + unknown + 3.0 * (j - cheap), cheap)]
+        ways += [(best[j - k][0] + cost[label[j - k : j]], j - k) for k in sizes if k <= j and label[j - k : j] in cost]
+        best.append(min(ways))
     out, j = [], len(label)
     while j:
         i = best[j][1]
@@ -69,9 +77,14 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """label, words for each distinct label."""
     total = counts.agg(F.sum("n")).first()[0] or 1
     place = F.explode(F.sequence(F.lit(1), F.length("label"))).alias("i")
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(LABEL), F.length("label") - F.col("i") + 1))).alias("k")
-    subs = labels.filter(F.length("label") > 0).select("label", place).select("label", "i", size).select("label", F.expr("substring(label, i, k)").alias("word")).distinct()
-    known = subs.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("label") - F.col("i") + 1))).alias("k")
+    places = labels.filter(F.length("label") > 0).select("label", place)
+    subs = places.select("label", "i", size).select("label", F.expr("substring(label, i, k)").alias("word")).distinct()
+    met = subs.join(counts, "word").select("label", "word", "n")
+    heads = places.filter(F.length("label") - F.col("i") >= KEY).select("label", "i", F.expr(f"substring(label, i, {KEY})").alias("head"))
+    long_words = counts.filter(F.length("word") > KEY).withColumn("head", F.substring("word", 1, KEY))
+    met = met.unionByName(heads.join(long_words, "head").filter("substring(label, i, length(word)) = word").select("label", "word", "n").distinct())
+    known = met.groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unknown = math.log(total) + 1
 
     def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

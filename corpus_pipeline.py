@@ -14,11 +14,15 @@ pass through all stages but the last. An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import packing, pii, quality_rules, simhash, substrings
-from marlstone.runtime import mark, read_table, shared_dir, sweep
+from marlstone.runtime import Tables, mark, read_table, release, shared_dir, sweep
+
+#: Tables that the last stage of this thread wrote for itself.
+_stage: ContextVar[Tables | None] = ContextVar("stage", default=None)
 
 
 def _staged(work, docs: DataFrame) -> DataFrame:
@@ -26,9 +30,9 @@ def _staged(work, docs: DataFrame) -> DataFrame:
 
     Their rows are written and read again as ``docs`` by now; a table that ``docs`` still reads stays.
     """
-    sc = docs.sparkSession.sparkContext
-    sweep(docs, getattr(sc, "_marlstone_stage", mark(docs.sparkSession)))
-    sc._marlstone_stage = mark(docs.sparkSession)
+    if (last := _stage.get()) is not None:
+        sweep(docs, last)
+    _stage.set(mark(docs.sparkSession))
     return work(docs)
 
 
@@ -71,12 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
+    """All stages over documents; each stage's rows are written and read again, and deleted when the next one's are written."""
     docs = read_table(spark, sf_dir, "documents")
-    spark.sparkContext._marlstone_stage = mark(spark)
     folder = f"{shared_dir(spark)}/marlstone-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            release(docs)
         docs = spark.read.parquet(path)
+    sweep(docs, _stage.get())
+    _stage.set(None)
     return docs

@@ -8,8 +8,7 @@ lengths are in code points. Relations between nested elements (a decorative
 ancestor, a table's own header cells) are not seen.
 
 Null pages count as empty ones; a page without an absolute URL skips the checks
-that need it. Rows that repeat a page id with another URL or text are pages of
-their own.
+that need it. Every row is a page of its own, also one that repeats another.
 """
 
 from __future__ import annotations
@@ -270,11 +269,12 @@ def tags(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """A row for each tag (its name in ``tag``) and each title, heading and link with its text (in ``x``); one
     row with empty names for a page without any, or more."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    raw = pages.select(F.col(id_col).alias("page"), url.alias("url"), html.alias("html"), F.regexp_replace(html, "(?s)<!--.*?-->", "").alias("shown"))
+    raw = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page"), url.alias("url"), html.alias("html"), F.regexp_replace(html, "(?s)<!--.*?-->", "").alias("shown"))
     cut = F.regexp_replace("shown", r"(?is)(<style\b[^>]*>).*?</style", "$1</style")
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract("url", r"^[^?#]*\?([^#]*)", 1)
     page = raw.select(
+        "row",
         "page",
         "url",
         F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)), F.lit("")).alias("host"),
@@ -291,7 +291,7 @@ def tags(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         F.struct(F.lit(True).alias("head"), F.when(body > 0, F.substring(F.col("bare"), F.lit(1), body - 1)).otherwise("").alias("part")),
         F.struct(F.lit(False).alias("head"), F.when(body > 0, F.substring(F.col("bare"), body, F.length("bare"))).otherwise(F.col("bare")).alias("part")),
     )
-    keys = ["page", "url", "host", "path", "params", "doctype", "plugins", "kilo", "css_chars"]
+    keys = ["row", "page", "url", "host", "path", "params", "doctype", "plugins", "kilo", "css_chars"]
     half = page.select(*keys, F.explode(halves).alias("h")).select(*keys, "h.head", "h.part")
     found = [F.regexp_extract_all("part", F.lit(r"(<[A-Za-z][^>]*>)"), 1)] + [F.regexp_extract_all("part", F.lit(t), 1) for t in TEXTS]
     marked = lambda f, whole: F.transform(f, lambda s: F.struct(F.lit(whole).alias("whole"), s.alias("s")))
@@ -317,7 +317,7 @@ def tags(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
 def signals(pages: DataFrame) -> DataFrame:
     """One row for each page with all that the rules name."""
-    keys = ["page", "url", "host", "path", "params", "doctype", "plugins", "kilo", "css_chars"]
+    keys = ["row", "page", "url", "host", "path", "params", "doctype", "plugins", "kilo", "css_chars"]
     aggregates = [F.count_if(F.expr(c)).alias(n) for n, c in COUNTS.items()]
     aggregates += [F.coalesce(F.min_by(F.when(F.expr(c), F.expr(v)), F.when(F.expr(c), F.col("k"))), F.lit("")).alias(n) for n, (v, c) in FIRSTS.items()]
     aggregates += [F.min(F.when(F.expr(c), F.col(v))).alias(n) for n, (v, c) in _LEAST.items()] + [F.max(F.when(F.expr(c), F.col(v))).alias(n) for n, (v, c) in _MOST.items()]
@@ -368,15 +368,15 @@ def _sql() -> str:
     inside = "regexp_replace(s, '<[^>]*>', ' ', 'g')"
     for entity, char in ENTITIES:
         inside = f"replace({inside}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    keys = "page, url, host, path, params, doctype, plugins, kilo, css_chars"
+    keys = "rid, page, url, host, path, params, doctype, plugins, kilo, css_chars"
     first = [f"coalesce(min_by(CASE WHEN {c} THEN {v} END, CASE WHEN {c} THEN k END), '') AS {n}" for n, (v, c) in FIRSTS.items()]
     ends = [f"min(CASE WHEN {c} THEN {v} END) AS {n}" for n, (v, c) in _LEAST.items()] + [f"max(CASE WHEN {c} THEN {v} END) AS {n}" for n, (v, c) in _MOST.items()]
     aggregates = ", ".join([f"count(CASE WHEN {c} THEN 1 END) AS {n}" for n, c in COUNTS.items()] + first + ends)
     rules = ", ".join(f"{{'id': '{i}', 'category': '{c}', 'o': {case(w)}}}" for i, c, w in RULES)
     known = " ".join(f"WHEN '{o}' THEN {{'status': '{s}', 'severity': '{v}'}}" for o, (s, v) in OUTCOMES.items())
-    return f"""shown AS (SELECT page_id AS page, url, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS shown FROM pages),
+    return f"""shown AS (SELECT row_number() OVER () AS rid, page_id AS page, url, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS shown FROM pages),
       cut AS (SELECT *, regexp_replace(shown, '(?is)(<style\\b[^>]*>).*?</style', '\\1</style', 'g') AS cut FROM shown),
-      bare AS (SELECT page, url, coalesce(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '') AS path,
+      bare AS (SELECT rid, page, url, coalesce(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '') AS path,
         coalesce(len(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '')), 0) AS params, starts_with(lower(ltrim(html)), '<!doctype') AS doctype, regexp_matches(html, '(?i){PLUGINS}') AS plugins,
         floor(length(html) / 1024 + 0.5) AS kilo, length(shown) - length(cut) AS css_chars, regexp_replace(cut, '(?is)(<script\\b[^>]*>).*?</script', '\\1</script', 'g') AS bare FROM cut),
       half AS (SELECT *, true AS head, CASE WHEN strpos(lower(bare), '<body') > 0 THEN substr(bare, 1, strpos(lower(bare), '<body') - 1) ELSE '' END AS part FROM bare

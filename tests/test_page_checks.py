@@ -37,3 +37,5 @@ def test_no_pages_and_repeated_pages(spark):
     assert found(spark, []) == {}
     pages = spark.createDataFrame([(1, "https://a.example/", "<p>x"), (1, "https://a.example/b", "<p>y")], "page_id long, url string, html string").withColumn("tag", page_checks.F.lit(0))
     assert page_checks.signals(pages).count() == 2
+    twice = spark.createDataFrame([(7, "https://a.example/", "<h1>One heading</h1>")] * 2, "page_id long, url string, html string")
+    assert [(r.h1s, r.links) for r in page_checks.signals(twice).collect()] == [(1, 0)] * 2  # a row given twice is two pages

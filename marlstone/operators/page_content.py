@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import read_table
+from ..functions.settled import settled, spread
 from .page_checks import OUTCOMES, PROMOTION, case
 from .page_trees import inside, text_of, trees, with_entities
 
@@ -183,7 +183,7 @@ def of_type(*types: str) -> Column:
 def grown(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Pages as trees, with the lists of elements, texts and entities that the signals share."""
     source = pages.select(F.col(id_col).alias("page"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    d = with_entities(trees(source))
+    d = settled(with_entities(trees(spread(source))))
     style = lambda n: F.lower(F.regexp_replace(attr(n, "style"), r"\s", ""))
     hides = lambda n: F.contains(style(n), F.lit("display:none")) | F.contains(style(n), F.lit("visibility:hidden"))
     d = d.select(
@@ -203,10 +203,11 @@ def grown(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
         F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]*)", 1).alias("host"),
         F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"),
     )
+    d = settled(d)
     h1 = F.trim(says(first(F.filter("heads", lambda n: n["tag"] == "h1"))))
     local = of_type(*LOCAL)
     scope = F.coalesce(first(tagged("main")), first(every(lambda n: attr(n, "role") == "main")), F.col("body"))
-    return d.select(
+    return settled(d.select(
         "*",
         says(F.col("body")).alias("raw"),
         flat(says(F.col("body"))).alias("said"),
@@ -219,7 +220,7 @@ def grown(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
         F.filter(F.coalesce(first(local)["types"], F.array()), lambda t: t.isin(*LOCAL)).alias("lb_types"),
         F.array_distinct(F.flatten(F.transform("things", lambda e: e["types"]))).alias("types"),
         F.coalesce(F.try_variant_get(first(F.filter("things", lambda e: F.arrays_overlap(e["types"], F.array(F.lit("Organization"), *[F.lit(t) for t in LOCAL]))))["v"], "$.name", "string"), F.lit("")).alias("brand"),
-    )
+    ))
 
 
 def typed(d: DataFrame) -> DataFrame:
@@ -235,6 +236,7 @@ def typed(d: DataFrame) -> DataFrame:
         F.exists("frames", lambda n: attr(n, "src").rlike(r"google\.com/maps|maps\.google")).alias("mapped"),
         F.exists("entities", lambda e: F.lower(e["json"]).contains("postaladdress")).alias("postal"),
     )
+    d = settled(d)
     overlap = lambda types: F.arrays_overlap("types", F.array(*[F.lit(t) for t in types]))
     built = (F.size(tagged("article")) > 0) & F.exists(NODES, lambda n: (attr(n, "rel") == "author") | classed(n, "byline", "author")) & F.exists(NODES, lambda n: (n["tag"] == "time") & given(n, "datetime"))
     ranked = [
@@ -257,8 +259,8 @@ def signals(pages: DataFrame, as_of: str, id_col: str = "page_id", url_col: str
     containers = F.filter(F.array(first(tagged("main")), first(tagged("article")), first(every(lambda n: classed(n, "content"))), first(every(lambda n: classed(n, "body"))), F.col("body")), lambda n: n.isNotNull())
     chrome = every(lambda n: classed(n, *NOT_OPENING) | n["tag"].isin("header", "nav", "aside", "footer"))
     openings = F.filter("paras", lambda p: ~F.exists("chrome", lambda m: (m["k"] == p["k"]) | inside(p, m)) & (F.size(words(says(p))) >= 20))
-    d = d.select("*", containers.alias("containers"), chrome.alias("chrome"))
-    d = d.select("*", openings.alias("openings"))
+    d = settled(d.select("*", containers.alias("containers"), chrome.alias("chrome")))
+    d = settled(d.select("*", openings.alias("openings")))
     opening = first(F.flatten(F.transform("containers", lambda c: F.slice(F.filter("openings", lambda p: inside(p, c)), 1, 1))))
     team = every(lambda n: classed(n, "team", "staff", "doctor", "provider"))
     area = first(every(lambda n: n["tag"].isin("main", "article") | classed(n, "content", "post-body")))
@@ -272,6 +274,7 @@ def signals(pages: DataFrame, as_of: str, id_col: str = "page_id", url_col: str
         F.size(words(F.col("said"))).alias("wc"),
         F.split("said", r"(?<=[.!?])\s+").alias("sentences"),
     )
+    d = settled(d)
     byline = F.regexp_extract(says(F.col("area")), r"(?i)\b(by|written by|author:)\s+([A-Z][a-z]+ [A-Z][a-z]+)", 2)
     own_team = F.concat_ws("", F.transform(F.filter("team", lambda n: inside(n, F.col("area"))), says))
     d = d.select("*", F.when((F.col("structural") != "") & ~F.lower("structural").isin(*NOBODY), F.col("structural")).when((byline != "") & ~F.contains(own_team, byline), byline).otherwise("").alias("author"))
@@ -308,8 +311,8 @@ def signals(pages: DataFrame, as_of: str, id_col: str = "page_id", url_col: str
     host_of = lambda u: F.regexp_extract(u, r"^https?://([^/?#:]*)", 1)
     elsewhere = F.array_distinct(F.filter(F.transform(NODES, lambda n: host_of(F.when(F.startswith(src(n), F.lit("http")), src(n)).otherwise(href(n)))), lambda h: h != ""))
     video = F.exists("frames", lambda n: src(n).rlike(r"youtube\.com|vimeo\.com"))
-    d = d.withColumn("plain_boxes", every(lambda n: attr(n, "role") == "presentation"))
-    d = typed(d).select("*", same_as.alias("same_as"), modified.alias("modified"))
+    d = settled(d.withColumn("plain_boxes", every(lambda n: attr(n, "role") == "presentation")))
+    d = settled(typed(d).select("*", same_as.alias("same_as"), modified.alias("modified")))
     d = d.select(
         "page",
         "url",
@@ -429,6 +432,7 @@ def signals(pages: DataFrame, as_of: str, id_col: str = "page_id", url_col: str
         F.exists(NODES, lambda n: (n["tag"] == "link") & (attr(n, "rel") == "preload") & (attr(n, "as") == "image")).alias("image_preload"),
         F.aggregate(F.filter(F.regexp_extract_all("html", F.lit(r"(?is)(<script\b[^>]*>.*?)</script\s*>"), 1), lambda x: ~x.rlike(r"(?is)^<script[^>]*\s(src\s*=|type\s*=\s*[\"']?application/ld)")), F.lit(0), lambda acc, x: acc + F.length(x) - F.instr(x, ">")).alias("script_chars"),
     )
+    d = settled(d)
     return d.fillna(False, subset=[f.name for f in d.schema if f.dataType.simpleString() == "boolean"])
 
 

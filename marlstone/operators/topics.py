@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..functions.settled import spread
 from ..runtime import materialize, read_table, release
 from .text import TF_SQL, TITLE, _title, plain_words, shingle_set, term_counts, tf_idf
 
@@ -33,7 +34,7 @@ def best_siblings(texts: DataFrame, id_col: str, group_col: str, text: Column, k
     t or more; only the rest goes on, so frequent runs are joined for few texts, and no pairs are listed but candidates.
     """
     group = F.to_json(F.struct(F.col(group_col).alias("g"))).alias("g")  # text, also for null
-    words = materialize(texts.select(F.col(id_col).alias("id"), group, plain_words(text).alias("w")))
+    words = materialize(spread(texts.select(F.col(id_col).alias("id"), group, text.alias("t"))).select("id", "g", plain_words(F.col("t")).alias("w")))
     sets = words.select("id", "g", F.array_sort(shingle_set("w", k)).alias("s"))
     named = materialize(sets.withColumn("class", F.sha2(F.concat("g", F.lit(" "), F.array_join(F.transform("s", lambda x: x.cast("string")), ",")), 256)))
     release(words)

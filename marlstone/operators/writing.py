@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.settled import settled, spread
 from ..runtime import read_table
 
 # Words that no keyword needs, questions that have the same answer everywhere and those that don't, asks that close a text.
@@ -83,7 +84,7 @@ def uses(words: str, sets: str, window: int = WINDOW) -> Column:
 
 def close_variants(rows: DataFrame, text: str, phrases: str) -> DataFrame:
     """The rows with matched (the first phrase that the text has), counts (uses of each phrase) and total."""
-    d = rows.withColumn("_words", stems(F.col(text))).withColumn("_sets", F.transform(phrases, needed))
+    d = settled(rows.withColumn("_words", stems(F.col(text))).withColumn("_sets", F.transform(phrases, needed)))
     d = d.withColumn("matched", first_match(F.col(text), F.col(phrases))).withColumn("counts", uses("_words", "_sets"))
     return d.withColumn("total", F.aggregate("counts", F.lit(0), lambda a, c: a + c)).drop("_words", "_sets")
 
@@ -171,6 +172,7 @@ def guards(pairs: DataFrame, original: str, edited: str) -> DataFrame:
     d = d.withColumn("_units", F.filter(units(o), lambda u: letters(u) >= LEAST_UNIT)).withColumn("_said", F.filter(_prose(unmarked(e)), lambda u: letters(u) >= LEAST_SENTENCE))
     d = d.withColumn("_others", sentences(F.regexp_replace(unmarked(e), r"\s+", " ")))
     d = d.withColumn("_new", F.filter(F.regexp_extract_all(e, F.lit(r"(?s)\[NEW\](.*?)\[/NEW\]"), 1), lambda b: ~F.contains(bare(b), F.lit("\n")) & ~bare(b).rlike(r"^(#{1,6}\s|\d+[.)]|[-*|])")))
+    d = settled(d)
     d = d.withColumn("_again", F.filter("_new", lambda b: restates(bare(b), F.col("_others"))))
     plain = F.filter(F.split(o, "\n"), lambda t: ~bare(t).rlike(r"^#{1,6}\s"))
     long_words = lambda t: F.filter(tokens(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]*\]\([^)]*\)", " "), "[^A-Za-z ]", " ")), lambda w: F.length(w) > 2)
@@ -274,11 +276,12 @@ def parsed(rows: DataFrame, text: str) -> DataFrame:
     kind = lambda t: (
         F.when(t == "", "blank").when(t.rlike(r"^#{1,6}\s+"), "heading").when(t.rlike(r"^\|.*\|$"), "table").when(t.rlike(r"^([-*]\s+|\d+[.)]\s+)"), "item").when(F.startswith(t, F.lit(">")), "quote").when(t.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "rule").otherwise("prose")
     )
-    d = d.withColumn("kinds", F.transform("lines", lambda t: kind(bare(t))))
+    d = settled(settled(d).withColumn("kinds", F.transform("lines", lambda t: kind(bare(t)))))
     head = F.transform("lines", lambda t, i: F.struct(F.length(F.regexp_extract(bare(t), "^(#{1,6})", 1)).alias("level"), F.trim(F.regexp_replace(bare(t), r"^#{1,6}\s+", "")).alias("text"), i.alias("at")))
     prose = F.array_join(F.transform("lines", lambda t, i: F.when(F.get("kinds", i) == "prose", bare(t)).otherwise(CUT)), " ")
     d = d.withColumn("headings", F.filter(head, lambda h: F.get("kinds", h["at"]) == "heading")).withColumn("paragraphs", F.filter(F.transform(F.split(prose, CUT), bare), lambda p: p != ""))
     ends = F.regexp_replace(F.array_join("paragraphs", " "), r"([.!?])\s+([A-Z\"“(])", f"$1{CUT}$2")
+    d = settled(d)
     return d.withColumn("sayings", F.filter(F.transform(F.split(ends, CUT), bare), lambda s: F.length(s) > 1))
 
 
@@ -287,7 +290,7 @@ DIMENSIONS = ("answer", "evidence", "scannable", "structure", "faq", "readabilit
 
 def content_scores(rows: DataFrame, text: str) -> DataFrame:
     """The rows with n_words, points of the six dimensions, their total (of 100) and grade. An empty text has what no dimension asks for: 6 points for an early opening are none without one."""
-    d = parsed(rows, text)
+    d = settled(parsed(rows, text))
     count = lambda c: F.size(tokens(c))
     d = d.withColumn("n_words", F.size(tokens(F.array_join("paragraphs", " "))))
     per1k = lambda n: n * 1000 / F.greatest(F.col("n_words"), F.lit(400))
@@ -304,12 +307,14 @@ def content_scores(rows: DataFrame, text: str) -> DataFrame:
     mean = F.floor(F.aggregate("paragraphs", F.lit(0), lambda a, p: a + F.size(tokens(p))) / F.greatest(F.size("paragraphs"), F.lit(1)) + 0.5)
     scannable = ramp(per1k(items), 0, 12, 8) + F.when(tables, 7).otherwise(0) + F.when(mean == 0, 0).otherwise(ramp(120 - mean, 0, 60, 5))
     d = d.withColumn("_h2", F.transform(F.filter("headings", lambda h: h["level"] == 2), lambda h: h["at"]))
+    d = settled(d)
     section = F.transform("_h2", lambda at, k: F.size(tokens(F.array_join(F.slice("lines", at + 1, F.coalesce(F.get("_h2", k + 1), F.size("lines")) - at), " "))))
     n = F.size("_h2")
     thin = F.size(F.filter(section, lambda w: w < 100))
     wanted = F.greatest(F.lit(2), F.floor(F.col("n_words") / 300 + 0.5))
     structure = F.when(n == 0, 0).otherwise(ramp(F.least(n / wanted, F.lit(1.0)), 0, 1, 8) + ramp(1 - thin / F.greatest(n, F.lit(1)), 0, 1, 7)) + F.when(F.exists("headings", lambda h: h["level"].isin(3, 4)), 5).otherwise(0)
     d = d.withColumn("_faq", F.array_position(F.transform("headings", lambda h: h["text"].rlike("(?i)faq|frequently asked")), F.lit(True)).cast("int"))
+    d = settled(d)
     after = F.when(F.col("_faq") > 0, F.slice("headings", F.col("_faq") + 1, F.size("headings"))).otherwise(F.slice("headings", 1, 0))
     end = F.array_position(F.transform(after, lambda h: h["level"] <= F.get("headings", F.greatest(F.col("_faq") - 1, F.lit(0)))["level"]), F.lit(True)).cast("int")
     own = F.when(end > 0, F.slice(after, 1, F.greatest(end - 1, F.lit(0)))).otherwise(after)
@@ -350,7 +355,7 @@ MARKDOWN = """concat(CASE WHEN doc_id % 4 = 0 THEN 'In this guide we tell. ' WHE
 
 def _phrased(spark, sf_dir: str) -> DataFrame:
     """Documents with two phrases, a city and a brand that are words of their own."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1))
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1))
     at = lambda *k: F.concat_ws(" ", *[F.get("w", F.lit(i)) for i in k])
     return d.select("doc_id", "text", F.array(at(3, 4), at(7, 8, 9)).alias("phrases"), F.coalesce(F.get("w", F.lit(5)), F.lit("")).alias("city"), F.coalesce(F.get("w", F.lit(2)), F.lit("")).alias("brand"))
 
@@ -368,7 +373,7 @@ def document_forced_phrases(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"), F.expr(EDITED).alias("edited"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("original"), F.expr(EDITED).alias("edited"))
 
 
 def document_edit_guards(spark, sf_dir):
@@ -384,7 +389,7 @@ def document_block_changes(spark, sf_dir):
 
 def document_content_scores(spark, sf_dir):
     """How well Markdown made of each document reads, in six dimensions."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKDOWN).alias("markdown"))
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", F.expr(MARKDOWN).alias("markdown"))
     return content_scores(d, "markdown").select("doc_id", "n_words", *DIMENSIONS, "total", "grade", *[c.alias(f"has_{n}") for n, c in coverage(F.coalesce("markdown", F.lit(""))).items()])
 
 

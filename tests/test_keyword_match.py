@@ -68,10 +68,10 @@ def test_random_texts_against_all_placements(spark):
 
 def test_stated_cases(spark):
     cases = [
-        ("dentist in arlington", "Arlington Dentist, MA", "unordered_proximity", 66),
-        ("dentist in arlington", "Dentist Near You in Arlington", "exact_phrase", 100),
-        ("dentist arlington", "Gentle Dental Arlington", "family_proximity", 50),
-        ("dentists arlington", "the dentist Arlington's best", "exact_phrase_inflected", 92),
+        ("dentist in salem", "Salem Dentist, MA", "unordered_proximity", 66),
+        ("dentist in salem", "Dentist Near You in Salem", "exact_phrase", 100),
+        ("dentist salem", "Bright Dental Salem", "family_proximity", 50),
+        ("dentists salem", "the dentist Salem's best", "exact_phrase_inflected", 92),
         ("dentist near me", "A dentist for all", "ordered_with_gaps", 80),
         ("dentist boston", "Our dental office in Boston", "family_proximity", 46),  # the alias lifts no tier that the family reaches
         ("realtor boston", "a real estate agent in Boston", "family_proximity", 50),  # only by its alias, so no higher

@@ -53,19 +53,19 @@ def test_uses_equal_a_plain_scan(spark):
 
 def test_forced_phrases_questions_and_asks(spark):
     rows = [
-        (1, "We discuss Invisalign cost Boston, and Boston Veneers. Invisalign in Boston. Boston, Invisalign", "Boston", "", ["cost Boston", "Boston Veneers"]),
-        (2, "Gentle Dental Boston and gentle dental of boston and dental  Boston and Dental\nBoston", "Boston", "Gentle Dental", ["dental Boston", "Dental Boston"]),
+        (1, "We discuss Aligner cost Boston, and Boston Veneers. Aligner in Boston. Boston, Aligner", "Boston", "", ["cost Boston", "Boston Veneers"]),
+        (2, "Bright Dental Boston and bright dental of boston and dental  Boston and Dental\nBoston", "Boston", "Bright Dental", ["dental Boston", "Dental Boston"]),
         (3, "cost St. Paul? costs St. Paul", "St. Paul", None, ["cost St. Paul", "costs St. Paul"]),
         (4, "cost Boston", "", "", []), (5, None, "Boston", "", []), (6, "accost Boston, cost Bostonia", "Boston", "", []),
     ]
     d = spark.createDataFrame([r[:4] for r in rows], "id long, text string, city string, brand string")
-    phrases = F.array(F.lit("invisalign cost in Boston"), F.lit("veneer dental"))
+    phrases = F.array(F.lit("aligner cost in Boston"), F.lit("veneer dental"))
     got = {r.id: r.f for r in d.select("id", writing.forced(F.col("text"), phrases, F.col("city"), F.col("brand")).alias("f")).collect()}
     assert got == {r[0]: r[4] for r in rows}
     assert spark.range(1).select(writing.forced(F.lit("cost Boston"), F.array(F.lit("in Boston"), F.lit("")), F.lit("Boston"), F.lit("")).alias("f")).first().f == []
-    asked = [("Does it hurt in Methuen?", True), ("Do you offer it in Methuen, and is it safe?", False), ("Does it hurt?", False), ("Who should have it in METHUEN", True), ("Is it safe in Methuenville?", False), (None, False)]
+    asked = [("Does it hurt in Quincy?", True), ("Do you offer it in Quincy, and is it safe?", False), ("Does it hurt?", False), ("Who should have it in QUINCY", True), ("Is it safe in Quincyville?", False), (None, False)]
     d = spark.createDataFrame(asked, "q string, want boolean")
-    assert all(r.got == r.want for r in d.select("want", writing.decorated_question(F.col("q"), F.lit("Methuen")).alias("got")).collect())
+    assert all(r.got == r.want for r in d.select("want", writing.decorated_question(F.col("q"), F.lit("Quincy")).alias("got")).collect())
     asks = [("We mend roofs. Book online today!", True), ("Book today. We mend roofs.", False), ("Our team schedules visits.", False), ("We help, call us", True), ("", False), (None, False)]
     d = spark.createDataFrame(asks, "s string, want boolean")
     assert all(r.got == r.want for r in d.select("want", writing.closes_with_ask(F.col("s")).alias("got")).collect())

@@ -476,7 +476,7 @@ ORACLE_SQL = {
           CASE WHEN len(units) = 0 THEN 0.0 ELSE len(list_filter(units, lambda x: NOT contains(kept, {_compared("x")}))) / len(units) END AS lost, CASE WHEN len(said) = 0 THEN 0.0 ELSE len(list_filter(said, lambda x: NOT contains(source, {_compared("x")}))) / len(said) END AS foreign_ FROM part
       )
       SELECT doc_id, CAST(lost AS DOUBLE) AS lost, CAST(foreign_ AS DOUBLE) AS foreign, lost <= {MOST_LOST}::DOUBLE AS preserved, foreign_ <= {MOST_FOREIGN}::DOUBLE AS honest, len(again) AS redundant,
-        length(e) - coalesce(list_sum(list_transform(list_distinct(again), lambda b: (length(e) - length(replace(e, '[NEW]' || b || '[/NEW]', ''))))), 0) AS cleaned_chars,
+        CAST(length(e) - coalesce(list_sum(list_transform(list_distinct(again), lambda b: (length(e) - length(replace(e, '[NEW]' || b || '[/NEW]', ''))))), 0) AS BIGINT) AS cleaned_chars,
         len(list_filter(string_split(o, chr(10)), lambda t: NOT regexp_matches(trim(t, {_B}), '^#{{1,6}}\\s') AND len(list_filter(string_split_regex(regexp_replace(regexp_replace(t, '\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '[^A-Za-z ]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2)) >= 12)) > 0 AS substantive,
         regexp_matches(e, '{ECHO}') AS echo, coalesce(regexp_matches(list_extract({_sentences(f"trim(e, {_B})")}, -1), '{ASK}'), false) AS asks FROM again""",
     "document_content_scores": f"""WITH made AS (SELECT doc_id, coalesce({MARKDOWN}, '') AS markdown FROM documents),

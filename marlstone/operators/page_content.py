@@ -571,13 +571,13 @@ def answerability(s: DataFrame) -> DataFrame:
     return out.withColumn("answerability", F.floor(10 * F.col("earned") / F.col("most") + 0.5).cast("int"))
 
 
-def outcomes(signal_rows: DataFrame) -> DataFrame:
-    """page, id, category, status, severity of every page and rule."""
+def outcomes(signal_rows: DataFrame, *beside: str) -> DataFrame:
+    """page, id, category, status, severity of every page and rule, and the columns ``beside``."""
     s = answerability(signal_rows)
     results = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), F.expr(case(w)).alias("o")) for i, c, w in RULES])
     table = F.create_map(*[x for o, (status, severity) in STATUSES.items() for x in (F.lit(o), F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity")))])
-    rows = s.select("page", F.explode(results).alias("r"))
-    return rows.select("page", "r.id", "r.category", table[F.col("r.o")].alias("v")).select("page", "id", "category", "v.*")
+    rows = s.select("page", *beside, F.explode(results).alias("r"))
+    return rows.select("page", *beside, "r.id", "r.category", table[F.col("r.o")].alias("v")).select("page", *beside, "id", "category", "v.*")
 
 
 def page_types(pages: DataFrame, overrides: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

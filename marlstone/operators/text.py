@@ -9,6 +9,7 @@ from ..functions import urls
 from ..functions.numbers import half_up
 from ..functions.stems import stemmed
 from ..runtime import materialize, read_table
+from .blocks import met, pairs_from, unit_vectors
 
 
 def plain_words(text: Column) -> Column:
@@ -68,23 +69,10 @@ def tf_idf(tf: DataFrame, n: int, most_share: float = 0.6) -> DataFrame:
 
 
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """i < j, cosine >= least > 0 of all pairs, without pairing all that share a frequent term.
-
-    Terms are ordered by their number of documents. What a document's last
-    terms add to any cosine is at most their norm; where that is below
-    ``least`` they can't make a pair, so a pair's rarest shared term is among
-    the first terms of both. Only those are joined; each candidate is then
-    summed over all its terms.
-    """
-    norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    unit = weights.filter("weight <> 0").join(norm, "id").join(df, "term").select("id", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
-    rest = F.sum(F.col("w") ** 2).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    unit = materialize(unit.withColumn("first", F.sqrt(rest) >= least - 1e-9))
-    a, b = unit.select(F.col("id").alias("i"), "term", F.col("w").alias("wi")), unit.select(F.col("id").alias("j"), "term", F.col("w").alias("wj"))
-    first = unit.filter("first").select("id", "term")
-    maybe = first.withColumnRenamed("id", "i").join(first.withColumnRenamed("id", "j"), "term").filter("i < j").select("i", "j").distinct()
-    return maybe.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("cosine")).filter(F.col("cosine") >= least)
+    """i < j, cosine >= least > 0 of all pairs, as products of blocks of unit vectors: pairs below ``least`` have no rows anywhere."""
+    kind = weights.schema["id"].dataType
+    found = met(materialize(unit_vectors(weights)), pairs_from(least), "i bigint, j bigint, v double")
+    return found.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), F.col("v").alias("cosine"))
 
 
 def _title(html: Column) -> Column:
@@ -116,13 +104,16 @@ def tfidf_terms(spark, sf_dir):
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).filter(F.col("df") / n <= 0.6).select("term", "df", "tf", half_up(F.log(n / F.col("df")), 6).alias("idf"))
 
 
+def head_weights(pages: DataFrame) -> DataFrame:
+    """``title_weights`` of distinct titles, each by its first page."""
+    first = pages.groupBy(_title(F.col("html"))).agg(F.min("page_id").alias("id"))
+    return title_weights(pages).join(first.select("id"), "id", "left_semi")
+
+
 def title_cosine_pairs(spark, sf_dir):
     """Pairs of distinct titles, each by its first page, with a TF-IDF cosine of 0.08 or more;
     ``title_classes`` has the pages of each."""
-    p = read_table(spark, sf_dir, "pages")
-    first = p.groupBy(_title(F.col("html"))).agg(F.min("page_id").alias("id"))
-    weights = title_weights(p).join(first.select("id"), "id", "left_semi")
-    return cosine_pairs(weights, 0.08).select("i", "j", half_up(F.col("cosine"), 4).alias("cosine"))
+    return cosine_pairs(head_weights(read_table(spark, sf_dir, "pages")), 0.08).select("i", "j", half_up(F.col("cosine"), 4).alias("cosine"))
 
 
 def title_classes(spark, sf_dir):

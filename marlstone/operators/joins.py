@@ -6,12 +6,14 @@ zeros, repeated rows count each, and empty inputs give empty results.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..runtime import read_table
-from .text import title_classes, title_cosine_pairs, title_weights
+from ..runtime import materialize, read_table
+from .blocks import met, pairs_from, sums_by, unit_vectors
+from .text import head_weights, title_classes
 
 CANNIBAL, DUAL_MARGIN = 0.75, 0.05  # defaults, to be replaced by a user's own
 # Days that a frequency allows, and patterns of claims.
@@ -58,9 +60,16 @@ def cluster_means(members: DataFrame, pairs: DataFrame) -> DataFrame:
     Sums are made for kinds, not nodes; a node's similarity to itself is taken off in its own cluster.
     """
     m = _kinds(members)
-    size = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     count = m.groupBy(F.col("kind").alias("peer"), "cluster").agg(F.count(F.lit(1)).alias("nodes"))
     sums = _both_ways(pairs).join(count, "peer").groupBy("kind", "cluster").agg(F.sum(F.col("similarity") * F.col("nodes")).alias("s"), F.coalesce(F.max(F.when(F.col("kind") == F.col("peer"), F.col("similarity"))), F.lit(0)).alias("itself"))
+    return means_of(m, sums)
+
+
+def means_of(members: DataFrame, sums: DataFrame) -> DataFrame:
+    """``cluster_means`` of members (node, cluster, kind) from sums (kind, cluster, s, itself): a kind's similarities summed over
+    a cluster's nodes, its own included, and that to itself."""
+    m = members
+    size = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     of = m.select("node", F.col("cluster").alias("own"), "kind").join(sums, "kind").join(size, "cluster")
     at_home = F.coalesce((F.col("own") == F.col("cluster")).cast("int"), F.lit(0))
     others, s = F.col("n") - at_home, F.col("s") - at_home * F.col("itself")
@@ -69,13 +78,22 @@ def cluster_means(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def nearest_cluster(nodes: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, cluster, mean: for each node its best cluster by mean similarity, the least at a tie; null where none is alike."""
-    best = cluster_means(members, pairs).groupBy("node").agg(F.max(F.struct("mean", (-F.col("cluster")).alias("c"))).alias("b"))
+    return nearest_of(nodes, cluster_means(members, pairs))
+
+
+def nearest_of(nodes: DataFrame, means: DataFrame) -> DataFrame:
+    """``nearest_cluster`` from ``cluster_means``."""
+    best = means.groupBy("node").agg(F.max(F.struct("mean", (-F.col("cluster")).alias("c"))).alias("b"))
     return nodes.join(best, "node", "left").select("node", (-F.col("b.c")).alias("cluster"), F.col("b.mean").alias("mean"))
 
 
 def dual_members(members: DataFrame, pairs: DataFrame, margin: float = DUAL_MARGIN) -> DataFrame:
     """node, dual: whether another cluster is within ``margin`` of a node's own in mean similarity; a cluster without alike pages is at zero."""
-    means = cluster_means(members, pairs)
+    return dual_of(members, cluster_means(members, pairs), margin)
+
+
+def dual_of(members: DataFrame, means: DataFrame, margin: float) -> DataFrame:
+    """``dual_members`` from ``cluster_means``."""
     own = F.col("cluster") == F.col("own")
     per = means.groupBy("node").agg(F.max(F.when(own, F.col("mean"))).alias("mine"), F.max(F.when(~own, F.col("mean"))).alias("best"))
     several = members.select("cluster").distinct().limit(2).count() > 1
@@ -169,13 +187,25 @@ def screened(rows: DataFrame, year: int) -> DataFrame:
 # --- queries
 
 
-def _title_pairs(spark, sf_dir):
-    """Like titles by their first pages, each that has terms with itself too; the cosine in whole ten-thousandths, so that sums are exact."""
-    pairs = title_cosine_pairs(spark, sf_dir).select("i", "j", F.round(F.col("cosine") * 10000).cast("long").alias("similarity"))
-    pages = read_table(spark, sf_dir, "pages")
-    said = title_weights(pages).filter("weight <> 0").select(F.col("id").alias("i")).distinct()
-    own = title_classes(spark, sf_dir).select(F.col("class_id").alias("i")).distinct().join(said, "i")
-    return pairs.unionByName(own.select("i", F.col("i").alias("j"), F.lit(10000).cast("long").alias("similarity")))
+LIKE, WHOLE = 0.08, 10000  # cosines below the first count as zero, others in whole parts of the second, so that sums are exact
+
+
+def _title_pairs(spark, sf_dir, least: int):
+    """Titles of ``least`` ten-thousandths or more by their first pages, each that has terms with itself too."""
+    vectors = materialize(unit_vectors(head_weights(read_table(spark, sf_dir, "pages"))))
+    found = met(vectors, pairs_from(max(LIKE, (least - 0.5) / WHOLE - 1e-9)), "i bigint, j bigint, v double")
+    pairs = found.select("i", "j", F.floor(F.col("v") * WHOLE + 0.5).cast("long").alias("similarity")).filter(F.col("similarity") >= least)
+    return pairs.unionByName(vectors.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(WHOLE).cast("long").alias("similarity")))
+
+
+def _title_means(spark, sf_dir, members: DataFrame) -> DataFrame:
+    """``cluster_means`` of titles; the sums are made where blocks of titles meet, so no pairs are listed."""
+    vectors = unit_vectors(head_weights(read_table(spark, sf_dir, "pages")))
+    there = members.groupBy("kind", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("kind").cast("bigint").alias("id")).agg(F.collect_list(F.struct(F.col("cluster").cast("bigint").alias("c"), "n")).alias("t"))
+    placed = vectors.join(there, "id").select(*vectors.columns, F.transform("t", lambda x: x["c"]).alias("clusters"), F.transform("t", lambda x: x["n"]).alias("counts"))
+    like = lambda d: np.where(d >= LIKE, np.floor(d * WHOLE + 0.5), 0.0)
+    sums = met(materialize(placed), sums_by(like, WHOLE), "x bigint, c bigint, s bigint").groupBy(F.col("x").alias("kind"), F.col("c").alias("cluster")).agg(F.sum("s").alias("s"))
+    return means_of(members, sums.withColumn("itself", F.lit(WHOLE)))
 
 
 def _fifths(spark, sf_dir):
@@ -185,18 +215,19 @@ def _fifths(spark, sf_dir):
 
 def title_cannibals(spark, sf_dir):
     """Like titles of one cluster, each by its first page, with their pages there; ``title_classes`` has the pages of each."""
-    return cannibals(_fifths(spark, sf_dir), _title_pairs(spark, sf_dir), 3000)
+    return cannibals(_fifths(spark, sf_dir), _title_pairs(spark, sf_dir, 3000), 3000)
 
 
 def title_nearest_cluster(spark, sf_dir):
     """Each page's nearest cluster by titles."""
     m = _fifths(spark, sf_dir)
-    return nearest_cluster(m.select("node"), m, _title_pairs(spark, sf_dir)).select("node", "cluster", half_up(F.col("mean"), 3).alias("mean"))
+    return nearest_of(m.select("node"), _title_means(spark, sf_dir, m)).select("node", "cluster", half_up(F.col("mean"), 3).alias("mean"))
 
 
 def title_dual_members(spark, sf_dir):
     """Pages that belong to another cluster nearly as well."""
-    return dual_members(_fifths(spark, sf_dir), _title_pairs(spark, sf_dir), 10)
+    m = _fifths(spark, sf_dir)
+    return dual_of(m, _title_means(spark, sf_dir, m), 10)
 
 
 def layers_by_membership(spark, sf_dir):

@@ -322,11 +322,9 @@ def page_even_sample(spark, sf_dir):
 
 def page_title_clusters(spark, sf_dir):
     """Average-linkage clusters of pages by their titles' terms; null for clusters below three pages."""
-    from .text import title_weights, cosine_pairs
+    from .topics import page_linkage
 
-    p = read_table(spark, sf_dir, "pages")
-    pairs = cosine_pairs(title_weights(p), 1e-9).withColumnRenamed("cosine", "similarity")
-    return sized_clusters(average_linkage(p.select(F.col("page_id").alias("node")), pairs, 0.08))
+    return sized_clusters(page_linkage(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (link_degree, link_click_depth, link_page_diagnostics, link_cluster_density, cluster_hubs, cluster_health, url_template_levels, page_type_rollup, page_even_sample, page_title_clusters)}

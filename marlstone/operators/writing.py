@@ -127,10 +127,6 @@ def compared(s: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(s, r"\s+", " "))), "[^a-z0-9 ]", "")
 
 
-def letters(s: Column) -> Column:
-    return F.length(F.replace(compared(s), F.lit(" "), F.lit("")))
-
-
 def unmarked(edited: Column) -> Column:
     return F.regexp_replace(edited, r"(?s)\[NEW\].*?\[/NEW\]", " ")
 
@@ -151,36 +147,46 @@ def _share(all_: Column, bad) -> Column:
     return F.when(F.size(all_) == 0, 0.0).otherwise(F.size(F.filter(all_, bad)) / F.size(all_))
 
 
-def restates(sentence: Column, others: Column) -> Column:
-    """Does the sentence have most of its words with one of the others?"""
-    bag = lambda s: F.array_distinct(F.filter(F.split(compared(s), " "), lambda w: w != ""))
+def bag(s: Column) -> Column:
+    """Distinct words of a sentence."""
+    return F.array_distinct(F.filter(F.split(compared(s), " "), lambda w: w != ""))
+
+
+def restates(own: Column, others: Column) -> Column:
+    """Has a sentence most of its words with one of the others? Sentences come as their bags of words."""
 
     def same(o: Column) -> Column:
-        both = F.size(F.array_intersect(bag(sentence), bag(o)))
-        a, b = F.size(bag(sentence)), F.size(bag(o))
+        both, a, b = F.size(F.array_intersect(own, o)), F.size(own), F.size(o)
         return (b >= FEW_WORDS) & ((both / (a + b - both) >= SAME_WORDS) | (both / F.least(a, b) >= HELD_WORDS))
 
-    return (F.size(bag(sentence)) >= FEW_WORDS) & F.exists(others, same)
+    return (F.size(own) >= FEW_WORDS) & F.exists(others, same)
 
 
 def guards(pairs: DataFrame, original: str, edited: str) -> DataFrame:
     """The rows with lost and foreign (shares of the original's units that are gone, of unmarked sentences that are
     new), preserved, honest, redundant (marked sentences that restate others), cleaned (the edit without
     these), substantive (has the original prose?) and echo (are instructions given back?). Texts without units lose nothing."""
-    o, e = F.coalesce(F.col(original), F.lit("")), F.coalesce(F.col(edited), F.lit(""))
-    d = pairs.withColumn("_kept", compared(unmarked(e))).withColumn("_from", compared(o))
-    d = d.withColumn("_units", F.filter(units(o), lambda u: letters(u) >= LEAST_UNIT)).withColumn("_said", F.filter(_prose(unmarked(e)), lambda u: letters(u) >= LEAST_SENTENCE))
-    d = d.withColumn("_others", sentences(F.regexp_replace(unmarked(e), r"\s+", " ")))
+    # every text is settled before lambdas name it: an edit, its unmarked part, and units, sentences and bags as they are compared
+    d = settled(pairs.withColumn("_o", F.coalesce(F.col(original), F.lit(""))).withColumn("_e", F.coalesce(F.col(edited), F.lit(""))))
+    o, e = F.col("_o"), F.col("_e")
+    d = settled(d.withColumn("_plain", unmarked(e)))
+    d = d.withColumn("_kept", compared(F.col("_plain"))).withColumn("_from", compared(o))
+    d = d.withColumn("_units", F.transform(units(o), compared)).withColumn("_said", F.transform(_prose(F.col("_plain")), compared))
+    d = d.withColumn("_others", sentences(F.regexp_replace("_plain", r"\s+", " ")))
     d = d.withColumn("_new", F.filter(F.regexp_extract_all(e, F.lit(r"(?s)\[NEW\](.*?)\[/NEW\]"), 1), lambda b: ~F.contains(bare(b), F.lit("\n")) & ~bare(b).rlike(r"^(#{1,6}\s|\d+[.)]|[-*|])")))
     d = settled(d)
-    d = d.withColumn("_again", F.filter("_new", lambda b: restates(bare(b), F.col("_others"))))
+    long = lambda c, least: F.filter(c, lambda u: F.length(F.replace(u, F.lit(" "), F.lit(""))) >= least)
+    d = d.withColumn("_units", long("_units", LEAST_UNIT)).withColumn("_said", long("_said", LEAST_SENTENCE))
+    some = F.when(F.size("_new") > 0, F.transform("_others", bag))  # bags of the others, where anything is marked
+    d = settled(d.withColumn("_bags", some).withColumn("_new", F.transform("_new", lambda b: F.struct(b.alias("b"), bag(bare(b)).alias("w")))))
+    d = settled(d.withColumn("_again", F.transform(F.filter("_new", lambda n: restates(n["w"], F.col("_bags"))), lambda n: n["b"])))
     plain = F.filter(F.split(o, "\n"), lambda t: ~bare(t).rlike(r"^#{1,6}\s"))
     long_words = lambda t: F.filter(tokens(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]*\]\([^)]*\)", " "), "[^A-Za-z ]", " ")), lambda w: F.length(w) > 2)
-    d = d.withColumn("lost", _share(F.col("_units"), lambda u: ~F.contains(F.col("_kept"), compared(u)))).withColumn("foreign", _share(F.col("_said"), lambda u: ~F.contains(F.col("_from"), compared(u))))
+    d = d.withColumn("lost", _share(F.col("_units"), lambda u: ~F.contains(F.col("_kept"), u))).withColumn("foreign", _share(F.col("_said"), lambda u: ~F.contains(F.col("_from"), u)))
     d = d.withColumn("preserved", F.col("lost") <= MOST_LOST).withColumn("honest", F.col("foreign") <= MOST_FOREIGN).withColumn("redundant", F.size("_again"))
     d = d.withColumn("cleaned", F.aggregate("_again", e, lambda t, b: F.replace(t, F.concat(F.lit("[NEW]"), b, F.lit("[/NEW]")), F.lit(""))))
     d = d.withColumn("substantive", F.exists(plain, lambda t: F.size(long_words(t)) >= 12)).withColumn("echo", e.rlike(ECHO))
-    return d.drop("_kept", "_from", "_units", "_said", "_others", "_new", "_again")
+    return d.drop("_o", "_e", "_plain", "_kept", "_from", "_units", "_said", "_others", "_bags", "_new", "_again")
 
 
 def longest_rise(values: list[int]) -> list[int]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.settled import settled, spread
 from ..runtime import read_table
+from .text import bound
 
 # Words that no keyword needs, questions that have the same answer everywhere and those that don't, asks that close a text.
 STOP = ("in", "the", "a", "an", "of", "for", "near", "me", "and")
@@ -53,12 +54,6 @@ def needed(phrase: Column) -> Column:
     return F.filter(stems(phrase), lambda w: ~w.isin(*STOP))
 
 
-def first_match(text: Column, phrases: Column) -> Column:
-    """The first phrase whose words are all in the text; null if none."""
-    have = stems(text)
-    return F.get(F.filter(phrases, lambda p: (F.size(needed(p)) > 0) & (F.size(F.array_except(needed(p), have)) == 0)), F.lit(0))
-
-
 def all_but_one(text: Column, phrase: Column) -> Column:
     """Is at most one of the phrase's words, and not the only one, missing from the text?"""
     own = needed(phrase)
@@ -68,7 +63,10 @@ def all_but_one(text: Column, phrase: Column) -> Column:
 
 def uses(words: str, sets: str, window: int = WINDOW) -> Column:
     """How often the words (a column of stems) use each set of stems (a column of arrays): where a window
-    holds all of one, the first such counts, and the search goes on after the last of its words. A window counts once."""
+    holds all of one, the first such counts, and the search goes on after the last of its words. A window counts once.
+
+    A window can be the first to hold a set only where the text or the search begins, which is after a word of a set, or
+    where its last word is one; only these are looked at."""
     at = lambda i: F.slice(words, i + 1, F.lit(window))
 
     def step(acc: Column, i: Column) -> Column:
@@ -79,13 +77,16 @@ def uses(words: str, sets: str, window: int = WINDOW) -> Column:
 
     start = F.struct(F.lit(0).alias("after"), F.transform(sets, lambda s: F.lit(0)).alias("counts"))
     every = F.when((F.size(words) > 0) & (F.size(sets) > 0), F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(every, start, step, lambda acc: acc["counts"])
+    known = F.array_distinct(F.flatten(sets))
+    some = bound(known, lambda k: F.filter(every, lambda i: (i == 0) | F.array_contains(k, F.get(words, i - 1)) | F.array_contains(k, F.get(words, i + window - 1))))
+    return F.aggregate(some, start, step, lambda acc: acc["counts"])
 
 
 def close_variants(rows: DataFrame, text: str, phrases: str) -> DataFrame:
     """The rows with matched (the first phrase that the text has), counts (uses of each phrase) and total."""
     d = settled(rows.withColumn("_words", stems(F.col(text))).withColumn("_sets", F.transform(phrases, needed)))
-    d = d.withColumn("matched", first_match(F.col(text), F.col(phrases))).withColumn("counts", uses("_words", "_sets"))
+    whole = lambda p, k: (F.size(F.get("_sets", k)) > 0) & (F.size(F.array_except(F.get("_sets", k), F.col("_words"))) == 0)
+    d = d.withColumn("matched", F.get(F.filter(phrases, whole), F.lit(0))).withColumn("counts", uses("_words", "_sets"))
     return d.withColumn("total", F.aggregate("counts", F.lit(0), lambda a, c: a + c)).drop("_words", "_sets")
 
 

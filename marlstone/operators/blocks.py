@@ -5,6 +5,7 @@ Vectors are rows (g, id, name, keys, w and what a judge needs more): a group, an
 meet in one cell, a task's group of bounded size; a vector is sent once for each block. A cell
 makes the products of some rows of its left block with all of its right one at a time, as a dense table, and a
 judge keeps what is asked for: pairs, the best of each vector, or sums. Work grows with the products, results need not.
+The cells of a turn get each vector once, so that a few turns at a time bound what is sent, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def products(a: Side, b: Side) -> Iterator[tuple[int, np.ndarray]]:
     made = np.concatenate([[0], np.cumsum(n)])[a.starts]  # before each row
     wide, first = len(b.ids), 0
     while first < len(a.ids):
-        last = min(len(a.ids), first + max(1, ROOM // wide), int(np.searchsorted(made, made[first] + 2 * ROOM, "right")) - 1)
+        last = min(len(a.ids), first + max(1, ROOM // wide), int(np.searchsorted(made, made[first] + ROOM // 2, "right")) - 1)
         last = max(last, first + 1)
         part = slice(a.starts[first], a.starts[last])
         count = n[part]
@@ -64,13 +65,32 @@ def products(a: Side, b: Side) -> Iterator[tuple[int, np.ndarray]]:
 Judge = Callable[[Side, Side, bool], dict]
 
 
-def met(vectors: DataFrame, judge: Judge, schema: str, most: int = MOST, few: int = FEW) -> DataFrame:
-    """What ``judge`` keeps of every cell's two blocks (the same one twice, if its third argument says so), as columns by name."""
+def _sizes(vectors: DataFrame, most: int, few: int) -> DataFrame:
+    """g, _ways: blocks of each group."""
     size = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
     ways = F.greatest(F.ceil(F.col("_n") / most), F.least(F.lit(few), F.ceil(F.col("_n") / LEAST))).cast("int")
-    size = size.select("g", ways.alias("_ways"))
-    cells = size.agg(F.sum(F.col("_ways") * (F.col("_ways") + 1) / 2)).first()[0] or 1
-    dealt = vectors.join(size, "g").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_ways")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)))
+    return size.select("g", ways.alias("_ways"))
+
+
+def turns(vectors: DataFrame, at_once: int, most: int = MOST, few: int = FEW) -> list[tuple[int, int]]:
+    """Parts of the work for ``met``, each of which sends a vector ``at_once`` times at most: turn t has the cells of blocks
+    a and b with a + b = t, modulo the group's blocks, so each vector is in one of its cells."""
+    last = _sizes(vectors, most, few).agg(F.max("_ways")).first()[0] or 0
+    return [(t, min(t + at_once, last)) for t in range(0, last, at_once)]
+
+
+def met(vectors: DataFrame, judge: Judge, schema: str, most: int = MOST, few: int = FEW, only: tuple[int, int] | None = None) -> DataFrame:
+    """What ``judge`` keeps of every cell's two blocks (the same one twice, if its third argument says so), as columns by name;
+    ``only`` of the ``turns`` from the first number to before the second."""
+    size = _sizes(vectors, most, few)
+    share = F.col("_ways") if only is None else F.greatest(F.lit(0), F.least("_ways", F.lit(only[1])) - only[0])
+    cells = size.agg(F.sum(F.ceil((F.col("_ways") + 1) * share / 2))).first()[0] or 1
+    dealt = vectors.join(size, "g").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_ways")).cast("int"))
+    if only is None:
+        dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)))
+    else:
+        turn = F.filter(F.sequence(F.lit(only[0]), F.lit(only[1] - 1)), lambda t: t < F.col("_ways"))
+        dealt = dealt.withColumn("_x", F.explode(F.transform(turn, lambda t: F.pmod(t - F.col("_b"), F.col("_ways")))))
     dealt = dealt.select(*vectors.columns, F.least("_b", "_x").alias("_lo"), F.greatest("_b", "_x").alias("_hi"), (F.col("_b") <= F.col("_x")).alias("_left"))
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 

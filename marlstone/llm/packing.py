@@ -30,6 +30,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,11 +41,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.parts import text_parts
 from ..runtime import read_table
 
 SIZE, END_ID = 4096, 2
 SENTENCE, FORCED, WINDOW_COST, STEP, BLOCK, LEAST_POWER = 16, 512, 1, 512, 1 << 19, 256
-REMEMBER, POOL = 700_000, 6_000_000  # pre-tokens whose ids a worker keeps; ids in all
+REMEMBER, POOL, LEARN = 400_000, 3_000_000, 20_000  # pre-tokens whose ids a worker keeps; ids in all; words learnt at a time
+GROUP = 1_500_000  # characters of texts encoded at once
 
 # Texts of these characters only are split here; the tokenizer's own splitting takes all others.
 PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xa1-\xa7\xb0\xb1\xb6\xb7\xbb\xbf-įı-ňŊ-ž]*")
@@ -54,11 +57,20 @@ WORD = re.compile(rf"(?:[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9])(?:[ \t\r]*+\
 INSIDE, AT_SENTENCE, AT_DOCUMENT = 0, 1, 2
 
 
+def grown(x: np.ndarray, least: int) -> np.ndarray:
+    """``x``, or a copy of twice its length or more that holds at least so many."""
+    if least <= len(x):
+        return x
+    out = np.zeros(max(least, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Tokens:
     """Ids of whole texts with the places where sentences end.
 
     The ids of a text are those of its pre-tokens. These repeat, and their ids
-    are remembered (of at most REMEMBER); what is new in a batch is encoded at once.
+    are remembered (of about REMEMBER at most, some 200 bytes each); what is new in a batch is encoded at once.
     """
 
     def __init__(self, path: str):
@@ -75,55 +87,56 @@ class Tokens:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {"\n": 0}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.start, self.length, self.ends = [np.zeros(1024, np.int64) for _ in range(3)]
+        self.start, self.length, self.ends = (np.zeros(1024, t) for t in (np.uint32, np.uint32, np.uint8))
         self.pool = np.zeros(1 << 16, np.uint32)
         self.pool[0], self.filled = END_ID, 1
         self.length[0], self.ends[0] = 1, AT_DOCUMENT
 
-    def _word_ids(self, words: list[str]) -> None:
-        """Learn the ids of new words: each, alone, is one pre-token of the tokenizer.
+    def _word_ids(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each word: each, alone, is one pre-token of the tokenizer.
 
         Its byte alphabet writes ASCII as it is, so such words go to the merges at once.
         """
-        others = []
-        for word in words:
-            if word.isascii():
-                self.words[word] = tuple([t.id for t in self.merges(word)])
+        others = [w for w in words if not w.isascii()]
+        other_ids = iter([])
+        if others:
+            ids = self.tokenizer.encode(" ".join(others), add_special_tokens=False).ids
+            cuts = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(cuts) == len(others):
+                other_ids = (ids[lo:hi] for lo, hi in zip([0, *cuts], cuts))
             else:
-                others.append(word)
-        for a in range(0, len(others), 20_000):
-            part = others[a : a + 20_000]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
-            cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) == len(part):
-                lo = 0
-                for word, hi in zip(part, cuts.tolist()):
-                    self.words[word] = tuple(ids[lo:hi])
-                    lo = hi
-            else:
-                for word in part:
-                    self.words[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                other_ids = (self.tokenizer.encode(w, add_special_tokens=False).ids for w in others)
+        for word in words:
+            yield [t.id for t in self.merges(word)] if word.isascii() else next(other_ids)
 
     def _learn(self, marked: list[str]) -> None:
+        """Remember new pre-tokens, and the bare words among them; those of one bare word share its place in the pool."""
         bare = [w.rstrip(" \t\r\n") for w in marked]
-        known = self.words
-        self._word_ids([w for w in dict.fromkeys(bare) if w not in known])
-        ids: list[int] = []
-        n = len(self.number)
-        while n + len(marked) > len(self.start):
-            self.start, self.length, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.ends))
+        number = self.number
+        new = [w for w in dict.fromkeys(bare) if w not in number]
+        n, most = len(number), len(number) + len(new) + len(marked)
+        self.start, self.length, self.ends = (grown(x, most) for x in (self.start, self.length, self.ends))
+        for a in range(0, len(new), LEARN):
+            part = new[a : a + LEARN]
+            ids, sizes = array("I"), []
+            for got in self._word_ids(part):
+                ids.extend(got)
+                sizes.append(len(got))
+            m = n + len(part)
+            number.update(zip(part, range(n, m)))
+            self.length[n:m] = sizes
+            self.start[n:m] = self.filled + np.cumsum(sizes) - sizes
+            self.pool = grown(self.pool, self.filled + len(ids))
+            self.pool[self.filled : self.filled + len(ids)] = ids
+            self.filled += len(ids)
+            n = m
         for key, w in zip(marked, bare):
-            self.number[key] = n
-            self.start[n] = self.filled + len(ids)
-            ids += known[w]
-            self.length[n] = len(known[w])
-            self.ends[n] = AT_SENTENCE if key[-1] == "\n" or key != w and w[-1] in ".!?" else INSIDE
-            n += 1
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
+            if key != w:
+                k = number[w]
+                number[key] = n
+                self.start[n], self.length[n] = self.start[k], self.length[k]
+                self.ends[n] = AT_SENTENCE if key[-1] == "\n" or w[-1] in ".!?" else INSIDE
+                n += 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end token; boundary positions
@@ -144,10 +157,10 @@ class Tokens:
                 words = [run[i] for i in new.tolist()]
                 self._learn(list(dict.fromkeys(words)))
                 k[new] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            n = self.length[k]
+            n = self.length[k].astype(np.int64)
             hi = np.cumsum(n)
             ids_parts.append(self.pool[np.repeat(self.start[k] - (hi - n), n) + np.arange(hi[-1])])
-            kinds = self.ends[k].copy()
+            kinds = self.ends[k].astype(np.int64)
             before_end = np.flatnonzero(k == 0) - 1
             kinds[before_end[before_end >= 0]] = np.where(k[before_end[before_end >= 0]] == 0, AT_DOCUMENT, INSIDE)
             keep = np.flatnonzero((kinds > 0) & (n > 0))
@@ -303,18 +316,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 columns = list(zip(*got))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, t) for c, t in zip(columns[1:], types))], names)
 
-        for batch in rows:
+        for batch in text_parts(rows, 1, GROUP):
             kind = batch.schema.field(0).type
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= 1_500_000):
-                    chars += len(texts[b])
-                    b += 1
-                stream.add(ids[a:b], *encoder.encode(texts[a:b]))
-                yield from out()
-                a = b
+            stream.add(batch.column(0).to_pylist(), *encoder.encode([t or "" for t in batch.column(1).to_pylist()]))
+            yield from out()
         stream.cut(last=True)
         yield from out()
 

@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.parts import text_parts
 from ..runtime import materialize, read_table
 from . import lstm_crf
 from .pii_samples import KINDS, labelled_windows
 
 SAMPLE_WINDOWS, SAMPLE_LENGTH = 8000, 112
 LEAST_GAIN = 6.0  # of log odds
+CHARS = 1_000_000  # of texts that are tagged at once
 
 # Patterns of the contract, written so that each scan is linear in the text.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -155,32 +157,18 @@ def find(texts: list[str], model: lstm_crf.Model) -> list[tuple[list[Span], list
     return found
 
 
-def batches_of(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Slices of at most that many characters, or of one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """Spans per row: id, and base and all spans as arrays of (start, kind, end)."""
     model = session_model(docs.sparkSession, seed)
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches_of(texts):
-                found = find(texts[a:b], model)
-                as_rows = lambda spans: [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([as_rows(x) for x, _ in found], SPANS), pa.array([as_rows(y) for _, y in found], SPANS)],
-                    ["id", "base", "spans"],
-                )
+        for batch in text_parts(rows, 1, CHARS):
+            found = find([t or "" for t in batch.column(1).to_pylist()], model)
+            as_rows = lambda spans: [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([as_rows(x) for x, _ in found], SPANS), pa.array([as_rows(y) for _, y in found], SPANS)],
+                ["id", "base", "spans"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     struct = "array<struct<start:bigint,kind:string,end:bigint>>"
@@ -201,13 +189,11 @@ def redact(docs: DataFrame, text_col: str = "text", seed: int = 7) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts = batch.column(at).to_pylist()
-            for a, b in batches_of([t or "" for t in texts]):
-                part = texts[a:b]
-                clean = [t if t is None else replace(t, spans) for t, (_, spans) in zip(part, find([t or "" for t in part], model))]
-                columns = [pa.array(clean, pa.string()) if i == at else batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in text_parts(rows, at, CHARS):
+            part = batch.column(at).to_pylist()
+            clean = [t if t is None else replace(t, spans) for t, (_, spans) in zip(part, find([t or "" for t in part], model))]
+            columns = [pa.array(clean, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     numbered = docs.toDF(*names)

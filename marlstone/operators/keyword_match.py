@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parts import PART, parts  # noqa: F401
 from ..functions.settled import spread
 from ..runtime import materialize, read_table
 from .text import _title
@@ -288,21 +289,6 @@ def grade(hits: list[tuple[int, int, int, int]], terms: int, gap: int, limit: in
 
 
 HITS = "array<struct<place:int,stretch:int,term:int,level:int>>"
-PART = 1 << 17  # characters of texts, and hits, that are Python objects at one time
-
-
-def parts(batch: pa.RecordBatch, sizes: list[int], most: int = PART) -> Iterator[pa.RecordBatch]:
-    """The batch in order, in parts of up to ``most`` by its rows' sizes; a larger row is a part of its own."""
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def matches(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str, keyword_col: str, short: bool, partial: bool = True) -> DataFrame:
     """id, keyword, tier, score, n of every text and keyword that share a term; all terms, without ``partial``."""
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

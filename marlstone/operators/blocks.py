@@ -72,6 +72,12 @@ def _sizes(vectors: DataFrame, most: int, few: int) -> DataFrame:
     return size.select("g", ways.alias("_ways"))
 
 
+def cells(n: int, most: int = MOST, few: int = FEW) -> int:
+    """Cells in which a group of n vectors meets; 1 for none."""
+    ways = max(-(-n // most), min(few, -(-n // LEAST)), 1)
+    return ways * (ways + 1) // 2
+
+
 def turns(vectors: DataFrame, at_once: int, most: int = MOST, few: int = FEW) -> list[tuple[int, int]]:
     """Parts of the work for ``met``, each of which sends a vector ``at_once`` times at most: turn t has the cells of blocks
     a and b with a + b = t, modulo the group's blocks, so each vector is in one of its cells."""
@@ -84,7 +90,7 @@ def met(vectors: DataFrame, judge: Judge, schema: str, most: int = MOST, few: in
     ``only`` of the ``turns`` from the first number to before the second."""
     size = _sizes(vectors, most, few)
     share = F.col("_ways") if only is None else F.greatest(F.lit(0), F.least("_ways", F.lit(only[1])) - only[0])
-    cells = size.agg(F.sum(F.ceil((F.col("_ways") + 1) * share / 2))).first()[0] or 1
+    n_cells = size.agg(F.sum(F.ceil((F.col("_ways") + 1) * share / 2))).first()[0] or 1
     dealt = vectors.join(size, "g").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_ways")).cast("int"))
     if only is None:
         dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)))
@@ -109,7 +115,7 @@ def met(vectors: DataFrame, judge: Judge, schema: str, most: int = MOST, few: in
     from pyspark.sql.types import _parse_datatype_string
 
     kept = to_arrow_schema(_parse_datatype_string(schema))
-    return dealt.repartition(int(min(2 * cells, 20000)), "g", "_lo", "_hi").groupBy("g", "_lo", "_hi").applyInArrow(cell, schema)
+    return dealt.repartition(int(min(2 * n_cells, 20000)), "g", "_lo", "_hi").groupBy("g", "_lo", "_hi").applyInArrow(cell, schema)
 
 
 def pairs_from(least: float) -> Judge:

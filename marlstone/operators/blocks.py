@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 MOST, FEW, LEAST = 8192, 12, 256  # vectors of a block at most; blocks of a group at least, unless they have fewer vectors than LEAST
 ROOM = 1 << 21  # products that are made at a time
+NEAR = 1 << 18  # where a few passes over them are all that is done: these stay in a core's cache
 
 
 class Side:
@@ -43,8 +44,8 @@ def flat(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def products(a: Side, b: Side) -> Iterator[tuple[int, np.ndarray]]:
-    """First row and products of rows of ``a`` with all of ``b``, ROOM of them at a time, one row at least."""
+def products(a: Side, b: Side, room: int = ROOM) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and products of rows of ``a`` with all of ``b``, ``room`` of them at a time, one row at least."""
     order = np.argsort(b.keys, kind="stable")
     keys, cols, wb = b.keys[order], b.rows[order], b.w[order]
     at = np.searchsorted(keys, a.keys, "left")
@@ -52,7 +53,7 @@ def products(a: Side, b: Side) -> Iterator[tuple[int, np.ndarray]]:
     made = np.concatenate([[0], np.cumsum(n)])[a.starts]  # before each row
     wide, first = len(b.ids), 0
     while first < len(a.ids):
-        last = min(len(a.ids), first + max(1, ROOM // wide), int(np.searchsorted(made, made[first] + ROOM // 2, "right")) - 1)
+        last = min(len(a.ids), first + max(1, room // wide), int(np.searchsorted(made, made[first] + room // 2, "right")) - 1)
         last = max(last, first + 1)
         part = slice(a.starts[first], a.starts[last])
         count = n[part]
@@ -139,7 +140,7 @@ def best_by(value: Callable[[np.ndarray, Side, Side, slice], np.ndarray]) -> Jud
     def judge(a: Side, b: Side, same: bool) -> dict:
         va, ya = np.full(len(a.ids), -np.inf), np.zeros(len(a.ids), np.int64)
         vb, yb = np.full(len(b.ids), -np.inf), np.zeros(len(b.ids), np.int64)
-        for first, d in products(a, b):
+        for first, d in products(a, b, NEAR):
             rows = slice(first, first + len(d))
             v = value(d, a, b, rows)
             here = np.arange(len(d))
